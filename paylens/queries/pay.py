@@ -270,7 +270,7 @@ FIGURE_SQL = """CASE WHEN source_id = 'HOUSEHOLD' OR list_contains(expressible,
 @query(
     "figures_by_basis",
     WITH(POSTING, OBS)
-    + f"""SELECT country, source_id, year, b.basis, round({FIGURE_SQL.format(f="median")}, 2) AS median, round({FIGURE_SQL.format(f="p90")}, 2) AS p90,
+    + f"""SELECT country, source_id, year, b.basis, round({FIGURE_SQL.format(f="median")}, 5) AS median, round({FIGURE_SQL.format(f="p90")}, 5) AS p90,
   CASE WHEN source_id = 'HOUSEHOLD' THEN 'native_basis_select' WHEN list_contains(expressible, b.basis) THEN 'native'
     WHEN source_id = 'FURNITURE' THEN 'subtract' END AS how,
   CASE WHEN source_id = 'MACHINERY' OR (source_id IN ('AUTOMOBILE', 'BUILDING') AND NOT list_contains(expressible, b.basis))
@@ -284,7 +284,7 @@ def figures_by_basis(spark, sf):
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("basis"), F.col(f"f_{b}").alias("f")) for b in wages.BASES])).alias("x")
     return df.select("country", "source_id", "year", rows).select(
         "country", "source_id", "year", "x.basis",
-        r(F.col("x.f.median"), 2).alias("median"), r(F.col("x.f.p90"), 2).alias("p90"),
+        r(F.col("x.f.median"), 5).alias("median"), r(F.col("x.f.p90"), 5).alias("p90"),
         F.get(F.col("x.f.chain"), F.lit(0))["op"].alias("how"), F.col("x.f.reason").alias("reason"),
     )
 
@@ -300,7 +300,7 @@ def figures_by_basis(spark, sf):
   LEFT JOIN (SELECT country, arg_max(hours, year) AS hours FROM hours GROUP BY country) l ON l.country = x.country),
 y AS (SELECT *, CASE period WHEN 'year' THEN median WHEN 'month' THEN median * 12 ELSE median * hours * 52 END AS yearly FROM f)
 SELECT country, source_id, year, mode, basis, CASE mode WHEN 'usd' THEN 'USD' ELSE left(country, 3) END AS currency,
-  round(CASE mode WHEN 'usd' THEN yearly / rate ELSE yearly END, 2) AS median,
+  round(CASE mode WHEN 'usd' THEN yearly / rate ELSE yearly END, 5) AS median,
   CASE WHEN median IS NULL THEN 'source cannot express ' || basis WHEN yearly IS NULL THEN 'no sourced weekly hours for ' || country
     WHEN mode = 'usd' AND rate IS NULL THEN 'no rate for ' || country || ' in ' || year END AS reason
 FROM y, (VALUES ('native'), ('usd')) m(mode)""",
@@ -313,7 +313,7 @@ def resolve_entity(spark, sf):
     df = lookups.exact_lookup(df, rates(spark, sf), ["country", "year"], "rate")
     df = lookups.year_or_latest(df, hours(spark, sf), "country", "year", "hours", "hours_year")
     out = wages.resolve(df)
-    return out.select("country", "source_id", "year", "mode", "basis", "currency", r("median", 2).alias("median"), "reason")
+    return out.select("country", "source_id", "year", "mode", "basis", "currency", r("median", 5).alias("median"), "reason")
 
 
 @query(
