@@ -84,6 +84,16 @@ def annualise(value: Column, period: Column, hours: Column, place: Column) -> Co
     )
 
 
+def yearly_value(value: Column, period: Column, hours: Column) -> Column:
+    """The number of :func:`annualise` alone."""
+    factor = (
+        F.when(period == "year", F.lit(1.0))
+        .when(period == "month", F.lit(float(MONTHS_PER_YEAR)))
+        .when(period == "hour", hours * WEEKS_PER_YEAR)
+    )
+    return value * factor
+
+
 def override_hours(given_hours: Column, given_source: Column, given: Column, looked_up: Column) -> Column:
     """Hours published beside the figure beat the table; an incomplete override refuses (null)."""
     complete = given_hours.isNotNull() & (given_hours != 0) & given_source.isNotNull() & (given_source != "")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS_PER_OCTAVE = 512
@@ -37,21 +37,25 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def _wanted_ranks(n: Column, probs: Sequence[float], method: str) -> list[tuple[Column, Column, Column]]:
-    """(lower rank, upper rank, weight of the upper), ranks from 0, for every probability."""
+def _wanted_ranks(probs: Sequence[float], method: str) -> list[tuple[str, str, str]]:
+    """(lower rank, upper rank, weight of the upper) as SQL over ``__n``, ranks from 0."""
     out = []
-    for p in probs:
+    for p in map(float, probs):
         if method == "inclusive":
-            pos = F.lit(float(p)) * (n - 1)
-            low = F.floor(pos)
-            out.append((low, F.least(low + 1, n - 1), pos - low))
+            low = f"floor({p!r}D * (__n - 1))"
+            out.append((low, f"least({low} + 1, __n - 1)", f"({p!r}D * (__n - 1) - {low})"))
         else:
             # position p(n+1) counted from 1, the lower neighbour kept inside [1, n-1]
-            j = F.greatest(F.lit(1), F.least(F.floor(F.lit(float(p)) * (n + 1)), n - 1))
-            out.append((j - 1, F.least(j, n - 1), F.lit(float(p)) * (n + 1) - j))
+            j = f"greatest(1, least(floor({p!r}D * (__n + 1)), __n - 1))"
+            out.append((f"({j} - 1)", f"least({j}, __n - 1)", f"({p!r}D * (__n + 1) - {j})"))
     return out
 
 
+def _joined_on(by: Sequence[str]) -> Column:
+    """Same cell and, null-safe, same group; the right side's keys carry a ``__`` prefix."""
+    return F.expr(" AND ".join(["__c = __cell"] + [f"`{k}` <=> `__{k}`" for k in by]))
+
+
 def group_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -68,47 +72,42 @@ def group_quantiles(
     global case (no ``by``) is always that small.
     """
     by = list(by)
-    names = list(probs)
-    plain = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    plain = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
     plain = plain.withColumn("__c", value_cell(F.col("__v")))
+    ranks = _wanted_ranks(probs.values(), method)
 
-    per_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    over = "PARTITION BY " + (", ".join(f"`{k}`" for k in by) if by else "0")
     hist = plain.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__k"))
-    hist = hist.withColumn(
-        "__hi", F.sum("__k").over(per_group.orderBy("__c").rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("__n", F.sum("__k").over(per_group))
-    hist = hist.withColumn("__lo", F.col("__hi") - F.col("__k"))
-
-    ranks = _wanted_ranks(F.col("__n"), [probs[k] for k in names], method)
-    inside = F.lit(False)
-    for low, high, _ in ranks:
-        for r in (low, high):
-            inside = inside | ((r >= F.col("__lo")) & (r < F.col("__hi")))
-    cells = hist.filter(inside).select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__c").alias("__cell"), "__lo", "__n")
+    hist = hist.selectExpr(
+        *[f"`{k}` AS `__{k}`" for k in by],
+        "__c AS __cell",
+        "__k",
+        f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) AS __hi",
+        f"sum(__k) OVER ({over}) AS __n",
+    ).selectExpr("*", "__hi - __k AS __lo")
+    wanted = " OR ".join(f"({rank} >= __lo AND {rank} < __hi)" for low, high, _ in ranks for rank in (low, high))
+    cells = hist.filter(wanted).drop("__k", "__hi")
     if few_groups or not by:
         cells = F.broadcast(cells)
 
-    cond = F.col("__c") == F.col("__cell")
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    near = plain.join(cells, cond).groupBy(*by, "__c", "__lo", "__n", "__v").agg(F.count(F.lit(1)).alias("__k"))
-    in_cell = Window.partitionBy(*by, "__c").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("__to", F.col("__lo") + F.sum("__k").over(in_cell))
-    near = near.withColumn("__from", F.col("__to") - F.col("__k"))
+    near = plain.join(cells, _joined_on(by)).groupBy(*by, "__c", "__lo", "__n", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    in_cell = "PARTITION BY " + ", ".join([f"`{k}`" for k in by] + ["__c"])
+    near = near.selectExpr("*", f"__lo + sum(__k) OVER ({in_cell} ORDER BY __v ROWS UNBOUNDED PRECEDING) AS __to")
+    near = near.selectExpr("*", "__to - __k AS __from")
 
-    ranks = _wanted_ranks(F.col("__n"), [probs[k] for k in names], method)
-    aggs = [F.max("__n").alias("n")]
+    aggs = [F.expr("max(__n)").alias("n")]
     for i, (low, high, frac) in enumerate(ranks):
-        at = lambda r: F.max(F.when((r >= F.col("__from")) & (r < F.col("__to")), F.col("__v")))
-        aggs += [at(low).alias(f"__l{i}"), at(high).alias(f"__h{i}"), F.max(frac).alias(f"__f{i}")]
-    out = near.groupBy(*by).agg(*aggs)
-    return out.select(
-        *by,
-        F.col("n").cast("long").alias("n"),
-        *[
-            (F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * F.col(f"__f{i}")).alias(name)
-            for i, name in enumerate(names)
-        ],
+        for side, rank in (("l", low), ("h", high)):
+            aggs.append(F.expr(f"max(CASE WHEN {rank} >= __from AND {rank} < __to THEN __v END)").alias(f"__{side}{i}"))
+        aggs.append(F.expr(f"max({frac})").alias(f"__f{i}"))
+    return (
+        near.groupBy(*by)
+        .agg(*aggs)
+        .selectExpr(
+            *[f"`{k}`" for k in by],
+            "CAST(n AS BIGINT) AS n",
+            *[f"__l{i} + (__h{i} - __l{i}) * __f{i} AS `{name}`" for i, name in enumerate(probs)],
+        )
     )
 
 
@@ -135,24 +134,24 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
-    per_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    keys = [f"`{k}`" for k in by]
+    over = "PARTITION BY " + (", ".join(keys) if by else "0")
     offs = counts.groupBy(*by, "__c").agg(F.sum("k").alias("__k"))
-    offs = offs.withColumn(
-        "__off",
-        F.sum("__k").over(per_group.orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__k"),
-    ).withColumn("__total", F.sum("__k").over(per_group))
-    offs = offs.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__c").alias("__cell"), "__off", "__total")
-    cond = F.col("__c") == F.col("__cell")
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    in_cell = Window.partitionBy(*by, "__c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.join(offs, cond).withColumn("__run", F.sum("k").over(in_cell))
-    below = F.col("__off") + F.col("__run") - F.col("k")
-    return out.select(
-        *by,
+    offs = offs.selectExpr(
+        *[f"`{k}` AS `__{k}`" for k in by],
+        "__c AS __cell",
+        f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) - __k AS __off",
+        f"sum(__k) OVER ({over}) AS __total",
+    )
+    in_cell = "PARTITION BY " + ", ".join(keys + ["__c"])
+    out = counts.join(offs, _joined_on(by)).selectExpr(
+        "*", f"__off - k + sum(k) OVER ({in_cell} ORDER BY v ROWS UNBOUNDED PRECEDING) AS __below"
+    )
+    return out.selectExpr(
+        *keys,
         "v",
         "k",
-        below.cast("long").alias("below"),
-        (below + (F.col("k") + 1) / F.lit(2.0)).alias("avg_rank"),
-        F.col("__total").cast("long").alias("n"),
+        "CAST(__below AS BIGINT) AS below",
+        "__below + (k + 1) / 2D AS avg_rank",
+        "CAST(__total AS BIGINT) AS n",
     )

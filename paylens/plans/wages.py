@@ -55,20 +55,23 @@ def no_figures(reason: Column) -> Column:
     )
 
 
-def per_field(df: DataFrame, source: str, target: str, convert: Callable[[str, Column], Column]) -> DataFrame:
-    """Convert every field of a figures struct. One field's steps are shown: the median's,
-    else the mean's, else the first that converted. All fields refused: refused."""
+def per_field(
+    df: DataFrame, source: str, target: str, result: Callable[[Column], Column], value: Callable[[str, Column], Column]
+) -> DataFrame:
+    """Convert every field of a figures struct. ``result`` converts the shown field (the median,
+    else the mean, else the first there is) and decides on refusal and chain; ``value`` gives
+    the number of each field, null where that field alone cannot be converted."""
     src = F.col(source)
-    tmp = {f: f"__{target}_{f}" for f in FIELDS}
-    out = df.withColumns({tmp[f]: F.when(src[f].isNotNull(), convert(f, src[f])) for f in FIELDS})
-    order = ("median", "mean", "p10", "p25", "p75", "p90")
-    ok = F.coalesce(*[F.when(F.col(tmp[f])["ok"], F.lit(True)) for f in order], F.lit(False))
-    chain = F.coalesce(*[F.when(F.col(tmp[f])["ok"], F.col(tmp[f])["chain"]) for f in order])
-    reason = F.coalesce(*[F.col(tmp[f])["reason"] for f in order], F.lit("no figure published"))
-    done = F.when(~src["ok"], src).when(
-        ok, figures({f: F.col(tmp[f])["value"] for f in FIELDS}, F.concat(src["chain"], chain))
-    ).otherwise(no_figures(reason))
-    return out.withColumn(target, done).drop(*tmp.values())
+    shown = F.coalesce(*[src[f] for f in ("median", "mean", "p10", "p25", "p75", "p90")])
+    out = df.withColumn(f"__{target}", F.when(src["ok"] & shown.isNotNull(), result(shown)))
+    res = F.col(f"__{target}")
+    done = (
+        F.when(~src["ok"], src)
+        .when(res.isNull(), no_figures(F.lit("no figure published")))
+        .when(res["ok"], figures({f: value(f, src[f]) for f in FIELDS}, F.concat(src["chain"], res["chain"])))
+        .otherwise(no_figures(res["reason"]))
+    )
+    return out.withColumn(target, done).drop(f"__{target}")
 
 
 def figure_for_basis(df: DataFrame, basis: str, target: str) -> DataFrame:
@@ -110,13 +113,22 @@ def resolve(df: DataFrame) -> DataFrame:
     """The four results of every observation: {native, usd} x {regular_pay, total_earnings}.
 
     Needs the columns of :func:`figure_for_basis` plus country, year, period, currency,
-    ``hours`` (per week, null when not sourced) and ``rate`` (null when the year has none).
+    ``hours`` (per week, null when not sourced) and ``rate`` (null when the year has none);
+    ``hours_<field>`` columns, when present, are hours published for that field alone.
     """
     combos = []
     for basis in BASES:
         df = figure_for_basis(df, basis, f"__{basis}")
-        df = per_field(df, f"__{basis}", f"__y_{basis}", lambda f, v: money.annualise(v, F.col("period"), F.col("hours"), F.col("country")))
-        df = per_field(df, f"__y_{basis}", f"__u_{basis}", lambda f, v: money.convert_at(v, F.col("rate"), F.col("country"), F.col("year")))
+        df = per_field(
+            df, f"__{basis}", f"__y_{basis}",
+            lambda v: money.annualise(v, F.col("period"), F.col("hours"), F.col("country")),
+            lambda f, v: money.yearly_value(v, F.col("period"), F.coalesce(F.col(f"hours_{f}"), F.col("hours")) if f"hours_{f}" in df.columns else F.col("hours")),
+        )
+        df = per_field(
+            df, f"__y_{basis}", f"__u_{basis}",
+            lambda v: money.convert_at(v, F.col("rate"), F.col("country"), F.col("year")),
+            lambda f, v: v / F.col("rate"),
+        )
         combos += [
             F.struct(F.lit("native").alias("mode"), F.lit(basis).alias("basis"), F.col("currency").alias("in"), F.col(f"__y_{basis}").alias("r")),
             F.struct(F.lit("usd").alias("mode"), F.lit(basis).alias("basis"), F.lit("USD").alias("in"), F.col(f"__u_{basis}").alias("r")),

@@ -235,7 +235,7 @@ OBS = """obs AS (
     quantile_cont(pay, 0.25) AS p25, quantile_cont(pay, 0.75) AS p75, quantile_cont(pay, 0.9) AS p90 FROM posting GROUP BY ALL),
 basis AS (
   SELECT o.*, CASE WHEN source_id = 'AUTOMOBILE' THEN ['regular_pay'] WHEN source_id = 'BUILDING' THEN ['total_earnings'] ELSE [] END AS expressible,
-    CASE WHEN source_id = 'FURNITURE' THEN mean * 0.05::DOUBLE END AS pension, CASE WHEN source_id = 'FURNITURE' THEN mean * 0.02::DOUBLE END AS bonus FROM obs o)"""
+    CASE WHEN source_id = 'FURNITURE' THEN floor(mean * 0.05::DOUBLE) END AS pension, CASE WHEN source_id = 'FURNITURE' THEN floor(mean * 0.02::DOUBLE) END AS bonus FROM obs o)"""
 
 
 def observations(spark, sf):
@@ -254,8 +254,8 @@ def observations(spark, sf):
         {
             "expressible": money.bases(s, bonus, F.lit("false")),
             "published": F.when(own, F.array(F.lit("employer_social_contributions_rate"), F.lit("irregular_bonus"))),
-            "part_employer_social_contributions": F.when(own, F.col("mean") * F.lit(0.05)),
-            "part_irregular_bonus": F.when(own, F.col("mean") * F.lit(0.02)),
+            "part_employer_social_contributions": F.when(own, F.floor(F.col("mean") * F.lit(0.05)).cast("double")),
+            "part_irregular_bonus": F.when(own, F.floor(F.col("mean") * F.lit(0.02)).cast("double")),
             "split_total_earnings": F.when(s == "HOUSEHOLD", split),
             "split_regular_pay": F.when(s == "HOUSEHOLD", split).cast(split_type),
         }
