@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,47 +61,73 @@ def word_grams(word: Column, lo: int, hi: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), of_size))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(t: Column, pattern: str, n: int) -> Column:
+    """The groups of the first match as an array, null without a match. ``n`` groups, none may hold U+0001."""
+    marks = "\u0001".join(f"${i}" for i in range(1, n + 1))
+    flat = F.regexp_replace(t, rf"^(?s:.*?)(?:{pattern})(?s:.*)$", marks)
+    return F.when(t.rlike(pattern), F.split(flat, "\u0001"))
+
+
 def parse_pay(col: Column) -> Column:
     """Pay range of a free text as struct(min, max, currency, period, raw_text, confidence), or null.
 
     Two numbers must touch a currency sign, or a code must follow the range. A code
     anywhere in the text beats the sign; a thousands mark on the upper number holds for both.
     """
-    t = F.regexp_replace(F.regexp_replace(col, "[–—]", "-"), ",", "")
-    code = F.upper(F.regexp_extract(t, rf"(?i)(?<!\w)({PAY_CODES})(?!\w)", 1))
-    signed = r"([$£€])\s*([\d.]+)\s*([kK])?\s*-\s*[$£€]?\s*([\d.]+)\s*([kK])?"
-    coded = rf"(?<![\d.])([\d.]+)\s*-\s*([\d.]+)\s*([kK])?\s*({PAY_CODES})(?!\w)"
-    sign_map = F.create_map(*[F.lit(x) for kv in SYMBOL_CURRENCY.items() for x in kv])
-
-    period = (
-        F.when(t.rlike(r"(?i)/\s*hour|hourly|per\s*hour|(?<!\w)hr(?!\w)"), "hour")
-        .when(t.rlike(r"(?i)/\s*month|monthly|per\s*month"), "month")
-        .otherwise("year")
-    )
+    signed = r"([$£€])\s*([\d.]+)\s*([kK]?)\s*-\s*[$£€]?\s*([\d.]+)\s*([kK]?)"
+    coded = rf"(?<![\d.])([\d.]+)\s*-\s*([\d.]+)\s*([kK]?)\s*({PAY_CODES})(?!\w)"
+    signs = F.create_map(*[F.lit(x) for kv in SYMBOL_CURRENCY.items() for x in kv])
 
-    def reading(pattern: str, low: int, low_k: int, high: int, high_k: int, currency: Column) -> Column:
-        g = lambda i: F.regexp_extract(t, pattern, i)
+    def reading(lo: Column, lo_mark: Column, hi: Column, hi_mark: Column, currency: Column) -> Column:
         many = lambda mark: F.when(mark != "", 1000.0).otherwise(1.0)
-        lo_mark = F.when(g(low_k) != "", g(low_k)).otherwise(g(high_k))
-        lo = g(low).try_cast("double") * many(lo_mark)
-        hi = g(high).try_cast("double") * many(g(high_k))
-        fine = (lo > 0) & (hi > 0) & (lo <= hi) & (hi >= MIN_PAY_MAX) & currency.isNotNull()
-        return F.when(
-            t.rlike(pattern) & fine,
-            F.struct(
-                lo.alias("min"),
-                hi.alias("max"),
-                currency.alias("currency"),
-                period.alias("period"),
-                F.trim(col).alias("raw_text"),
-                F.lit("parsed_text").alias("confidence"),
+        numbers = F.struct(
+            (lo.try_cast("double") * many(F.concat(lo_mark, hi_mark))).alias("min"),
+            (hi.try_cast("double") * many(hi_mark)).alias("max"),
+            currency.alias("currency"),
+        )
+        return let(
+            numbers,
+            lambda p: F.when(
+                (p["min"] > 0) & (p["min"] <= p["max"]) & (p["max"] >= MIN_PAY_MAX) & p["currency"].isNotNull(), p
+            ),
+        )
+
+    def whole(t: Column) -> Column:
+        code = F.nullif(F.upper(F.regexp_extract(t, rf"(?i)(?<!\w)({PAY_CODES})(?!\w)", 1)), F.lit(""))
+        at = lambda g, i: F.get(g, F.lit(i))
+        first = let(
+            _groups(t, signed, 5),
+            lambda g: reading(at(g, 1), at(g, 2), at(g, 3), at(g, 4), F.coalesce(code, F.try_element_at(signs, at(g, 0)))),
+        )
+        second = let(
+            _groups(t, coded, 4), lambda g: reading(at(g, 0), F.lit(""), at(g, 1), at(g, 2), F.coalesce(code, at(g, 3)))
+        )
+        period = (
+            F.when(t.rlike(r"(?i)/\s*hour|hourly|per\s*hour|(?<!\w)hr(?!\w)"), "hour")
+            .when(t.rlike(r"(?i)/\s*month|monthly|per\s*month"), "month")
+            .otherwise("year")
+        )
+        return let(
+            F.coalesce(first, second),
+            lambda p: F.when(
+                p.isNotNull(),
+                F.struct(
+                    p["min"].alias("min"),
+                    p["max"].alias("max"),
+                    p["currency"].alias("currency"),
+                    period.alias("period"),
+                    F.trim(col).alias("raw_text"),
+                    F.lit("parsed_text").alias("confidence"),
+                ),
             ),
         )
 
-    by_code = F.nullif(code, F.lit(""))
-    first = reading(signed, 2, 3, 4, 5, F.coalesce(by_code, F.try_element_at(sign_map, F.regexp_extract(t, signed, 1))))
-    second = reading(coded, 1, 3, 2, 3, F.coalesce(by_code, F.regexp_extract(t, coded, 4)))
-    return F.coalesce(first, second)
+    return let(F.regexp_replace(F.regexp_replace(col, "[–—]", "-"), ",", ""), whole)
 
 
 def fix_period(pay: Column) -> Column:
@@ -117,41 +145,37 @@ def fix_period(pay: Column) -> Column:
     return F.when(F.coalesce(hourly, F.lit(False)), pay.withField("period", F.lit("hour"))).otherwise(pay)
 
 
-# Named entities decoded by strip_html; numeric ones are decoded by code point.
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®",
-    "&euro;": "€", "&pound;": "£", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&bull;": "•",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&eacute;": "é", "&egrave;": "è",
-    "&agrave;": "à", "&ccedil;": "ç", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß",
-}
+def _entity_table() -> Column:
+    """Named entities from the standard library's table, as a map column."""
+    names = {"apos": "'", **{name: chr(code) for name, code in name2codepoint.items()}}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
-def _decode_numeric(col: Column) -> Column:
-    """Numeric character references, decimal and hex, up to the whole Unicode range.
+def _decode_entities(col: Column) -> Column:
+    """Named and numeric character references, each decoded once.
 
-    The text is cut before every ``&#``; a piece that begins with a complete reference is
-    replaced by its character through a UTF-32 byte sequence.
+    The text is cut before every ``&``; a piece that begins with a complete reference is
+    replaced by its character (numeric ones through a UTF-32 byte sequence).
     """
-    pieces = F.split(col, "(?=&#)")
+    table = _entity_table()
 
     def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);", 1)
         hexed = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});", 1)
         dec = F.regexp_extract(piece, "^&#([0-9]{1,7});", 1)
         code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("int")).when(dec != "", dec.cast("int"))
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-        valid = code.isNotNull() & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        rest = F.regexp_replace(piece, "^&#[xX]?[0-9A-Fa-f]{1,7};", "")
-        return F.when(valid, F.concat(char, rest)).otherwise(piece)
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+        named = F.when(name != "", F.try_element_at(table, name))
+        rest = F.regexp_replace(piece, "^&[^;]*;", "")
+        return F.coalesce(F.concat(F.coalesce(named, numeric), rest), piece)
 
-    return F.when(F.instr(col, "&#") > 0, F.array_join(F.transform(pieces, one), "")).otherwise(col)
+    return F.when(F.instr(col, "&") > 0, F.array_join(F.transform(F.split(col, "(?=&)"), one), "")).otherwise(col)
 
 
 def strip_html(col: Column) -> Column:
     """``<p>`` becomes a line break, other tags go, entities are decoded once."""
-    s = F.regexp_replace(F.replace(col, F.lit("<p>"), F.lit("\n")), "<[^>]+>", "")
-    s = _decode_numeric(s)
-    s = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), NAMED_ENTITIES.items(), s)
-    return F.replace(s, F.lit("&amp;"), F.lit("&"))
+    return _decode_entities(F.regexp_replace(F.replace(col, F.lit("<p>"), F.lit("\n")), "<[^>]+>", ""))
 
 
 def number(col: Column, style: str = "plain") -> Column:
