@@ -56,25 +56,18 @@ def _joined_on(by: Sequence[str]) -> Column:
     return F.expr(" AND ".join(["__c = __cell"] + [f"`{k}` <=> `__{k}`" for k in by]))
 
 
-def group_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    method: str = "inclusive",
-    few_groups: bool = False,
+def order_stats(
+    df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, str], few_groups: bool = False
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per group: columns ``by``, ``n`` and one per name in ``probs``.
+    """Exact order statistics per group: columns ``by``, ``n`` and one value per name in ``ranks``.
 
-    ``method`` is ``inclusive`` (position p(n-1), as ``percentile``) or ``exclusive``
-    (position p(n+1)). Null values are left out. ``few_groups`` states that ``by`` comes
-    from a dimension of fixed size, which makes the cell table safe to broadcast; the
-    global case (no ``by``) is always that small.
+    A rank is SQL over ``__n`` (rows of the group with a value) and counts from 0. ``few_groups``
+    states that ``by`` comes from a dimension of fixed size, which makes the cell table safe to
+    broadcast; the global case (no ``by``) is always that small. Null values are left out.
     """
     by = list(by)
     plain = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
     plain = plain.withColumn("__c", value_cell(F.col("__v")))
-    ranks = _wanted_ranks(probs.values(), method)
 
     over = "PARTITION BY " + (", ".join(f"`{k}`" for k in by) if by else "0")
     hist = plain.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__k"))
@@ -85,7 +78,7 @@ def group_quantiles(
         f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) AS __hi",
         f"sum(__k) OVER ({over}) AS __n",
     ).selectExpr("*", "__hi - __k AS __lo")
-    wanted = " OR ".join(f"({rank} >= __lo AND {rank} < __hi)" for low, high, _ in ranks for rank in (low, high))
+    wanted = " OR ".join(f"({rank} >= __lo AND {rank} < __hi)" for rank in ranks.values())
     cells = hist.filter(wanted).drop("__k", "__hi")
     if few_groups or not by:
         cells = F.broadcast(cells)
@@ -94,20 +87,30 @@ def group_quantiles(
     in_cell = "PARTITION BY " + ", ".join([f"`{k}`" for k in by] + ["__c"])
     near = near.selectExpr("*", f"__lo + sum(__k) OVER ({in_cell} ORDER BY __v ROWS UNBOUNDED PRECEDING) AS __to")
     near = near.selectExpr("*", "__to - __k AS __from")
+    at = [F.expr(f"max(CASE WHEN {rank} >= __from AND {rank} < __to THEN __v END)").alias(name) for name, rank in ranks.items()]
+    return near.groupBy(*by).agg(F.expr("CAST(max(__n) AS BIGINT)").alias("n"), *at)
 
-    aggs = [F.expr("max(__n)").alias("n")]
-    for i, (low, high, frac) in enumerate(ranks):
-        for side, rank in (("l", low), ("h", high)):
-            aggs.append(F.expr(f"max(CASE WHEN {rank} >= __from AND {rank} < __to THEN __v END)").alias(f"__{side}{i}"))
-        aggs.append(F.expr(f"max({frac})").alias(f"__f{i}"))
-    return (
-        near.groupBy(*by)
-        .agg(*aggs)
-        .selectExpr(
-            *[f"`{k}`" for k in by],
-            "CAST(n AS BIGINT) AS n",
-            *[f"__l{i} + (__h{i} - __l{i}) * __f{i} AS `{name}`" for i, name in enumerate(probs)],
-        )
+
+def group_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    method: str = "inclusive",
+    few_groups: bool = False,
+) -> DataFrame:
+    """Exact quantiles of ``value`` per group: columns ``by``, ``n`` and one per name in ``probs``.
+
+    ``method`` is ``inclusive`` (position p(n-1), as ``percentile``) or ``exclusive`` (position p(n+1)).
+    """
+    ranks = _wanted_ranks(probs.values(), method)
+    named = {f"__{side}{i}": rank for i, (low, high, _) in enumerate(ranks) for side, rank in (("l", low), ("h", high))}
+    stats = order_stats(df, by, value, named, few_groups)
+    weights = [frac.replace("__n", "n") for _, _, frac in ranks]
+    return stats.selectExpr(
+        *[f"`{k}`" for k in by],
+        "n",
+        *[f"__l{i} + (__h{i} - __l{i}) * {weights[i]} AS `{name}`" for i, name in enumerate(probs)],
     )
 
 

@@ -1,4 +1,4 @@
 """All driver bindings; importing this package fills the registry."""
 
-from paylens.queries import pay, texts  # noqa: F401
+from paylens.queries import pay, statistics, texts  # noqa: F401
 from paylens.queries.registry import ORACLE, QUERIES  # noqa: F401
