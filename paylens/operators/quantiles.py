@@ -29,14 +29,6 @@ def value_cell(value: Column, per_octave: int = CELLS_PER_OCTAVE) -> Column:
     return (F.signum(value) * scaled).cast("long")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of all keys (a null group is a group)."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _wanted_ranks(probs: Sequence[float], method: str) -> list[tuple[str, str, str]]:
     """(lower rank, upper rank, weight of the upper) as SQL over ``__n``, ranks from 0."""
     out = []
@@ -52,8 +44,8 @@ def _wanted_ranks(probs: Sequence[float], method: str) -> list[tuple[str, str, s
 
 
 def _joined_on(by: Sequence[str]) -> Column:
-    """Same cell and, null-safe, same group; the right side's keys carry a ``__`` prefix."""
-    return F.expr(" AND ".join(["__c = __cell"] + [f"`{k}` <=> `__{k}`" for k in by]))
+    """Same cell and, null-safe, same group; the right side's keys carry a ``__by_`` prefix."""
+    return F.expr(" AND ".join(["__c = __cell"] + [f"`{k}` <=> `__by_{k}`" for k in by]))
 
 
 def order_stats(
@@ -72,7 +64,7 @@ def order_stats(
     over = "PARTITION BY " + (", ".join(f"`{k}`" for k in by) if by else "0")
     hist = plain.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__k"))
     hist = hist.selectExpr(
-        *[f"`{k}` AS `__{k}`" for k in by],
+        *[f"`{k}` AS `__by_{k}`" for k in by],
         "__c AS __cell",
         "__k",
         f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) AS __hi",
@@ -141,7 +133,7 @@ def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
     over = "PARTITION BY " + (", ".join(keys) if by else "0")
     offs = counts.groupBy(*by, "__c").agg(F.sum("k").alias("__k"))
     offs = offs.selectExpr(
-        *[f"`{k}` AS `__{k}`" for k in by],
+        *[f"`{k}` AS `__by_{k}`" for k in by],
         "__c AS __cell",
         f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) - __k AS __off",
         f"sum(__k) OVER ({over}) AS __total",

@@ -30,9 +30,9 @@ def _with(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join per-group results null-safe; without groups both are one row."""
     if not by:
         return a.join(F.broadcast(b))
-    right = b.select(*[F.col(k).alias(f"__{k}") for k in by], *[c for c in b.columns if c not in by])
-    cond = F.expr(" AND ".join(f"`{k}` <=> `__{k}`" for k in by))
-    return a.join(right, cond).drop(*[f"__{k}" for k in by])
+    right = b.select(*[F.col(k).alias(f"__by_{k}") for k in by], *[c for c in b.columns if c not in by])
+    cond = F.expr(" AND ".join(f"`{k}` <=> `__by_{k}`" for k in by))
+    return a.join(right, cond).drop(*[f"__by_{k}" for k in by])
 
 
 def estimator_error(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR, few_groups: bool = False) -> DataFrame:
