@@ -48,19 +48,6 @@ def padded_words(col: Column) -> Column:
     return F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
 
-def word_grams(word: Column, lo: int, hi: int) -> Column:
-    """Character grams of one padded word. A word exactly n long gives itself and ends there."""
-    size = F.length(word)
-
-    def of_size(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        return F.when(size >= n, F.transform(starts, lambda i: F.substring(word, i, n))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    return F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), of_size))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,4 +1,4 @@
 """All driver bindings; importing this package fills the registry."""
 
-from paylens.queries import pay, places, rules, statistics, texts, timeseries  # noqa: F401
+from paylens.queries import models, pay, places, rules, state, statistics, texts, timeseries  # noqa: F401
 from paylens.queries.registry import ORACLE, QUERIES  # noqa: F401

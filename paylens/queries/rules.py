@@ -16,7 +16,7 @@ from paylens.queries.registry import query
 # by a rule over the brand number.
 WAGE = """wage AS (SELECT p_brand AS brand, k, count(*) AS n, round(avg(v), 4) AS mean, round(CASE WHEN k % 7 = 0 THEN quantile_cont(v, 0.9) ELSE quantile_cont(v, 0.1) END, 4) AS p10,
     round(quantile_cont(v, 0.25), 4) AS p25, round(CASE WHEN k % 5 = 0 THEN 0 ELSE median(v) END, 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75, round(CASE WHEN k % 3 = 0 THEN NULL ELSE quantile_cont(v, 0.9) END, 4) AS p90
-  FROM (SELECT p_brand, regexp_extract(p_brand, '[0-9]+')::INTEGER AS k, p_retailprice AS v FROM part) GROUP BY ALL)"""
+  FROM (SELECT p_brand, regexp_extract(p_brand, '[0-9]+')::INTEGER AS k, p_retailprice AS v FROM part) GROUP BY p_brand, k)"""
 
 
 def wage(spark, sf):
