@@ -41,7 +41,7 @@ def derive_money(df: DataFrame, budget: dict[str, float] | None = None) -> DataF
     return out.withColumns(
         {
             "years_to_home": F.when(s > 0, HOME_M2 * price / F.nullif(s, F.lit(0.0))),
-            "m2_per_year": F.greatest(s, F.lit(0.0)) / F.nullif(price, F.lit(0.0)),
+            "m2_per_year": F.when(s.isNotNull(), F.greatest(s, F.lit(0.0)) / F.nullif(price, F.lit(0.0))),
             "stability": ratio_stability(HOME_M2 * price, s),
             "never": (s <= 0) & price.isNotNull(),
             "missing_inputs": missing_inputs(
@@ -61,9 +61,10 @@ def vs_average(value: Column, average: Column) -> Column:
 
 def budget_split(net: Column, rent: Column, living: Column) -> dict[str, Column]:
     """Monthly net laid out: left over, and the shares of the larger of income and spending."""
-    whole = F.greatest(net, rent + living)
+    known = net.isNotNull() & (rent + living).isNotNull()  # greatest() skips nulls
+    whole = F.when(known, F.greatest(net, rent + living))
     return {
-        "left_over": F.greatest(F.lit(0.0), net - rent - living),
+        "left_over": F.when(known, F.greatest(F.lit(0.0), net - rent - living)),
         "rent_share": F.try_divide(rent, whole),
         "living_share": F.try_divide(living, whole),
     }

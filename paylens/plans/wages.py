@@ -300,7 +300,10 @@ def position_and_estimate(rows: DataFrame, curves: DataFrame, entity: str, years
     return df.select(
         *rows.columns,
         "premium",
-        F.when(usable, F.coalesce(F.greatest(lo["value"], F.least(hi["value"], F.col("shifted"))), F.col("central"))).alias("estimate"),
+        F.when(
+            usable,
+            F.when(F.col("shifted").isNull(), F.col("central")).otherwise(F.greatest(lo["value"], F.least(hi["value"], F.col("shifted")))),
+        ).alias("estimate"),
         F.when(usable, F.coalesce(rank["pct"], F.lit(50.0))).alias("position"),
         F.when(usable, F.col("shifted").isNotNull()).alias("personalised"),
         F.when(usable, rank["clamped"]).alias("clamped"),

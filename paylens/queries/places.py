@@ -28,7 +28,7 @@ def cities(spark, sf):
 
 STABLE = """CASE WHEN savings > 0 AND price_m2 IS NOT NULL THEN CASE WHEN savings - 240 <= 0 OR abs(90 * price_m2 / (savings + 240) - 90 * price_m2 / savings) / (90 * price_m2 / savings) > 0.25
   OR abs(90 * price_m2 / (savings - 240) - 90 * price_m2 / savings) / (90 * price_m2 / savings) > 0.25 THEN 'unstable' ELSE 'stable' END END"""
-DERIVED = f"""id, round(net, 4) AS net, round(savings, 4) AS savings, round(CASE WHEN savings > 0 THEN 90 * price_m2 / savings END, 4) AS years_to_home, round(greatest(savings, 0) / price_m2, 9) AS m2_per_year,
+DERIVED = f"""id, round(net, 4) AS net, round(savings, 4) AS savings, round(CASE WHEN savings > 0 THEN 90 * price_m2 / savings END, 4) AS years_to_home, round(CASE WHEN savings IS NOT NULL THEN greatest(savings, 0) / price_m2 END, 9) AS m2_per_year,
   {STABLE} AS stability, savings <= 0 AND price_m2 IS NOT NULL AS never,
   concat_ws(',', CASE WHEN gross IS NULL THEN 'salary' END, CASE WHEN net_pct IS NULL THEN 'tax rate' END, CASE WHEN rent IS NULL THEN 'rent' END, CASE WHEN living IS NULL THEN 'living costs' END,
   CASE WHEN price_m2 IS NULL THEN 'apartment price' END) AS missing"""

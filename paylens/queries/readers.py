@@ -76,13 +76,13 @@ def unpivot_years(spark, sf):
 
 @query(
     "header_scan",
-    """SELECT CASE c_nationkey % 2 WHEN 0 THEN 'SE' ELSE 'NO' END AS entity, y AS year, c_acctbal + (y - 2020) AS value FROM customer, (VALUES (2024), (2025), (2026)) t(y)""",
+    """SELECT CASE c_nationkey % 2 WHEN 0 THEN 'SE' ELSE 'NO' END AS entity, y AS year, c_acctbal + (y - 2020) + 0.125::DOUBLE AS value FROM customer, (VALUES (2024), (2025), (2026)) t(y)""",
 )
 def header_scan(spark, sf):
     c = table(spark, sf, "customer")
     name = F.when(F.col("c_nationkey") % 2 == 0, " Sweden ").otherwise("Norway")
     sheet = F.col("c_custkey").alias("sheet")
-    bal = lambda y: (F.col("c_acctbal") + (y - 2020)).cast("string")
+    bal = lambda y: (F.col("c_acctbal") + (y - 2020) + 0.125).cast("string")
     rows = F.array(
         F.struct(F.lit(1).alias("n"), F.array(F.lit("Table"), F.lit("notes"), F.lit(""), F.lit(None).cast("string")).alias("cells")),
         F.struct(F.lit(2).alias("n"), F.array(F.lit(""), F.lit("2024"), F.lit("2025e"), F.lit("2026f")).alias("cells")),

@@ -282,7 +282,7 @@ a AS (SELECT p.*, d.*, 22.0::DOUBLE + years AS age, lo, ylo, hi, yhi FROM p JOIN
 c AS (SELECT c_custkey, floor(CASE WHEN age <= lo THEN ylo WHEN age >= hi THEN yhi ELSE (SELECT max(y0 + (age - x0) / (x1 - x0) * (y1 - y0)) FROM seg WHERE seg.entity = a.entity AND age >= x0 AND age < x1) END * 10 + 0.5) / 10 AS premium,
   comparable, premium_basis, mean, median, p10, p25, p75, p90 FROM a),
 s AS (SELECT *, CASE WHEN premium IS NOT NULL THEN (CASE WHEN premium_basis = 'mean' THEN mean ELSE median END) * (1 + premium / 100) END AS shifted FROM c)
-SELECT c_custkey, premium, CASE WHEN comparable THEN round(coalesce(greatest(p10, least(p90, shifted)), median), 7) END AS estimate,
+SELECT c_custkey, premium, CASE WHEN comparable THEN round(CASE WHEN shifted IS NULL THEN median ELSE greatest(p10, least(p90, shifted)) END, 7) END AS estimate,
   CASE WHEN comparable THEN round(CASE WHEN shifted IS NULL THEN 50 ELSE {RANKED.format(v="shifted")} END, 6) END AS position, CASE WHEN comparable THEN shifted IS NOT NULL END AS personalised,
   CASE WHEN comparable THEN CASE WHEN shifted < p10 THEN 'low' WHEN shifted > p90 THEN 'high' END END AS clamped, CASE WHEN NOT comparable THEN 'not comparable' END AS reason FROM s""",
 )

@@ -77,7 +77,8 @@ def cube_table(cells: DataFrame, key: Sequence[str], dims: Sequence[str]) -> Dat
 
 
 def cube_labels(df: DataFrame, key: Sequence[str], dim: str, doc: str = "doc") -> DataFrame:
-    label = F.from_json(F.get_json_object(F.try_element_at(layout(df, doc)["dims"], F.lit(dim)), "$.category.label"), TEXT_MAP)
+    """(key, code, label) of one dimension."""
+    label = F.from_json(F.get_json_object(F.try_element_at("dims", F.lit(dim)), "$.category.label"), TEXT_MAP)
     return layout(df, doc).select(*key, F.explode(label).alias("code", "label"))
 
 
