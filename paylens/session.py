@@ -17,6 +17,7 @@ def build_session(app: str = "paylens", cores: str | int = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PAYLENS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
