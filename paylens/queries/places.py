@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paylens.operators import lookups, ranking
+from paylens.operators import ranking
 from paylens.plans import core
 from paylens.queries.common import POSTING, RATES, WITH, YEARLY, nation_years, postings, r, rates, table
 from paylens.queries.registry import query
