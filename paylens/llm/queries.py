@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paylens.llm.exact_dedup import exact_dedup
 from paylens.llm.mixing import mix_sources
+from paylens.llm.substring_dedup import substring_dedup
 from paylens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,9 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 @query
 def op8_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
