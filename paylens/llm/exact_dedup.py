@@ -3,7 +3,7 @@
 Pass one adds every text's hash to a counting filter of one or several sightings, kept in
 segments that are merged in a tree. Pass two lets through every row whose positions were not
 all seen repeatedly; only the others, the possibly repeated ones, are shuffled by their hash
-and settled exactly. The filter's size follows the number of rows up to ``MOST_BITS``, which
+and settled exactly. The filter's size follows the number of rows up to ``bitmap.MOST_BITS``, which
 bounds what is broadcast; beyond that more rows take the exact way, and results stay the same.
 """
 
@@ -16,16 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paylens.llm.bitmap import PROBES, bitmap, bits_for, hits
 from paylens.llm.landing import landed, texts
 
-#: Bounds of the filter in bits: 8 KB to 4 MB.
-LEAST_BITS, MOST_BITS = 16, 25
-BITS_PER_ROW = 24
-PROBES = 4
-#: Bits of one segment, the unit in which filters are merged.
-SEGMENT = 1 << 16
-FAN_IN = 16
-
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_sha256, size)``: hash of the text without white space, code points of the original."""
@@ -34,57 +27,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return t.select("doc_id", F.sha2(bare.cast("binary"), 256).alias("text_sha256"), F.char_length("text").alias("size"))
 
 
-def _positions(hexes: pa.Array, bits: int) -> np.ndarray:
+def _positions(batch: pa.RecordBatch, bits: int) -> np.ndarray:
     """``(rows, PROBES)`` positions, read off the hash itself."""
-    raw = np.frombuffer(bytes.fromhex("".join(hexes.to_pylist())), ">u8").reshape(-1, 4)[:, :PROBES]
+    raw = np.frombuffer(bytes.fromhex("".join(batch.column("text_sha256").to_pylist())), ">u8").reshape(-1, 4)[:, :PROBES]
     return (raw.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sightings(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.uint8)
-        for b in batches:
-            if b.num_rows:
-                at, n = np.unique(_positions(b.column("text_sha256"), bits), return_counts=True)
-                seen[at] = np.minimum(seen[at] + n, 2)
-        rows = seen.reshape(-1, min(SEGMENT, 1 << bits))
-        used = np.flatnonzero(rows.any(axis=1))
-        if len(used):
-            once, more = (np.packbits(rows[used] >= k, axis=1) for k in (1, 2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int64()), pa.array([r.tobytes() for r in once], pa.binary()), pa.array([r.tobytes() for r in more], pa.binary())], ["segment", "once", "more"]
-            )
-
-    return run
-
-
-def _merge(t: pa.Table) -> pa.Table:
-    once, more = (np.stack([np.frombuffer(x, np.uint8) for x in t.column(c).to_pylist()]) for c in ("once", "more"))
-    have, twice = once[0].copy(), more[0].copy()
-    for o, m in zip(once[1:], more[1:], strict=True):
-        twice |= m | (have & o)
-        have |= o
-    return pa.table({"segment": t.column("segment")[:1], "part": pa.array([t.column("part")[0].as_py() // FAN_IN], pa.int64()), "once": pa.array([have.tobytes()], pa.binary()), "more": pa.array([twice.tobytes()], pa.binary())})
-
-
-def repeated_filter(rows: DataFrame, bits: int) -> np.ndarray:
-    """Bits that several rows set. At most ``2 ** MOST_BITS`` of them reach the driver."""
-    schema = "segment long, part long, once binary, more binary"
-    found = rows.select("text_sha256").mapInArrow(_sightings(bits), "segment long, once binary, more binary")
-    found = found.select("segment", F.spark_partition_id().cast("long").alias("part"), "once", "more")
-    parts = rows.rdd.getNumPartitions()
-    found = found.withColumn("part", F.floor(F.col("part") / FAN_IN))
-    while True:
-        found = found.groupBy("segment", "part").applyInArrow(_merge, schema)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            break
-    out = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, min(SEGMENT, 1 << bits) // 8)
-    for r in found.select("segment", "more").collect():
-        out[r["segment"]] |= np.frombuffer(r["more"], np.uint8)
-    return out.reshape(-1)
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, shuffled``.
 
@@ -96,17 +44,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     rows = landed(digests(docs, id_col, text_col), "digests")
-    n = rows.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, int(max(1, n) * BITS_PER_ROW).bit_length()))
-    shared = spark.sparkContext.broadcast(repeated_filter(rows, bits))
+    bits = bits_for(rows.count())
+    shared = spark.sparkContext.broadcast(bitmap(rows.select("text_sha256"), _positions, bits, "more"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more = shared.value
         for b in batches:
             if b.num_rows:
-                at = _positions(b.column("text_sha256"), bits)
-                hit = ((more[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                yield b.append_column("maybe", pa.array(hit))
+                yield b.append_column("maybe", pa.array(hits(b, _positions, bits, shared.value)))
 
     told = landed(rows.mapInArrow(probe, "doc_id long, text_sha256 string, size int, maybe boolean"), "probed")
     alone = told.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.lit(False).alias("shuffled"))

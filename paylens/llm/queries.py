@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm.exact_dedup import exact_dedup
+from paylens.llm.minhash_dedup import minhash_dedup
 from paylens.llm.mixing import mix_sources
 from paylens.llm.substring_dedup import substring_dedup
 from paylens.session import table
@@ -46,3 +47,8 @@ def op8_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf, "documents"))
