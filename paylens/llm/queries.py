@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm.context_tree import context_tree_scores
 from paylens.llm.exact_dedup import exact_dedup
 from paylens.llm.minhash_dedup import minhash_dedup
 from paylens.llm.mixing import mix_sources
@@ -52,3 +53,8 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup(table(spark, sf, "documents"))
+
+
+@query
+def op7_context_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return context_tree_scores(table(spark, sf, "documents"))
