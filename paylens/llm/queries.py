@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm.byte_bpe import byte_bpe
 from paylens.llm.context_tree import context_tree_scores
 from paylens.llm.exact_dedup import exact_dedup
 from paylens.llm.minhash_dedup import minhash_dedup
@@ -58,3 +60,9 @@ def op4_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_context_tree(spark: SparkSession, sf: str) -> DataFrame:
     return context_tree_scores(table(spark, sf, "documents"))
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    out = byte_bpe(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
