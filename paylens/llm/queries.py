@@ -14,6 +14,7 @@ from paylens.llm.exact_dedup import exact_dedup
 from paylens.llm.minhash_dedup import minhash_dedup
 from paylens.llm.mixing import mix_sources
 from paylens.llm.substring_dedup import substring_dedup
+from paylens.llm.token_files import crc32_of_ids, token_files
 from paylens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,8 @@ def op7_context_tree(spark: SparkSession, sf: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     out = byte_bpe(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return crc32_of_ids(token_files(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
