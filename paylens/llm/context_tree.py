@@ -21,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.llm.exchange import by_block, packed, slices, unpacked
+from paylens.llm.exchange import by_block, opened, slices, squeezed, unsqueezed
 from paylens.llm.landing import block_of, landed, texts, wide
 from paylens.llm.scan import Words, scan
 
 #: Context bytes (a gram and its bucket fit 64 bits up to 7). Subtrees below two bytes are whole in one bucket.
 DEPTH = 5
-ROWS = 2048
+ROWS = 4096
 #: Powers of two, so that no subtree is split.
 GRAM_BUCKETS = 256
 WORDS, GRAMS = 0, 1
+#: How counts of words and log probabilities of grams travel.
+VALUE = {WORDS: np.int64, GRAMS: np.float32}
 SPACE, END = 32, 10
 #: The end mark as a token.
 END_KEY = np.uint64(0xE0D)
@@ -108,8 +110,8 @@ def _gather(depth: int, buckets: int):
                             pa.array([kind] * len(parts), pa.int32()),
                             pa.array([b for b, _ in parts], pa.int64()),
                             pa.array([block] * len(parts), pa.int64()),
-                            packed([keys[s] for _, s in parts]),
-                            packed([counts[s].astype(np.int64) for _, s in parts]),
+                            squeezed([keys[s] for _, s in parts]),
+                            squeezed([counts[s].astype(np.int64) for _, s in parts]),
                         ],
                         ["kind", "bucket", "block", "keys", "counts"],
                     )
@@ -118,13 +120,13 @@ def _gather(depth: int, buckets: int):
 
 
 def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return _counted(unpacked(t.column("keys"))[0], unpacked(t.column("counts"), np.int64)[0])
+    return _counted(unsqueezed(t.column("keys")), unsqueezed(t.column("counts"), np.int64))
 
 
 def _answers(t: pa.Table, keys: np.ndarray, values: np.ndarray) -> pa.Table:
     """The value of each key sent, to the block that sent it."""
-    out = [values[np.searchsorted(keys, np.frombuffer(x, np.uint64))] for x in t.column("keys").to_pylist()]
-    return pa.table({"block": t.column("block"), "kind": t.column("kind"), "keys": t.column("keys"), "values": packed(out)})
+    out = [values[np.searchsorted(keys, opened(x))] for x in t.column("keys").to_pylist()]
+    return pa.table({"block": t.column("block"), "kind": t.column("kind"), "keys": t.column("keys"), "values": squeezed(out)})
 
 
 def _vocabulary(t: pa.Table) -> pa.Table:
@@ -134,7 +136,7 @@ def _vocabulary(t: pa.Table) -> pa.Table:
 
 def _frequencies(t: pa.Table) -> pa.Table:
     keys, counts = _totals(t)
-    return _answers(t, keys, counts.astype(np.float64))
+    return _answers(t, keys, counts.astype(VALUE[WORDS]))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -221,7 +223,7 @@ def _priced(depth: int, shared):
             p = np.where(seen, w * kt1[last, prefix] + (1 - w) * p, kt1[last, prefix])
             p = np.where(seen1[last, prefix], own0[prefix] * kt0[prefix] + (1 - own0[prefix]) * p, kt0[prefix])
             total += np.log10(np.where(bit == 1, p, 1 - p))
-        return _answers(t, keys, total)
+        return _answers(t, keys, total.astype(VALUE[GRAMS]))
 
     return run
 
@@ -264,8 +266,8 @@ def _score(depth: int, n: int, v: int):
         known = {}
         for k in (WORDS, GRAMS):
             mine = answers.filter(pa.array(kind == k))
-            keys, at = np.unique(unpacked(mine.column("keys"))[0], return_index=True)
-            known[k] = Table(keys, unpacked(mine.column("values"), np.float64)[0][at])
+            keys, at = np.unique(unsqueezed(mine.column("keys")), return_index=True)
+            known[k] = Table(keys, unsqueezed(mine.column("values"), VALUE[k])[at].astype(np.float64))
         out = []
         for i, j, w in scan(docs.column("text"), lower=True):
             keys, doc = tokens(w)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm.byte_bpe import byte_bpe
+from paylens.llm.cap_filters import cap_links
 from paylens.llm.context_tree import context_tree_scores
 from paylens.llm.exact_dedup import exact_dedup
 from paylens.llm.minhash_dedup import minhash_dedup
@@ -72,3 +73,8 @@ def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return crc32_of_ids(token_files(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op5_cap_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return cap_links(table(spark, sf, "embeddings"))
