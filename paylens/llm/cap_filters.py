@@ -26,9 +26,11 @@ from paylens.operators.graph import connected_components
 
 THRESHOLD = 0.95
 #: Codes, each with a rotation of its own; filters that a linked pair is expected to share in all; members of a filter.
-CODES, SHARED, LOAD = 4, 36.0, 48.0
+CODES, SHARED, LOAD = 4, 20.0, 48.0
 #: Members of one tile.
 TILE = 1024
+#: Small filters that are compared in one call.
+TOGETHER = 64
 SEED = 20240601
 
 
@@ -73,7 +75,7 @@ class Code:
         a, b = (turned[:, i * self.half : (i + 1) * self.half] @ self.words[i].T * math.sqrt(self.half) for i in range(2))
         order = np.argsort(-b, axis=1)
         b = np.take_along_axis(b, order, axis=1)
-        least = deviations * math.sqrt(2) - a  # what the partner must reach; the sum of both has variance 1 over the rotation
+        least = deviations - a  # what the partner must reach; the sum of both has variance 1
         row, one = np.nonzero(least <= b[:, :1])
         # the partners are a prefix; its length by bisection, all rows at once
         need = least[row, one]
@@ -87,7 +89,9 @@ class Code:
         return row, one * words + order[row, at]
 
 
-def _filters(dim: int, words: int, deviations: float, codes: int):
+def _filters(dim: int, words: int, deviations: float, codes: int, names_only: bool):
+    """One row per vector and filter: the vector, and all its filters in order; or the filters' names alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = [Code(dim, words, SEED + c) for c in range(codes)]
         for batch in batches:
@@ -97,49 +101,77 @@ def _filters(dim: int, words: int, deviations: float, codes: int):
                 found = [book.list(x, deviations) for book in books]
                 row = np.concatenate([r for r, _ in found])
                 name = np.concatenate([f + c * words * words for c, (_, f) in enumerate(found)])
+                if names_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64())], ["filter"])
+                    continue
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order]
-                own = np.split(name, np.searchsorted(row, np.arange(1, b.num_rows)))
-                packed = [o.astype(np.int64).tobytes() for o in own]
-                # a vector in no filter meets nobody
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("unit").take(pa.array(row)), pa.array(name, pa.int64()), pa.array([packed[r] for r in row], pa.binary())], ["id", "unit", "filter", "filters"])
+                own = [o.tobytes() for o in np.split(name, np.searchsorted(row, np.arange(1, b.num_rows)))]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "size", "unit")), pa.array(name, pa.int64()), pa.array([own[r] for r in row], pa.binary())], ["id", "size", "unit", "filter", "filters"])
 
     return run
 
 
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of ``n``."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _within(here: int, unit: np.ndarray, tile: np.ndarray, books: list[bytes], threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links among the members of one filter, and which of them no earlier filter has met."""
+    a, b = np.nonzero(np.triu(unit @ unit.T >= threshold - 1e-9, 1))
+    if across:
+        keep = tile[a] != tile[b]
+        a, b = a[keep], b[keep]
+    cosine = np.einsum("ij,ij->i", unit[a], unit[b])
+    for i in np.flatnonzero(np.abs(cosine - threshold) < 1e-9):  # too close for a sum in any order
+        cosine[i] = math.fsum(unit[a[i]] * unit[b[i]])
+    a, b = a[cosine >= threshold], b[cosine >= threshold]
+    if not len(a):
+        return a, b, np.zeros(0, bool)
+    used, at = np.unique(np.r_[a, b], return_inverse=True)
+    lists = [np.frombuffer(books[i], np.int64) for i in used]
+    lists = [x[: np.searchsorted(x, here)] for x in lists]
+    names, col = np.unique(np.concatenate(lists), return_inverse=True)
+    holds = np.zeros((len(used), len(names)), np.float32)
+    holds[np.repeat(np.arange(len(used)), [len(x) for x in lists]), col] = 1
+    before = holds @ holds.T > 0
+    return a, b, ~before[at[: len(a)], at[len(a) :]]
+
+
 def _linked(threshold: float):
-    """Links between the tiles of a filter that are first met in this filter, counted, and a spanning forest of all its links."""
+    """Links that are first met in these filters, counted by row, and a spanning forest of all their links."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        unit = np.stack([np.frombuffer(v, np.float64) for v in t.column("unit").to_pylist()])
-        n = len(ids)
-        one, two, here = t.column("one")[0].as_py(), t.column("two")[0].as_py(), t.column("filter")[0].as_py()
-        tile = t.column("tile").to_numpy()
-        size = t.column("size").to_numpy()
-        near = unit @ unit.T >= threshold - 1e-9
-        a, b = np.nonzero(np.triu(near, 1))
-        if one != two:
-            keep = tile[a] != tile[b]
-            a, b = a[keep], b[keep]
-        # exact cosine of the few, in one fixed order of summing
-        ok = np.array([math.fsum(unit[i] * unit[j]) >= threshold for i, j in zip(a, b, strict=True)], bool) if len(a) else np.zeros(0, bool)
-        a, b = a[ok], b[ok]
-        books = [np.frombuffer(x, np.int64) for x in t.column("filters").to_pylist()]
-        first = np.array([np.intersect1d(books[i], books[j], assume_unique=True)[0] == here for i, j in zip(a, b, strict=True)], bool) if len(a) else np.zeros(0, bool)
-        links = np.bincount(a[first], size[b[first]], n) + np.bincount(b[first], size[a[first]], n)
-        label = np.arange(n)
-        while len(a):  # smallest label among neighbours until nothing moves
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        used = np.flatnonzero((links > 0) | (label != np.arange(n)))
-        return pa.table({"id": pa.array(ids[used]), "links": pa.array(links[used].astype(np.int64)), "root": pa.array(ids[label[used]])})
+        t = t.sort_by("filter")
+        name, ids, size, tile = (t.column(c).to_numpy() for c in ("filter", "id", "size", "tile"))
+        units = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
+        books = t.column("filters").to_pylist()
+        across = t.column("one")[0].as_py() != t.column("two")[0].as_py()
+        cuts = np.r_[0, np.flatnonzero(np.diff(name)) + 1, len(name)]
+        out = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j - i > 1:
+                a, b, first = _within(int(name[i]), units[i:j], tile[i:j], books[i:j], threshold, across)
+                if len(a):
+                    n, weight = j - i, size[i:j].astype(float)
+                    links = np.bincount(a[first], weight[b[first]], n) + np.bincount(b[first], weight[a[first]], n)
+                    label = components(n, a, b)
+                    used = np.unique(np.r_[a, b])
+                    out.append((ids[i:j][used], links[used].astype(np.int64), ids[i:j][label[used]]))
+        ids, links, root = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
 
     return run
 
@@ -175,15 +207,16 @@ def cap_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     for r in classes.groupBy(F.expr("octet_length(unit) div 8").alias("dim")).count().collect():  # one row per length of vectors
         dim, n = r["dim"], r["count"]
         t, words = plan(n, threshold)
-        met = classes.filter(F.octet_length("unit") == 8 * dim).select("id", "unit").repartition(F.col("id")).mapInArrow(_filters(dim, words, t, CODES), "id long, unit binary, filter long, filters binary")
-        met = landed(met, f"filters-{dim}")
-        count = met.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE))
-        met = met.join(count.select("filter", "tiles"), "filter").withColumn("tile", F.expr("pmod(xxhash64(id), tiles)"))
+        mine = classes.filter(F.octet_length("unit") == 8 * dim).select("id", "size", "unit").repartition(F.col("id"))
+        names = mine.mapInArrow(_filters(dim, words, t, CODES, True), "filter long")
+        # only filters of more than a tile are cut into tiles
+        large = landed(names.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE).select("filter", F.ceil(F.col("n") / TILE).alias("tiles")), f"large-{dim}")
+        met = mine.mapInArrow(_filters(dim, words, t, CODES, False), "id long, size long, unit binary, filter long, filters binary")
+        met = met.join(large, "filter", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long"))).withColumn("tile", F.expr("pmod(xxhash64(id), tiles)"))
         # every pair of tiles once, a tile with itself among them
-        other = F.expr("transform(sequence(0L, tiles - 1), x -> struct(least(x, tile) AS one, greatest(x, tile) AS two))")
-        met = met.withColumn("pair", F.explode(other)).select("filter", "filters", "id", "unit", "tile", "pair.one", "pair.two")
-        met = met.join(classes.select("id", "size"), "id")
-        links = met.groupBy("filter", "one", "two").applyInArrow(_linked(threshold), "id long, links long, root long")
+        pairs = F.expr("transform(sequence(0L, tiles - 1), x -> struct(least(x, tile) AS one, greatest(x, tile) AS two))")
+        met = met.withColumn("pair", F.explode(pairs)).withColumn("part", F.when(F.col("tiles") > 1, -F.col("filter") - 1).otherwise(F.expr(f"filter div {TOGETHER}")))
+        links = met.select("part", "pair.one", "pair.two", "filter", "filters", "id", "size", "unit", "tile").groupBy("part", "one", "two").applyInArrow(_linked(threshold), "id long, links long, root long")
         found = links if found is None else found.unionByName(links)
     if found is None:
         alone = units.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
