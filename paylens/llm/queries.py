@@ -16,6 +16,7 @@ from paylens.llm.minhash_dedup import minhash_dedup
 from paylens.llm.mixing import mix_sources
 from paylens.llm.substring_dedup import substring_dedup
 from paylens.llm.token_files import crc32_of_ids, token_files
+from paylens.llm.toxicity import toxicity
 from paylens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_cap_filters(spark: SparkSession, sf: str) -> DataFrame:
     return cap_links(table(spark, sf, "embeddings"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
