@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from paylens.llm.landing import texts
 
-#: Entries of a worker's tables; a full one is dropped and grows again.
-MOST_TRANSITIONS, MOST_UNITS = 400_000, 300_000
+#: Entries of a worker's tables; a full table of transitions is dropped and grows again, the others keep two generations.
+MOST_TRANSITIONS, MOST_UNITS, MOST_PIECES = 500_000, 250_000, 150_000
 #: Tokens that are decoded at a time.
 STREAM = 1 << 16
 #: White space of Unicode, as the pattern's ``\\s`` means it.
@@ -114,15 +116,34 @@ class Transducer:
         if len(self.moves) > MOST_TRANSITIONS or len(self.fits) > MOST_TRANSITIONS:
             self.forget()
         out: list[int] = []
-        state = 0
+        state, moves = 0, self.moves
         for byte in piece:
-            state, certain = self.moves.get(state << 8 | byte) or self.move(state, byte)
+            step = moves.get(state << 8 | byte)
+            state, certain = step if step is not None else self.move(state, byte)
             if certain:
                 out += certain
         out += self.states[state][-1][2]  # the one that ended here
         return out
 
 
+class Pieces(dict):
+    """Ids of pieces, kept for two generations."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.encode, self.old = machine.encode, {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        found = self.old.get(piece)
+        if found is None:
+            if len(self) >= MOST_PIECES:
+                self.old = dict(self)
+                self.clear()
+            found = self.encode(piece.encode())
+        self[piece] = found
+        return found
+
+
 class Units(dict):
     """Ids, as packed bytes, of stretches of text that the pattern never crosses."""
 
@@ -137,13 +158,19 @@ class Units(dict):
             self.length[r] = len(t)
         self.bytes = np.frombuffer(b"".join(self.machine.token.get(r, b"") for r in range(size)), np.uint8)
         self.start = np.cumsum(self.length) - self.length
+        self.known, self.old = Pieces(self.machine), {}
 
     def ids(self, text: str) -> bytes:
-        encode = self.machine.encode
-        return np.array([i for p in self.pieces.findall(text) for i in encode(p.encode())], np.int32).tobytes()
+        return array("i", chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(text)))).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = self.ids(unit if unit[:1] == "\n" else " " + unit)
+        found = self.old.get(unit)
+        if found is None:
+            if unit.isalpha():  # one piece
+                found = array("i", self.known[" " + unit]).tobytes()
+            else:
+                found = self.ids(unit if unit[:1] == "\n" else " " + unit)
+        self[unit] = found
         return found
 
     def text(self, text: str) -> bytes:
@@ -151,6 +178,7 @@ class Units(dict):
         if ODD_SPACE.search(text):
             return self.ids(text)
         if len(self) > MOST_UNITS:
+            self.old = dict(self)
             self.clear()
         units = text.replace("\n", " \n").split(" ")
         first = self.ids(units[0])

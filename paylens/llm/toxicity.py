@@ -28,10 +28,10 @@ FOLDS, HELD = 3, 1
 #: Bounds of the samples: labelled rows that lexicons are mined from, and rows that the classifier is fitted on.
 MOST_LABELLED, MOST_FITTED = 20_000, 20_000
 #: Least share of toxic rows, and least number, that hold an entry; entries kept; lexicons they are dealt to.
-LEAST_SHARE, LEAST_ROWS, MOST_ENTRIES, LEXICONS = 0.01, 3, 256, 8
+LEAST_SHARE, LEAST_ROWS, MOST_ENTRIES, LEXICONS = 0.01, 3, 256, 12
 #: A document is rejected from this score on.
 REJECT = 0.7
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Patterns that vote besides the lexicons.
 PATTERNS = (re.compile(r"!{2,}"), re.compile(r"\b[A-Z]{4,}(?:\s+[A-Z]{4,})+"))
@@ -127,11 +127,15 @@ def _g2(a: int, pos: int, b: int, neg: int) -> float:
     return out
 
 
-def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[dict[str, int], float]:
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, label)`` of a fixed sample of at most ``MOST_LABELLED`` training rows."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    return landed(known.filter(training("id")).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED), "labelled")
+
+
+def mine(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[dict[str, int], float]:
     """Lexicon entries in order of weight of evidence, and the share of toxic rows in the sample."""
     t = docs.filter(training(id_col)).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
-    known = known.filter(training("id")).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED).cache()
     rows = t.join(F.broadcast(known), "id")  # at most MOST_LABELLED short rows
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -155,17 +159,18 @@ def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     return {e: i for i, e in enumerate(kept)}, share
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Posterior of class 1 for each vote pattern ``(patterns, voters)`` with its number of rows.
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Posterior of class 1 for each vote pattern ``(patterns, voters)``.
 
-    Given the class, a vote depends on one other vote at most: the tree of largest conditional
+    ``counts`` are the rows of a pattern without a label, ``known`` ``(2, patterns)`` those of the
+    labelled sample, whose class is not in question and keeps the classes in place. Given the class, a vote depends on one other vote at most: the tree of largest conditional
     mutual information, found anew as the classes settle.
     """
     n, k = votes.shape
     p = np.where(votes[:, :LEXICONS].any(axis=1), 0.9, 0.02)
     parent = np.full(k, -1)
     for r in range(rounds):
-        w = np.stack([counts * (1 - p), counts * p])  # (class, pattern)
+        w = np.stack([counts * (1 - p), counts * p]) + known  # (class, pattern)
         prior = (w.sum(axis=1) + 1) / (w.sum() + 2)
         if r in (5, 15, 30):
             parent = dependencies(votes, w)
@@ -244,24 +249,27 @@ def _vote_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(model.found(x), x) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([model.votes(f, x) for f, x in found], pa.int32()), pa.array([f for f, _ in found], pa.list_(pa.int32()))], ["h", "votes", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array([model.votes(f, x) for f, x in found], pa.int32()), pa.array([f for f, _ in found], pa.list_(pa.int32()))], ["h", "label", "votes", "found"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from training rows alone."""
-    entries, share = mine(docs, labels, id_col, text_col, label_col)
+    known = labelled(labels, id_col, label_col)
+    entries, share = mine(docs, known, id_col, text_col)
     model = Model(entries, np.zeros(len(entries) + VOTERS + 1), math.log(share / (1 - share)))
     if not entries:
         return model
-    train = docs.filter(training(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    rows = landed(train.mapInArrow(_vote_rows(model), "h long, votes int, found array<int>"), "votes")
-    patterns = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # at most 2 ** VOTERS
+    train = docs.filter(training(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("id"))
+    train = train.join(F.broadcast(known), "id", "left").select("text", "h", "label")
+    rows = landed(train.mapInArrow(_vote_rows(model), "h long, label int, votes int, found array<int>"), "votes")
+    patterns = rows.groupBy("votes").agg(*(F.count(F.when(c, 1)) for c in (F.col("label").isNull(), F.col("label") == 0, F.col("label") == 1))).orderBy("votes").collect()  # at most 2 ** VOTERS
     if not patterns:
         return model
     bits = np.array([[r["votes"] >> k & 1 for k in range(VOTERS)] for r in patterns])
-    posterior = dict(zip((r["votes"] for r in patterns), fit_label_model(bits, np.array([r["n"] for r in patterns], float)), strict=True))
+    counts = np.array([r[1:] for r in patterns], float).T
+    posterior = dict(zip((r["votes"] for r in patterns), fit_label_model(bits, counts[0], counts[1:]), strict=True))
     sample = rows.orderBy("h", "votes", "found").limit(MOST_FITTED).collect()
     x = features([list(r["found"]) for r in sample], [r["votes"] for r in sample], len(entries))
     model.weights, model.bias = fit_linear(x, np.array([posterior[r["votes"]] for r in sample]))
