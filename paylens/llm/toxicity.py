@@ -31,7 +31,9 @@ MOST_LABELLED, MOST_FITTED = 20_000, 20_000
 LEAST_SHARE, LEAST_ROWS, MOST_ENTRIES, LEXICONS = 0.01, 3, 256, 12
 #: A document is rejected from this score on.
 REJECT = 0.7
-BEGINNINGS = (3, 4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: An entry can ask for up to so many different words with its beginning: one alone may be an innocent word.
+MOST_DIFFERENT = 3
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Patterns that vote besides the lexicons.
 PATTERNS = (re.compile(r"!{2,}"), re.compile(r"\b[A-Z]{4,}(?:\s+[A-Z]{4,})+"))
@@ -44,14 +46,14 @@ def training(id_col: str) -> Column:
 
 
 def entries_of(text: str) -> set[str]:
-    """Words, marked by a full stop, and beginnings of longer words."""
-    out = set()
+    """``beginning#k``: at least ``k`` different words of the text begin so; ``word.#1``: the word itself."""
+    n: Counter = Counter()
     for w in set(WORD.findall(text.lower())):
-        out.add(w + ".")
-        for n in BEGINNINGS:
-            if len(w) > n:
-                out.add(w[:n])
-    return out
+        n[w + "."] += 1
+        for size in BEGINNINGS:
+            if len(w) >= size:
+                n[w[:size]] += 1
+    return {f"{e}#{k}" for e, many in n.items() for k in range(1, min(many, MOST_DIFFERENT) + 1)}
 
 
 @dataclass
@@ -64,18 +66,21 @@ class Model:
 
     def __post_init__(self):
         self.heads = {e[:3] for e in self.entries}
+        self.asked: dict[str, list[tuple[int, int]]] = {}
+        for e, i in self.entries.items():
+            beginning, k = e.split("#")
+            self.asked.setdefault(beginning, []).append((int(k), i))
 
     def found(self, text: str) -> list[int]:
         """Entries of a text, in order."""
-        out = set()
-        entries, heads = self.entries, self.heads
+        n: Counter = Counter()
+        asked, heads = self.asked, self.heads
         for w in set(WORD.findall(text.lower())):
             if w[:3] in heads:
-                for e in (w + ".", *(w[:n] for n in BEGINNINGS if len(w) > n)):
-                    i = entries.get(e)
-                    if i is not None:
-                        out.add(i)
-        return sorted(out)
+                for e in (w + ".", *(w[:size] for size in BEGINNINGS if len(w) >= size)):
+                    if e in asked:
+                        n[e] += 1
+        return sorted(i for e, many in n.items() for k, i in asked[e] if many >= k)
 
     def votes(self, found: list[int], text: str) -> int:
         """One bit per voter that fires."""
@@ -127,6 +132,12 @@ def _g2(a: int, pos: int, b: int, neg: int) -> float:
     return out
 
 
+def _covers(kept: str, entry: str) -> bool:
+    """Whether ``kept`` is found wherever ``entry`` is, so that ``entry`` says nothing more."""
+    (a, j), (b, k) = kept.split("#"), entry.split("#")
+    return b.startswith(a) and j <= k
+
+
 def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """``(id, label)`` of a fixed sample of at most ``MOST_LABELLED`` training rows."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
@@ -154,7 +165,7 @@ def mine(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple
     for g, e in sorted(scored, key=lambda x: (-x[0], x[1])):
         if g <= bar or len(kept) == MOST_ENTRIES:
             break
-        if not any(e.startswith(k) for k in kept):  # an entry that a kept beginning covers says nothing more
+        if not any(_covers(k, e) for k in kept):
             kept.append(e)
     return {e: i for i, e in enumerate(kept)}, share
 
