@@ -133,9 +133,9 @@ def _g2(a: int, pos: int, b: int, neg: int) -> float:
 
 
 def _covers(kept: str, entry: str) -> bool:
-    """Whether ``kept`` is found wherever ``entry`` is, so that ``entry`` says nothing more."""
+    """Whether one is found wherever the other is: a narrower entry says nothing more, a wider one of less weight is less sure."""
     (a, j), (b, k) = kept.split("#"), entry.split("#")
-    return b.startswith(a) and j <= k
+    return b.startswith(a) and j <= k or a.startswith(b) and k <= j
 
 
 def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -162,7 +162,7 @@ def mine(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple
     bar = 2 * math.log(max(2, len(often)))
     scored = [(_g2(a, pos, clean.get(e, 0), neg), e) for e, a in often.items() if (a + 0.5) / (pos + 1) > 8 * (clean.get(e, 0) + 0.5) / (neg + 1)]
     kept: list[str] = []
-    for g, e in sorted(scored, key=lambda x: (-x[0], x[1])):
+    for g, e in sorted(scored, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
         if g <= bar or len(kept) == MOST_ENTRIES:
             break
         if not any(_covers(k, e) for k in kept):
