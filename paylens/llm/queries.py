@@ -14,6 +14,7 @@ from paylens.llm.context_tree import context_tree_scores
 from paylens.llm.exact_dedup import exact_dedup
 from paylens.llm.minhash_dedup import minhash_dedup
 from paylens.llm.mixing import mix_sources
+from paylens.llm.personal_data import KINDS, personal_data
 from paylens.llm.substring_dedup import substring_dedup
 from paylens.llm.token_files import crc32_of_ids, token_files
 from paylens.llm.toxicity import toxicity
@@ -84,3 +85,14 @@ def op5_cap_filters(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    out = personal_data(table(spark, sf, "documents"))
+
+    def line(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(line("base").cast("binary"), 256).alias("base_sha256"), line("spans").alias("spans"))
