@@ -3,10 +3,13 @@
 Texts with one set of shingles are first made one class. A class is hashed once into ``bins``
 minima; an empty bin borrows from the bin that a hash of (bin, attempt) names, the first that is
 not empty. Bands of bins give buckets, and each bucket is a star: its members are compared with
-a few centres instead of with each other. Links are confirmed on full sets. Members of a bucket
-that confirmed links have not joined yet are compared with twice as many new centres, round by
-round, until every bucket is one component or all its members have been centres, so stars lose
-no link that a bucket holds.
+one centre, the member that meets the most others over all its buckets, instead of with each
+other. Links are confirmed on full sets.
+
+A star can miss links between its rays. So the members of every bucket that confirmed links have
+not made one component are joined once more, exactly: two sets of the wanted similarity share one
+of their first shingles in any fixed order, at places that leave room for the overlap. With rare
+shingles first, only pairs that are nearly similar remain.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ SHINGLE, THRESHOLD = 5, 85
 BANDS, ROWS = 32, 6
 #: Documents of one step of the signatures.
 STEP_DOCS = 256
+#: Cells in which shingles are counted to tell rare from common ones, 4 MB in all, and the parts they are summed in.
+CELL_BITS, CELL_PARTS = 20, 16
+CELLS = 1 << CELL_BITS
 ENDS = "doc_id long, n_shingles long, set_hash binary, shingles binary"
 
 
@@ -135,10 +141,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(doc), pa.array(n)], ["bucket", "doc", "n"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The links among ``pairs`` (a, b) of ids: whole sets are made again from the texts of these ids alone."""
-    spark = pairs.sparkSession
-    ids = landed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, n_shingles, shingles)`` of the documents in ``ids``, made again from their texts alone; a few more may come along."""
+    spark = ids.sparkSession
     bits, at = bits_for(ids.count()), id_positions("doc_id")
     shared = spark.sparkContext.broadcast(bitmap(ids, at, bits, "once"))
     make = _sets(size)
@@ -146,46 +151,91 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) ->
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return make(b.filter(pa.array(hits(b, at, bits, shared.value))) for b in batches if b.num_rows)
 
-    sets = landed(docs.mapInArrow(some, ENDS).filter("n_shingles > 0").select("doc_id", "shingles"), "sets")
+    return landed(docs.mapInArrow(some, ENDS).filter("n_shingles > 0").select("doc_id", "n_shingles", "shingles"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The links among ``pairs`` (a, b), on whole sets."""
     right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
     return landed(both.select("a", "b", "left", "right").mapInArrow(_confirm(threshold), "a long, b long"), "links")
 
 
-def _joined(members: DataFrame, docs: DataFrame, size: int, threshold: int, links: DataFrame | None) -> DataFrame | None:
-    """``(id, cluster)`` of the classes that confirmed links join; ``members`` are ``(bucket, doc, n)``."""
-    tried, label, depth = None, None, 0
-    if links is not None:
-        label = landed(connected_components(links, "a", "b"), "labels")
-    left = members
-    while True:
-        if label is not None:
-            named = left.join(label.select(F.col("id").alias("doc"), "cluster"), "doc", "left").withColumn("label", F.coalesce("cluster", "doc")).drop("cluster")
-        else:
-            named = left.withColumn("label", F.col("doc"))
-        # centres: the smallest id of each of 2 ** depth shares of a bucket, so every round keeps the centres before
-        named = named.withColumn("share", F.expr(f"pmod(xxhash64(doc), {1 << depth})"))
-        centre = named.groupBy("bucket", "share").agg(F.min_by(F.struct("doc", "n", "label"), "doc").alias("c"), F.count_distinct("doc").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        whole = centre.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        centre = landed(centre.join(whole.filter("lo <> hi").select("bucket"), "bucket"), "centres")
-        met = named.join(centre.select("bucket", "c"), "bucket").filter("label <> c.label")
-        met = met.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * threshold)
-        pairs = met.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = landed(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = _confirmed(pairs, docs, size, threshold)
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                label = landed(connected_components(links, "a", "b"), "labels")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-        # a bucket is settled when it is one component or each of its members has been a centre
-        if centre.filter("m > 1").isEmpty():
-            return label
-        open_ = centre.filter("m > 1").select("bucket").distinct()
-        left = landed(left.join(open_, "bucket", "left_semi"), "open")
-        depth += 1
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold a shingle of each cell."""
+    n = np.zeros(CELLS, np.uint32)
+    for b in batches:
+        for x in b.column("shingles").to_pylist():
+            np.add.at(n, (np.frombuffer(x, np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+    parts = n.reshape(-1, CELLS // CELL_PARTS) if n.any() else []
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), packed(list(parts))], ["part", "counts"])
+
+
+def _crowd_sum(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in t.column("counts").to_pylist())
+    return pa.table({"part": t.column("part")[:1].combine_chunks(), "counts": packed([np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)])})
+
+
+def _prefixes(threshold: int, shared):
+    """A set's first shingles, rare ones first: two similar sets share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd = shared.value
+        for b in batches:
+            tokens, rows, places = [], [], []
+            for r, x in enumerate(b.column("shingles").to_pylist()):
+                s = np.frombuffer(x, np.uint64)
+                s = s[np.lexsort((s, crowd[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))]
+                first = len(s) - -(-threshold * len(s) // 100) + 1
+                tokens.append(s[:first].view(np.int64))
+                rows.append(np.full(first, r))
+                places.append(np.arange(first))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(b.column(c).take(take) for c in ("doc_id", "n_shingles", "label")), pa.array(np.concatenate(places), pa.int64())], ["token", "doc", "n", "label", "place"])
+
+    return run
+
+
+def _completed(open_: DataFrame, label: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """All links among the documents of ``open_`` between different components, exactly."""
+    sets = _sets_of(open_, docs, size)
+    own = sets.join(open_, "doc_id")
+    own = own.join(label.select(F.col("id").alias("doc_id"), "cluster"), "doc_id", "left").withColumn("label", F.coalesce("cluster", "doc_id"))
+    own = landed(own.select("doc_id", "n_shingles", "shingles", "label"), "open-sets")
+    crowd = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), np.uint32)
+    counts = own.select("shingles").mapInArrow(_crowds, "part long, counts binary").groupBy("part").applyInArrow(_crowd_sum, "part long, counts binary")
+    for r in counts.collect():  # CELLS numbers in all
+        crowd[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    shared = open_.sparkSession.sparkContext.broadcast(crowd.reshape(-1))
+    first = landed(own.mapInArrow(_prefixes(threshold, shared), "token long, doc long, n long, label long, place long"), "prefixes")
+    mixed = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    first = landed(first.join(mixed, "token"), "mixed")
+    x, y = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "label", "place")]) for side in ("x", "y"))
+    met = x.join(y, "token").filter("doc_x < doc_y AND label_x <> label_y")
+    met = met.filter(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * threshold)
+    # what is left after the places where they meet must hold the overlap that the similarity asks for
+    met = met.filter((1 + F.least(F.expr("n_x - place_x - 1"), F.expr("n_y - place_y - 1"))) * (100 + threshold) >= F.expr("n_x + n_y") * threshold)
+    pairs = landed(met.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct(), "pairs")
+    return _confirmed(pairs, sets, threshold)
+
+
+def _joined(members: DataFrame, docs: DataFrame, size: int, threshold: int, bridge: DataFrame) -> DataFrame:
+    """``(id, cluster)`` of the classes that links join; ``members`` are ``(bucket, doc, n, m)`` of buckets of ``m`` members."""
+    degree = members.groupBy("doc").agg(F.sum("m").alias("degree"))
+    ranked = landed(members.join(degree, "doc").select("bucket", "doc", "n", "degree"), "ranked")
+    centre = landed(ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc")).alias("back"), "n")).alias("c")).select("bucket", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+    met = ranked.join(centre, "bucket").filter("doc <> centre").filter(F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * threshold)
+    pairs = landed(met.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct(), "pairs")
+    ids = landed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    links = landed(_confirmed(pairs, _sets_of(ids, docs, size), threshold).unionByName(bridge), "links")
+    label = landed(connected_components(links, "a", "b"), "labels")
+    named = ranked.join(label.select(F.col("id").alias("doc"), "cluster"), "doc", "left").withColumn("label", F.coalesce("cluster", "doc"))
+    named = landed(named.select("bucket", "doc", "label"), "named")
+    apart = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    open_ = landed(named.join(apart, "bucket").select(F.col("doc").alias("doc_id")).distinct(), "open")
+    more = _completed(open_, label, docs, size, threshold)
+    return landed(connected_components(links.unionByName(more), "a", "b"), "labels")
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -204,15 +254,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = landed(some.groupBy("set_hash").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands")).alias("c")).select("set_hash", F.col("c.doc_id").alias("doc"), F.col("c.n").alias("n"), F.col("c.bands").alias("bands")), "classes")
     spread = classes.select("bands", "doc", "n").mapInArrow(_spread, "bucket long, doc long, n long")
     spread = landed(spread, "spread")
-    shared = spread.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("bucket")
+    shared = spread.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("bucket", "m")
     members = landed(spread.join(shared, "bucket"), "members")
     # an id with several texts joins their classes
     owned = landed(some.join(classes.select("set_hash", "doc"), "set_hash").select("doc_id", "doc"), "owned")
     bridge = owned.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("a", "b")
-    bridge = landed(bridge, "bridges")
-    label = _joined(members, t.filter("doc_id IS NOT NULL"), shingle, threshold, None if bridge.isEmpty() else bridge)
-    named = owned if label is None else owned.join(label.withColumnRenamed("id", "doc"), "doc", "left")
-    named = named.select("doc_id", F.coalesce("cluster", "doc").alias("component_id") if label is not None else F.col("doc").alias("component_id"))
+    label = _joined(members, t.filter("doc_id IS NOT NULL"), shingle, threshold, bridge)
+    named = owned.join(label.withColumnRenamed("id", "doc"), "doc", "left").select("doc_id", F.coalesce("cluster", "doc").alias("component_id"))
     named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -226,8 +226,8 @@ def test_lgamma_and_evidence():
 
 def test_scores_of_unseen_texts_beat_single_tokens(spark):
     rnd = random.Random(11)
-    parts = ["an", "ble", "wh", "tion", "er", "st", "ou", "ing"]
-    rows = [(i, " ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5))) for _ in range(150)), "s") for i in range(300)]
+    tongues = [["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 7))) for _ in range(150)] for letters in ("abcdef", "ghijkl", "mnopqr", "stuvwx")]
+    rows = [(i, " ".join(rnd.choice(tongues[i % 4]) for _ in range(200)), "s") for i in range(300)]
     got = context_tree_scores(frame(spark, rows)).filter("held_out").collect()
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
