@@ -66,8 +66,9 @@ def parse_pay(col: Column) -> Column:
     Two numbers must touch a currency sign, or a code must follow the range. A code
     anywhere in the text beats the sign; a thousands mark on the upper number holds for both.
     """
+    # How ranges and periods are written
     signed = r"([$£€])\s*([\d.]+)\s*([kK]?)\s*-\s*[$£€]?\s*([\d.]+)\s*([kK]?)"
-    coded = rf"(?<![\d.])([\d.]+)\s*-\s*([\d.]+)\s*([kK]?)\s*({PAY_CODES})(?!\w)"
+    coded = rf"(?<![\d.])([\d.]+)\s*-\s*([\d.]+)\s*([kK]?)\s*({PAY_CODES})(?U:\b)"
     signs = F.create_map(*[F.lit(x) for kv in SYMBOL_CURRENCY.items() for x in kv])
 
     def reading(lo: Column, lo_mark: Column, hi: Column, hi_mark: Column, currency: Column) -> Column:
@@ -85,7 +86,7 @@ def parse_pay(col: Column) -> Column:
         )
 
     def whole(t: Column) -> Column:
-        code = F.nullif(F.upper(F.regexp_extract(t, rf"(?i)(?<!\w)({PAY_CODES})(?!\w)", 1)), F.lit(""))
+        code = F.nullif(F.upper(F.regexp_extract(t, rf"(?i)(?U:\b)({PAY_CODES})(?U:\b)", 1)), F.lit(""))
         at = lambda g, i: F.get(g, F.lit(i))
         first = let(
             _groups(t, signed, 5),
@@ -95,7 +96,7 @@ def parse_pay(col: Column) -> Column:
             _groups(t, coded, 4), lambda g: reading(at(g, 0), F.lit(""), at(g, 1), at(g, 2), F.coalesce(code, at(g, 3)))
         )
         period = (
-            F.when(t.rlike(r"(?i)/\s*hour|hourly|per\s*hour|(?<!\w)hr(?!\w)"), "hour")
+            F.when(t.rlike(r"(?i)/\s*hour|hourly|per\s*hour|(?U:\b)hr(?U:\b)"), "hour")
             .when(t.rlike(r"(?i)/\s*month|monthly|per\s*month"), "month")
             .otherwise("year")
         )
@@ -127,7 +128,7 @@ def fix_period(pay: Column) -> Column:
         & (pay["currency"] == "USD")
         & (pay["max"] > 0)
         & (pay["max"] < HOURLY_MAX_USD)
-        & ~F.coalesce(pay["raw_text"], F.lit("")).rlike(r"\d\s*[kK](?!\w)")
+        & ~F.coalesce(pay["raw_text"], F.lit("")).rlike(r"\d\s*[kK](?U:\b)")
     )
     return F.when(F.coalesce(hourly, F.lit(False)), pay.withField("period", F.lit("hour"))).otherwise(pay)
 
@@ -202,10 +203,10 @@ def effective_year(*dates: Column) -> Column:
 def level_of_title(col: Column) -> Column:
     """Seniority named by a title; the first rule that fires wins."""
     t = F.lower(col)
-    edge = lambda words: rf"(?<!\w)(?:{words})(?!\w)"
+    edge = lambda words: rf"(?U:\b)(?:{words})(?U:\b)"
     return (
         F.when(t.rlike(edge("intern(?:ship)?")), "intern")
-        .when(t.rlike(r"(?<!\w)(?:staff|principal|distinguished|director|head of|vp(?!\w))"), "staff+")
+        .when(t.rlike(r"(?U:\b)(?:staff|principal|distinguished|director|head of|vp(?U:\b))"), "staff+")
         .when(t.rlike(edge(r"senior|sr|lead|iii|l3|l4")), "senior")
         .when(t.rlike(edge(r"junior|jr|entry|graduate|new grad|associate|i")), "junior")
     )

@@ -144,7 +144,7 @@ def registry_findings(mappings: DataFrame, registry: DataFrame, live: DataFrame)
     return rows.unionByName(twice)
 
 
-PLACEHOLDER_NOTE = r"(?i)(?<!\w)(?:todo|tbd|fixme|placeholder|lorem|xxx)(?!\w)"
+PLACEHOLDER_NOTE = r"(?i)(?U:\b)(?:todo|tbd|fixme|placeholder|lorem|xxx)(?U:\b)"
 
 
 def note_findings(mappings: DataFrame, note: str = "note") -> DataFrame:

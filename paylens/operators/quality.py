@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions import text
 from paylens.operators.quantiles import group_median
+from paylens.session import cut_lineage
 
 FINDING = "rule string, severity string, entity string, field string, observed double, bound double, detail string"
 ORDER = ("p10", "p25", "median", "p75", "p90")
@@ -439,23 +440,22 @@ def split_status(df: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- documents
 
 
-def flatten_leaves(df: DataFrame, key: Sequence[str], payload: str, depth: int = 8) -> DataFrame:
+def flatten_leaves(df: DataFrame, key: Sequence[str], payload: str) -> DataFrame:
     """Free-form JSON documents as (key, path, value), array positions collapsed to ``[]``.
 
-    ``depth`` is how many levels are opened; anything deeper stays one JSON text.
+    Levels are opened until none is left; each is checkpointed, so no level is parsed twice.
     """
     cur = df.select(*key, F.lit("").alias("path"), F.try_parse_json(F.col(payload)).alias("v")).filter("v IS NOT NULL")
-    kind = "schema_of_variant(v)"
     leaves = []
-    for _ in range(depth):
-        cur = cur.withColumn("__k", F.expr(kind))
-        nested = cur.filter("__k LIKE 'OBJECT%' OR __k LIKE 'ARRAY%'")
-        leaves.append(cur.filter("NOT (__k LIKE 'OBJECT%' OR __k LIKE 'ARRAY%')").select(*key, "path", F.expr("cast(v AS string)").alias("value")))
+    while True:
+        cur = cut_lineage(cur.select(*key, "path", "v", F.expr("schema_of_variant(v)").rlike("^(OBJECT|ARRAY)").alias("__deep")))
+        nested = cur.filter("__deep")
+        leaves.append(cur.filter("NOT __deep").select(*key, "path", F.expr("cast(v AS string)").alias("value")))
+        if nested.isEmpty():
+            return union(leaves)
         opened = nested.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
         step = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
         cur = opened.select(*key, step.alias("path"), F.col("value").alias("v"))
-    leaves.append(cur.select(*key, "path", F.expr("cast(v AS string)").alias("value")))
-    return union(leaves)
 
 
 # Names that hold identifiers, places or dates, which are not measured.

@@ -176,7 +176,7 @@ def stratified_sample(df: DataFrame, strata: str, value: str, quota: int, seed:
     return top_k(distinct.withColumn("__h", h), [strata], [F.col("__h"), F.col(value)], quota).drop("__h", "rank")
 
 
-def search_names(df: DataFrame, name: str, q: str, k: int = 6) -> DataFrame:
+def search_names(df: DataFrame, name: str, q: str, k: int) -> DataFrame:
     return df.filter(F.contains(F.lower(name), F.lit(q.strip().lower()))).orderBy(name).limit(k)
 
 
@@ -188,11 +188,11 @@ def search_places(df: DataFrame, place: str, country: str, q: str) -> DataFrame:
     return df.filter(hit)
 
 
-def origins(df: DataFrame, origin: str, value: str, q: str = "", k: int = 6) -> DataFrame:
-    """Largest origins, or those matching a text, with their share of the largest."""
+def origins(df: DataFrame, origin: str, value: str, k: int, q: str = "") -> DataFrame:
+    """The ``k`` largest origins, or largest of those matching a text, with their share of the largest."""
     top = F.broadcast(df.agg(F.greatest(F.max(value), F.lit(1.0)).alias("__max")))  # one row
     shown = df.filter(F.contains(F.lower(origin), F.lit(q.lower()))) if len(q) > 1 else df
-    shown = shown.orderBy(F.desc(value), origin).limit(10 if len(q) > 1 else k)
+    shown = shown.orderBy(F.desc(value), origin).limit(k)
     return shown.join(top).withColumn("share_of_max", F.col(value) / F.col("__max")).drop("__max")
 
 
@@ -223,9 +223,9 @@ def axis_years(v: Column) -> Column:
 
 
 def compare_view(long: DataFrame, place: str, places: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Metrics as rows, up to six places as columns, with the best place of each row and the widths
+    """Metrics as rows, places as columns, with the best place of each row and the widths
     relative to the row's largest value."""
-    places = list(places)[:6]
+    places = list(places)
     d = long.filter(F.col(place).isin(*places) & F.col("metric").isin(*metrics))
     best = d.groupBy("metric").agg(
         F.max("value").alias("row_max"),

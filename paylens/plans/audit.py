@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from paylens.operators import dedupe, quality, stats
 
 
-def profile_documents(df: DataFrame, key: Sequence[str], payload: str, depth: int = 6) -> DataFrame:
+def profile_documents(df: DataFrame, key: Sequence[str], payload: str) -> DataFrame:
     """Numeric profile of every measured path of JSON documents that is mostly numbers."""
-    leaves = quality.measured(quality.flatten_leaves(df, key, payload, depth))
+    leaves = quality.measured(quality.flatten_leaves(df, key, payload))
     leaves = leaves.select("path", F.col("value").try_cast("double").alias("v"))
     numeric = leaves.groupBy("path").agg(F.count("v").alias("__n"), F.count(F.lit(1)).alias("__of")).filter("__n >= 12 AND __n >= 0.5 * __of")
     return stats.profile_numeric(leaves.join(numeric.select("path"), "path", "left_semi"), ["path"], "v")

@@ -264,7 +264,7 @@ def result_cap(spark, sf):
 
 @query("name_search", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#00000001') ORDER BY c_name LIMIT 6")
 def name_search(spark, sf):
-    return ranking.search_names(table(spark, sf, "customer"), "c_name", " #00000001 ").select("c_custkey", "c_name")
+    return ranking.search_names(table(spark, sf, "customer"), "c_name", " #00000001 ", 6).select("c_custkey", "c_name")
 
 
 @query(
@@ -284,7 +284,7 @@ def place_search(spark, sf):
 )
 def origins(spark, sf):
     o = nation_years(spark, sf).groupBy(F.col("entity").alias("origin")).agg(F.sum("n").cast("double").alias("value"))
-    return ranking.origins(o, "origin", "value").select("origin", "value", r("share_of_max", 6).alias("share_of_max"))
+    return ranking.origins(o, "origin", "value", 6).select("origin", "value", r("share_of_max", 6).alias("share_of_max"))
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from paylens.queries.common import WITH, r, table
 from paylens.queries.registry import query
+from paylens.session import cut_lineage
 from paylens.sources import cubes, postings, tables
 
 
@@ -14,20 +17,23 @@ def order_cubes(spark, sf, nested: bool = False):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     d = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", F.substring("o_orderpriority", 1, 1).alias("p"), F.year("o_orderdate").alias("y"), "o_totalprice")
     cell = d.groupBy("c_nationkey", "p", "y").agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count(F.lit(1)).alias("n"))
-    cell = cell.withColumn("idx", (F.col("p").cast("int") - 1) * 7 + F.col("y") - 1995)
+    cell = cut_lineage(cell)
+    lo, hi = cell.agg(F.min("y"), F.max("y")).first()  # two numbers
+    years = list(range(lo, hi + 1)) if lo else []
+    cell = cell.withColumn("idx", (F.col("p").cast("int") - 1) * len(years) + F.col("y") - (lo or 0))
     text_of = F.concat(F.lit('"'), F.col("idx").cast("string"), F.lit('":'), F.format_string("%.2f", "v"))
     flag_of = F.when(F.col("n") < 10, F.concat(F.lit('"'), F.col("idx").cast("string"), F.lit('":"u"')))
     per = cell.groupBy("c_nationkey").agg(
-        F.array_join(F.collect_list(text_of), ",").alias("sparse"),  # 35 cells
+        F.array_join(F.collect_list(text_of), ",").alias("sparse"),  # priorities times years
         F.array_join(F.collect_list(flag_of), ",").alias("flags"),
         F.map_from_entries(F.collect_list(F.struct("idx", F.format_string("%.2f", "v").alias("v")))).alias("m"),
     )
-    dense = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(34)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit("null"))), ",")
-    head = '{"id":["pri","time"],"size":[5,7],' if not nested else "{"
-    inner = "" if not nested else '"id":["pri","time"],"size":[5,7],'
+    dense = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(0, 5 * len(years) - 1))), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit("null"))), ",")
+    head = '{"id":["pri","time"],"size":[5,%d],' % len(years) if not nested else "{"
+    inner = "" if not nested else '"id":["pri","time"],"size":[5,%d],' % len(years)
     dims = (
         f'{head}"dimension":{{{inner}"pri":{{"category":{{"index":{{"1":0,"2":1,"3":2,"4":3,"5":4}},"label":{{"1":"urgent","2":"high","3":"medium","4":"open","5":"low"}}}}}},'
-        '"time":{"category":{"index":["1995","1996","1997","1998","1999","2000","2001"]}}},"value":'
+        '"time":{"category":{"index":%s}}},"value":' % json.dumps([str(y) for y in years])
     )
     value = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("["), dense, F.lit("]"))).otherwise(F.concat(F.lit("{"), "sparse", F.lit("}")))
     doc = F.concat(F.lit(dims), value, F.lit(',"status":{'), "flags", F.lit("}}"))
@@ -69,7 +75,7 @@ def unpivot_years(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     iso = F.when(F.col("c_nationkey") % 3 == 0, "SWE").when(F.col("c_nationkey") % 3 == 1, "NOR").otherwise("DEU")
     d = o.join(c, o.o_custkey == c.c_custkey).select("c_custkey", iso.alias("ISO"), F.year("o_orderdate").cast("string").alias("y"), "o_totalprice")
-    wide = d.groupBy("c_custkey", "ISO").pivot("y", [str(y) for y in range(1995, 2002)]).agg(F.format_number(F.round(F.sum("o_totalprice"), 2), 2))
+    wide = d.groupBy("c_custkey", "ISO").pivot("y").agg(F.format_number(F.round(F.sum("o_totalprice"), 2), 2))
     wide = wide.withColumns({"subject": F.when(F.col("c_custkey") % 5 == 0, "OTHER").otherwise(" NGDP "), "Estimates Start After": F.lit("1998")})
     return tables.read_wide_years(wide.na.fill("--"), "ISO", "subject", {"NGDP": "total"}, "Estimates Start After")
 
@@ -138,7 +144,7 @@ def survey_pay(spark, sf):
 
 @query(
     "forum_postings",
-    """SELECT 'hn:' || conv_id || '-' || turn AS id, left(trim(string_split(trim(text, chr(10) || ' '), chr(10))[1]), 200) AS title FROM conversations WHERE trim(text, chr(10) || ' ') <> ''""",
+    """SELECT 'hn:' || conv_id || '-' || turn AS id, trim(string_split(trim(text, chr(10) || ' '), chr(10))[1]) AS title FROM conversations WHERE trim(text, chr(10) || ' ') <> ''""",
 )
 def forum_postings(spark, sf):
     c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit(False).alias("deleted"), F.lit(None).cast("boolean").alias("dead"))

@@ -543,7 +543,7 @@ def coverage(spark, sf):
     """SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events""",
 )
 def props_json(spark, sf):
-    return quality.flatten_leaves(table(spark, sf, "events"), ["event_id"], "props", depth=2)
+    return quality.flatten_leaves(table(spark, sf, "events"), ["event_id"], "props")
 
 
 @query(
@@ -555,7 +555,7 @@ def conversation_leaves(spark, sf):
     doc = c.groupBy("conv_id").agg(
         F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("role", F.length("text").alias("chars"))).alias("turns"))).alias("doc")  # turns of one conversation
     )
-    return quality.flatten_leaves(doc, ["conv_id"], "doc", depth=4).groupBy("conv_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    return quality.flatten_leaves(doc, ["conv_id"], "doc").groupBy("conv_id", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -565,7 +565,7 @@ def conversation_leaves(spark, sf):
 def profile_all(spark, sf):
     from paylens.plans.audit import profile_documents
 
-    p = profile_documents(table(spark, sf, "events"), ["event_id"], "props", depth=2)
+    p = profile_documents(table(spark, sf, "events"), ["event_id"], "props")
     return p.select("path", "n", "min", "max", r("mean").alias("mean"), r("median").alias("median"))
 
 

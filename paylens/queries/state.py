@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from paylens.functions import text
+from paylens.functions.money import CURRENCY_COUNTRY
 from paylens.operators import lookups, sets
 from paylens.plans import core
 from paylens.plans import postings as plan
@@ -19,12 +20,7 @@ from paylens.streaming import drift, ledger
 
 def work_folder(spark, name: str) -> str:
     """A new folder inside the session's checkpoint folder, which every executor can reach."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:") :]
-    if "://" in base:
-        return f"{base}/{name}-{spark.sparkContext.applicationId}-{id(object())}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # A run is a day; a company is a user; it is probed on every third day on which it has any event
@@ -117,13 +113,13 @@ def drift_daily(spark, sf):
 @query(
     "keyed_upsert",
     WITH(POSTING)
-    + """, o AS (SELECT custkey, max(posted_at) AS fetched_at, arg_max(pay, (posted_at, id)) AS pay FROM posting WHERE year < 2000 GROUP BY 1), n AS (SELECT custkey, max(posted_at) AS fetched_at, arg_max(pay, (posted_at, id)) AS pay FROM posting WHERE year = 2000 GROUP BY 1)
+    + """, o AS (SELECT custkey, max(posted_at) AS fetched_at, arg_max(pay, (posted_at, id)) AS pay FROM posting WHERE year < 2000 GROUP BY 1), n AS (SELECT custkey, max(posted_at) AS fetched_at, arg_max(pay, (posted_at, id)) AS pay FROM posting WHERE year >= 2000 GROUP BY 1)
 SELECT coalesce(n.custkey, o.custkey) AS custkey, coalesce(n.fetched_at, o.fetched_at) AS fetched_at, coalesce(n.pay, o.pay) AS pay FROM o FULL JOIN n ON o.custkey = n.custkey ORDER BY custkey""",
 )
 def keyed_upsert(spark, sf):
     last = lambda d: d.groupBy("custkey").agg(F.max("posted_at").alias("fetched_at"), F.max_by("pay", F.struct("posted_at", "id")).alias("pay"))
     p = postings(spark, sf)
-    return ledger.upsert_latest(last(p.filter("year < 2000")), last(p.filter("year = 2000")), ["custkey"], "fetched_at").orderBy("custkey")
+    return ledger.upsert_latest(last(p.filter("year < 2000")), last(p.filter("year >= 2000")), ["custkey"], "fetched_at").orderBy("custkey")
 
 
 @query(
@@ -141,9 +137,8 @@ def manifest(spark, sf):
 def snapshot_append(spark, sf):
     folder = work_folder(spark, "snapshots")
     counts = postings(spark, sf).groupBy("year", "country").agg(F.count(F.lit(1)).alias("n"))
-    for year in range(1995, 2002):
-        sinks.append_snapshot(counts.filter(F.col("year") == year).select("country", "n"), folder, str(year))
-    return spark.read.parquet(folder)
+    sinks.append_snapshots(counts.select(F.col("year").cast("string").alias("run_ts"), "country", "n"), folder)
+    return spark.read.schema("country string, n long, run_ts string").parquet(folder)
 
 
 @query(
@@ -170,8 +165,8 @@ def export_json(spark, sf):
 def dataset_write(spark, sf):
     folder = work_folder(spark, "datasets")
     c = table(spark, sf, "customer")
-    for segment in ("BUILDING", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY", "BUILDING"):  # one is written twice
-        sinks.write_dataset(c.filter(F.col("c_mktsegment") == segment), folder, segment, "2026-01-01")
+    sinks.write_datasets(c, folder, "c_mktsegment", "2026-01-01")
+    sinks.write_dataset(c.filter("c_mktsegment = 'BUILDING'"), folder, "BUILDING", "2026-01-01")  # written again
     return spark.read.parquet(folder).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -281,18 +276,15 @@ def rederived_pay(spark, sf):
 @query(
     "postings_usd",
     WITH(POSTING, RATES)
-    + """SELECT id, round(min / rate, 8) AS usd_min, round(max / rate, 8) AS usd_max, rate AS fx_rate FROM posting JOIN nation ON n_name = country LEFT JOIN (SELECT country, year, rate FROM rates) r ON r.country = posting.country AND r.year = posting.year
-WHERE n_nationkey % 3 = 0""",
+    + """SELECT id, round(min / rate, 8) AS usd_min, round(max / rate, 8) AS usd_max, rate AS fx_rate FROM posting JOIN nation a ON a.n_name = country JOIN nation b ON b.n_nationkey = a.n_nationkey % {k} LEFT JOIN rates r ON r.country = b.n_name AND r.year = posting.year""".replace("{k}", str(len(CURRENCY_COUNTRY))),
 )
 def postings_usd(spark, sf):
-    """Every currency stands for the country whose rates it uses; nations borrow the names of currencies."""
-    from paylens.functions.money import CURRENCY_COUNTRY
-
+    """Every nation borrows a currency, in turn; a currency has the rates of the first nation that borrows it."""
     names = list(CURRENCY_COUNTRY)
-    n = table(spark, sf, "nation").filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"), F.get(F.array(*[F.lit(c) for c in names]), (F.col("n_nationkey") / 3).cast("int")).alias("currency"))
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("country"), F.get(F.array(*[F.lit(c) for c in names]), (F.col("n_nationkey") % len(names)).cast("int")).alias("currency"))
     p = postings(spark, sf).join(n, "country")
     shaped = p.select("id", "posted_at", F.lit(None).cast("string").alias("generated_at"), F.struct("min", "max", "currency", "period").alias("compensation"))
-    fx = rates(spark, sf).join(n, "country").select(plan.fx_country(F.col("currency")).alias("country"), "year", "rate")
+    fx = rates(spark, sf).join(n.filter(F.col("n_nationkey") < len(names)), "country").select(plan.fx_country(F.col("currency")).alias("country"), "year", "rate")
     out = plan.add_usd(shaped, fx)
     return out.select("id", r("usd.min", 8).alias("usd_min"), r("usd.max", 8).alias("usd_max"), "usd.fx_rate")
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from paylens.functions import geo, text
 
-PAID_JOBS_PER_COMPANY = 40
-MAX_TITLE, MAX_PLACE = 200, 150
 PAY_TYPE = "struct<min:double,max:double,currency:string,period:string,raw_text:string,confidence:string>"
 
 
@@ -73,16 +71,17 @@ def postings_ashby(df: DataFrame) -> DataFrame:
     )
 
 
-def postings_greenhouse(jobs: DataFrame, detail: DataFrame) -> DataFrame:
-    """Job list joined with its detail; the first 40 jobs of a company carry pay.
+def postings_greenhouse(jobs: DataFrame, detail: DataFrame, paid_jobs: int | None = None) -> DataFrame:
+    """Job list joined with its detail; with ``paid_jobs`` only so many jobs of a company carry pay.
 
     jobs: token, pos, id, title, company_name, location, url, updated_at.
     detail: token, id, min_cents, max_cents, currency (first published range). Cents become units;
     a maximum under 1000 is an hourly figure, because the board does not say the period.
     """
-    rn = F.row_number().over(Window.partitionBy("token").orderBy("pos"))
-    carry = jobs.select("token", "id", rn.alias("rn")).filter(F.col("rn") <= PAID_JOBS_PER_COMPANY)
-    paid = detail.join(carry, ["token", "id"], "left_semi")
+    paid = detail
+    if paid_jobs is not None:
+        rn = F.row_number().over(Window.partitionBy("token").orderBy("pos"))
+        paid = detail.join(jobs.select("token", "id", rn.alias("rn")).filter(F.col("rn") <= paid_jobs), ["token", "id"], "left_semi")
     d = jobs.join(paid, ["token", "id"], "left")
     lo, hi = F.col("min_cents") / 100, F.coalesce("max_cents", F.lit(0)) / 100
     period = F.when((hi > 0) & (hi < 1000), "hour").otherwise("year")
@@ -137,15 +136,16 @@ def postings_gov(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def postings_forum(df: DataFrame) -> DataFrame:
+def postings_forum(df: DataFrame, longest_title: int | None = None, longest_place: int | None = None) -> DataFrame:
     """Forum comments (id, text, deleted, dead): first line is the title, the first line with readable
-    pay gives the pay, a place is looked for in the first three lines."""
+    pay gives the pay, a place is looked for in the first three lines. The two lengths cut titles and places."""
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     d = df.filter(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False)) & (F.coalesce("text", F.lit("")) != ""))
     lines = F.filter(F.transform(F.split(text.strip_html(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     d = d.select("id", lines.alias("l")).filter("size(l) > 0")
     comp = F.get(F.filter(F.transform("l", text.parse_pay), lambda p: p.isNotNull()), F.lit(0))
     place_line = F.get(F.filter(F.slice("l", 1, 3), lambda x: F.lower(x).rlike(r"remote|onsite|hybrid|\|")), F.lit(0))
-    d = d.withColumns({"comp": comp, "place": F.substring(place_line, 1, MAX_PLACE), "all": F.lower(F.array_join("l", "\n"))})
+    d = d.withColumns({"comp": comp, "place": cut(place_line, longest_place), "all": F.lower(F.array_join("l", "\n"))})
     remote = F.when(F.contains("all", F.lit("remote")), True).when(F.contains("all", F.lit("onsite")), False)
-    cols = posting("hn", F.col("id").cast("string"), F.lit(None).cast("string"), company_slug=F.lit("hn"), title=F.substring(F.get("l", F.lit(0)), 1, MAX_TITLE), location_raw=F.col("place"), remote=remote, compensation=F.col("comp"))
+    cols = posting("hn", F.col("id").cast("string"), F.lit(None).cast("string"), company_slug=F.lit("hn"), title=cut(F.get("l", F.lit(0)), longest_title), location_raw=F.col("place"), remote=remote, compensation=F.col("comp"))
     return d.select(*cols)

@@ -12,6 +12,17 @@ def write_dataset(df: DataFrame, path: str, source_id: str, generated_at: str) -
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
 
 
+def write_datasets(df: DataFrame, path: str, source_id: str, generated_at: str) -> None:
+    """All datasets of a table, told apart by a column, in one pass."""
+    out = df.withColumns({"source_id": F.col(source_id), "generated_at": F.lit(generated_at)})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
+
+
+def append_snapshots(df: DataFrame, path: str) -> None:
+    """Several runs, told apart by ``run_ts``, appended in one pass."""
+    df.write.mode("append").parquet(path)
+
+
 def append_snapshot(df: DataFrame, path: str, run_ts: str) -> None:
     """One run appended to the history; earlier runs are never touched."""
     df.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(path)

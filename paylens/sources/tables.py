@@ -135,7 +135,7 @@ def read_sections(df: DataFrame, sheet: str, row_no: str, cells: str) -> DataFra
     d = df.withColumns({"__first": first, "__mark": section})
     d = d.withColumns({"section": F.last("__mark", ignorenulls=True).over(w), "__head": F.last(F.when(F.col("__mark") == "strand", F.col(cells)), ignorenulls=True).over(w)})
     d = d.filter(F.col("__first").rlike(r"^\d+$") & F.col("__mark").isNull() & F.col("section").isNotNull())
-    scores = F.filter(F.transform(F.slice(cells, 2, 100), lambda c, i: F.struct(i.alias("i"), c.try_cast("double").alias("v"))), lambda s: s["v"].isNotNull())
+    scores = F.filter(F.transform(F.slice(cells, 2, F.size(cells)), lambda c, i: F.struct(i.alias("i"), c.try_cast("double").alias("v"))), lambda s: s["v"].isNotNull())
     shown = F.when(F.col("section") == "overall", F.slice(scores, 1, 1)).otherwise(scores)
     out = d.select(sheet, "section", F.col("__first").cast("int").alias("year"), "__head", F.explode(shown).alias("s"))
     return out.select(sheet, "section", F.when(F.col("section") == "strand", F.trim(F.get("__head", F.col("s.i") + 1))).alias("strand"), "year", F.round("s.v", 2).alias("score"))
@@ -228,13 +228,13 @@ def pick_place(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 def table_rows(df: DataFrame, headers: str, cells: str) -> DataFrame:
     """Ranking table rows: the first of three cells that is a country; numeric cells by snake-case header."""
     entity = F.get(F.filter(F.transform(F.slice(cells, 1, 3), geo.to_iso2), lambda c: c.isNotNull()), F.lit(0))
-    named = F.arrays_zip(F.transform(headers, lambda h: F.substring(F.replace(F.lower(F.trim(h)), F.lit(" "), F.lit("_")), 1, 40)).alias("h"), F.col(cells).alias("c"))
+    named = F.arrays_zip(F.transform(headers, lambda h: F.replace(F.lower(F.trim(h)), F.lit(" "), F.lit("_"))).alias("h"), F.col(cells).alias("c"))
     d = df.select(entity.alias("entity"), F.explode(named).alias("x")).filter("entity IS NOT NULL AND x.h <> ''")
     return d.select("entity", F.col("x.h").alias("field"), text.number(F.col("x.c")).alias("value")).filter("value IS NOT NULL")
 
 
-def regex_pairs(df: DataFrame, key: str, page: str, lo: int = 2000, hi: int = 2026) -> DataFrame:
-    """(key, year, value) pairs written close together in a page; the first value of a year wins."""
+def regex_pairs(df: DataFrame, key: str, page: str, lo: int = 2000, hi: int = 2099) -> DataFrame:
+    """(key, year, value) pairs written close together in a page; the first value of a year wins. Pattern: fixed value."""
     pattern = r"\b(20\d{2})\b[^0-9]{0,40}?(\d{2,3}\.\d{1,2})"
     pairs = F.arrays_zip(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)).alias("y"), F.regexp_extract_all(page, F.lit(pattern), F.lit(2)).alias("v"))
     d = df.select(key, F.posexplode(pairs).alias("pos", "p")).select(key, "pos", F.col("p.y").cast("int").alias("year"), F.col("p.v").cast("double").alias("value"))
@@ -246,7 +246,7 @@ def table_numbers(df: DataFrame, row_no: str, cells: str) -> DataFrame:
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\[.*?\]", ""), " ", " "))
     pct = lambda c: F.regexp_extract(clean(c), r"(\d{1,3}(?:\.\d+)?)\s*%", 1).try_cast("double")
     count = lambda c: F.regexp_extract(F.regexp_replace(clean(c), r"[, ]", ""), r"^(\d{4,})", 1).try_cast("long")
-    rest = F.slice(cells, 2, 50)
+    rest = F.slice(cells, 2, F.size(cells))
     d = df.filter(F.size(cells) >= 3).select(
         row_no, geo.to_iso2(clean(F.get(cells, F.lit(0)))).alias("entity"),
         F.get(F.filter(F.transform(rest, pct), lambda v: v.between(0, 100)), F.lit(0)).alias("pct"),
@@ -284,7 +284,7 @@ def wages_es(df: DataFrame, occupation: str, sex: str = "Both genders") -> DataF
     prefix = f"National Total. Base data. {sex}. {occupation}."
     d = df.withColumn("__n", F.trim("name")).filter(F.col("__n").startswith(prefix) & (F.size("points") > 0))
     newest = F.element_at("points", -1)
-    return d.select(F.trim(F.substring("__n", len(prefix) + 1, 500)).alias("measure"), newest["value"].alias("value"), newest["year"].alias("year"))
+    return d.select(F.trim(F.expr(f"substring(__n, {len(prefix) + 1})")).alias("measure"), newest["value"].alias("value"), newest["year"].alias("year"))
 
 
 def wages_nl(df: DataFrame, code: str, period: str) -> DataFrame:

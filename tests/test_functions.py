@@ -196,3 +196,10 @@ def test_rank_table_average_ranks(spark):
     for v in set(values):
         want = np.mean([i + 1 for i, x in enumerate(ordered) if x == v])
         assert got[v] == pytest.approx(want)
+
+
+def test_word_edges_know_accented_letters(spark):
+    rows = [("éhr $30,000 - $50,000", "São ÉWA", "ésenior"), ("$30,000 - $50,000 hr", "Seattle WA", "senior é")]
+    df = spark.createDataFrame(rows, "pay string, place string, title string")
+    got = df.select(text.parse_pay(F.col("pay"))["period"].alias("p"), geo.country_from_location(F.col("place")).alias("c"), text.level_of_title(F.col("title")).alias("l")).collect()
+    assert [tuple(r) for r in got] == [("year", None, None), ("hour", "US", "senior")]

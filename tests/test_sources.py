@@ -192,7 +192,9 @@ def test_ashby(spark):
 def test_greenhouse_caps_and_period(spark):
     jobs = spark.createDataFrame([("acme", i, str(i), "T", "Acme", "Oslo", "u", "2026-02-03T10:00:00Z") for i in range(45)], "token string, pos int, id string, title string, company_name string, location string, url string, updated_at string")
     detail = spark.createDataFrame([("acme", str(i), 4500 if i == 1 else 10_000_000, 5500 if i == 1 else 12_000_000, "USD") for i in range(45)] + [("acme", "99", 0, 0, "USD")], "token string, id string, min_cents long, max_cents long, currency string")
-    got = postings.postings_greenhouse(jobs, detail).collect()
+    every = postings.postings_greenhouse(jobs, detail).collect()
+    assert len(every) == 45 and sum(r["compensation"] is not None for r in every) == 45
+    got = postings.postings_greenhouse(jobs, detail, paid_jobs=40).collect()
     paid = {r["id"]: r["compensation"] for r in got if r["compensation"]}
     assert len(got) == 45 and len(paid) == 40
     assert paid["greenhouse:acme:1"]["period"] == "hour" and paid["greenhouse:acme:1"]["max"] == 55.0
