@@ -1,6 +1,8 @@
 """Conversions that either give a value with its chain of steps or a reason why not.
 
-Every function returns a struct column ``(ok, value, reason, chain)``; refusals are values.
+Conversions return a struct column ``(ok, value, reason, chain)``; refusals are values. Beside each
+stand its number and its reason alone: a chain is text that is built for every row that asks for
+the struct, so sums and medians read the plain columns.
 """
 
 from __future__ import annotations
@@ -50,17 +52,36 @@ def refusal(reason: Column) -> Column:
     )
 
 
+def at_rate(value: Column, rate: Column) -> Column:
+    """The number of :func:`convert_at` alone."""
+    return value / rate
+
+
+def rate_refusal(rate: Column, country: Column, year: Column) -> Column:
+    """The reason of :func:`convert_at` alone, null where it converts."""
+    return F.when(rate.isNull(), F.concat(F.lit("no rate for "), country, F.lit(" in "), year.cast("string")))
+
+
 def convert_at(value: Column, rate: Column, country: Column, year: Column) -> Column:
     """To USD at the rate found for exactly this country and year (null rate: refused)."""
     where = F.concat(country, F.lit(" in "), year.cast("string"))
-    return F.when(rate.isNull(), refusal(F.concat(F.lit("no rate for "), where))).otherwise(
+    return F.when(rate.isNull(), refusal(rate_refusal(rate, country, year))).otherwise(
         success(
-            value / rate,
+            at_rate(value, rate),
             F.array(step("fx_convert", F.concat(amount(value), F.lit(" / "), amount(rate), F.lit(" ("), where, F.lit(")")))),
         )
     )
 
 
+def period_refusal(period: Column, hours: Column, place: Column) -> Column:
+    """The reason of :func:`annualise` alone, null where it gives a number."""
+    return (
+        F.when(period.isin("year", "month") | ((period == "hour") & hours.isNotNull()), F.lit(None).cast("string"))
+        .when(period == "hour", F.concat(F.lit("no sourced weekly hours for "), place))
+        .otherwise(F.concat(F.lit("unknown period "), F.coalesce(period, F.lit("null"))))
+    )
+
+
 def annualise(value: Column, period: Column, hours: Column, place: Column) -> Column:
     """Yearly value. Hours per week must come from a source; nothing is assumed."""
     return (
@@ -69,7 +90,7 @@ def annualise(value: Column, period: Column, hours: Column, place: Column) -> Co
             period == "month",
             success(value * MONTHS_PER_YEAR, F.array(step("monthly_to_annual", F.concat(amount(value), F.lit(" x 12"))))),
         )
-        .when((period == "hour") & hours.isNull(), refusal(F.concat(F.lit("no sourced weekly hours for "), place)))
+        .when((period == "hour") & hours.isNull(), refusal(period_refusal(period, hours, place)))
         .when(
             period == "hour",
             success(
@@ -80,7 +101,7 @@ def annualise(value: Column, period: Column, hours: Column, place: Column) -> Co
                 ),
             ),
         )
-        .otherwise(refusal(F.concat(F.lit("unknown period "), F.coalesce(period, F.lit("null")))))
+        .otherwise(refusal(period_refusal(period, hours, place)))
     )
 
 

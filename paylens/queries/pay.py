@@ -13,15 +13,9 @@ from paylens.queries.common import HOURS, POSTING, RATES, WITH, hours, postings,
 from paylens.queries.registry import query
 
 
-def converted(spark, sf):
-    """Postings with both ends of the range converted, refusals kept as values."""
-    df = lookups.exact_lookup(postings(spark, sf), rates(spark, sf), ["country", "year"], "rate")
-    return df.withColumns(
-        {
-            "lo": money.convert_at(F.col("min"), F.col("rate"), F.col("country"), F.col("year")),
-            "hi": money.convert_at(F.col("max"), F.col("rate"), F.col("country"), F.col("year")),
-        }
-    )
+def rated(spark, sf):
+    """Postings with the rate of their own country and year, null where there is none."""
+    return lookups.exact_lookup(postings(spark, sf), rates(spark, sf), ["country", "year"], "rate")
 
 
 @query(
@@ -32,8 +26,8 @@ FROM posting JOIN rates USING (country, year) WHERE period = 'year'
 GROUP BY country HAVING count(*) >= 5 ORDER BY median DESC, country LIMIT 12""",
 )
 def pay_summary_by_country(spark, sf):
-    df = converted(spark, sf).filter((F.col("period") == "year") & F.col("lo.ok") & F.col("hi.ok"))
-    df = df.select("country", ((F.col("lo.value") + F.col("hi.value")) / 2).alias("mid"))
+    df = rated(spark, sf).filter((F.col("period") == "year") & F.col("rate").isNotNull())
+    df = df.select("country", ((money.at_rate(F.col("min"), F.col("rate")) + money.at_rate(F.col("max"), F.col("rate"))) / 2).alias("mid"))
     return plan.pay_summary(df, "country", "mid", few_groups=True)  # 25 nations
 
 
@@ -45,8 +39,9 @@ def pay_summary_by_country(spark, sf):
 FROM posting LEFT JOIN rates USING (country, year) GROUP BY ALL""",
 )
 def fx_refusals(spark, sf):
-    df = converted(spark, sf).withColumn("res", money.convert_at(F.col("pay"), F.col("rate"), F.col("country"), F.col("year")))
-    return df.groupBy("res.ok", "res.reason").agg(F.count(F.lit(1)).alias("n"), r(F.sum("res.value"), 0).alias("usd"))
+    reason = money.rate_refusal(F.col("rate"), F.col("country"), F.col("year"))
+    df = rated(spark, sf).select(reason.alias("reason"), reason.isNull().alias("ok"), money.at_rate(F.col("pay"), F.col("rate")).alias("value"))
+    return df.groupBy("ok", "reason").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 0).alias("usd"))
 
 
 ANNUAL = """annual AS (
@@ -58,9 +53,13 @@ ANNUAL = """annual AS (
   LEFT JOIN (SELECT country, arg_max(hours, year) AS hours, max(year) AS year FROM hours GROUP BY country) l ON l.country = p.country)"""
 
 
+def weekly_hours(spark, sf):
+    """Postings with the hours of their country and year, else its latest."""
+    return lookups.year_or_latest(postings(spark, sf), hours(spark, sf), "country", "year", "hours", "hours_year")
+
+
 def annual(spark, sf):
-    df = lookups.year_or_latest(postings(spark, sf), hours(spark, sf), "country", "year", "hours", "hours_year")
-    return df.withColumn("res", money.annualise(F.col("pay"), F.col("period"), F.col("hours"), F.col("country")))
+    return weekly_hours(spark, sf).withColumn("res", money.annualise(F.col("pay"), F.col("period"), F.col("hours"), F.col("country")))
 
 
 @query(
@@ -70,9 +69,10 @@ def annual(spark, sf):
 FROM annual GROUP BY ALL""",
 )
 def annualise_by_period(spark, sf):
-    return annual(spark, sf).groupBy("period", "res.reason", "hours_year").agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("res.value"), 2).alias("mean_year")
+    df = weekly_hours(spark, sf).select(
+        "period", "hours_year", money.period_refusal(F.col("period"), F.col("hours"), F.col("country")).alias("reason"), money.yearly_value(F.col("pay"), F.col("period"), F.col("hours")).alias("value")
     )
+    return df.groupBy("period", "reason", "hours_year").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value"), 2).alias("mean_year"))
 
 
 @query(
@@ -98,14 +98,13 @@ def conversion_chain(spark, sf):
 GROUP BY ALL""",
 )
 def hours_override(spark, sf):
-    df = annual(spark, sf).withColumn("given", F.col("provider") == "1-URGENT")
+    df = weekly_hours(spark, sf).withColumn("given", F.col("provider") == "1-URGENT")
     own = F.when(F.col("status") != "P", F.lit(37.5))
     source = F.when(F.col("status") == "F", F.lit("matched cell"))
     df = df.withColumn("weekly", money.override_hours(own, source, F.col("given"), F.col("hours")))
-    df = df.withColumn("res", money.annualise(F.col("pay"), F.lit("hour"), F.col("weekly"), F.col("country")))
-    return df.groupBy("given", (~F.col("res.ok")).alias("refused")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("res.value"), 2).alias("mean_year")
-    )
+    hour = F.lit("hour")
+    df = df.select("given", money.period_refusal(hour, F.col("weekly"), F.col("country")).isNotNull().alias("refused"), money.yearly_value(F.col("pay"), hour, F.col("weekly")).alias("value"))
+    return df.groupBy("given", "refused").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value"), 2).alias("mean_year"))
 
 
 COMPOSITION = """composition AS (
@@ -322,29 +321,23 @@ def resolve_entity(spark, sf):
     + """, m AS (SELECT p.*, CAST(left(coalesce(CASE WHEN status <> 'P' THEN posted_at END, '2000-06-30'), 4) AS INTEGER) AS y FROM posting p)
 SELECT provider, count(*) AS rows, count(*) FILTER (pay >= 10000) AS with_pay, count(*) FILTER (pay >= 10000 AND rate IS NOT NULL) AS converted,
   round(sum(CASE WHEN pay >= 10000 THEN (min / rate + max / rate) / 2 END), 0) AS usd
-FROM m LEFT JOIN rates r ON r.country = m.country AND r.year = m.y GROUP BY provider""",
+FROM m JOIN nation a ON a.n_name = country JOIN nation b ON b.n_nationkey = a.n_nationkey % {k} LEFT JOIN rates r ON r.country = b.n_name AND r.year = m.y GROUP BY provider""".replace("{k}", str(len(money.CURRENCY_COUNTRY))),
 )
 def postings_merge(spark, sf):
-    p = postings(spark, sf)
-    paid = F.col("pay") >= 10000
-    shaped = p.select(
-        "id", "provider", "country", F.when(F.col("status") != "P", F.col("posted_at")).alias("posted_at"),
-        F.lit("2000-06-30").alias("generated_at"),
-        F.when(paid, F.struct("min", "max", F.col("country").alias("currency"), "period")).alias("compensation"),
+    """Three sources, told apart by their numbers; every nation borrows a currency, in turn."""
+    names = list(money.CURRENCY_COUNTRY)
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("country"), F.get(F.array(*[F.lit(c) for c in names]), (F.col("n_nationkey") % len(names)).cast("int")).alias("currency"))
+    shaped = postings(spark, sf).join(n, "country").select(
+        "id", "provider", F.when(F.col("status") != "P", F.col("posted_at")).alias("posted_at"), F.lit("2000-06-30").alias("generated_at"),
+        F.when(F.col("pay") >= 10000, F.struct("min", "max", "currency", "period")).alias("compensation"),
     )
-    sources = [shaped.filter(F.col("provider") == k) for k in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
-    fx = rates(spark, sf)
-    merged = sources[0]
-    for s in sources[1:]:
-        merged = merged.unionByName(s, allowMissingColumns=True)
-    merged = merged.withColumn("fx_year", F.substring(F.coalesce("posted_at", "generated_at"), 1, 4).cast("int"))
-    merged = merged.join(fx.withColumnRenamed("year", "fx_year"), ["country", "fx_year"], "left")
-    mid = (F.col("compensation.min") / F.col("rate") + F.col("compensation.max") / F.col("rate")) / 2
+    fx = rates(spark, sf).join(n.filter(F.col("n_nationkey") < len(names)), "country").select(plan.fx_country(F.col("currency")).alias("country"), "year", "rate")
+    merged = plan.merge([shaped.filter(F.col("id") % 3 == k) for k in range(3)], fx)
     return merged.groupBy("provider").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("compensation").alias("with_pay"),
-        F.count_if(F.col("compensation").isNotNull() & F.col("rate").isNotNull()).alias("converted"),
-        r(F.sum(mid), 0).alias("usd"),
+        F.count("usd").alias("converted"),
+        r(F.sum((F.col("usd.min") + F.col("usd.max")) / 2), 0).alias("usd"),
     )
 
 
