@@ -137,7 +137,8 @@ class Pieces(dict):
         found = self.old.get(piece)
         if found is None:
             if len(self) >= MOST_PIECES:
-                self.old = dict(self)
+                self.old.clear()
+                self.old.update(self)
                 self.clear()
             found = self.encode(piece.encode())
         self[piece] = found
@@ -178,7 +179,8 @@ class Units(dict):
         if ODD_SPACE.search(text):
             return self.ids(text)
         if len(self) > MOST_UNITS:
-            self.old = dict(self)
+            self.old.clear()
+            self.old.update(self)
             self.clear()
         units = text.replace("\n", " \n").split(" ")
         first = self.ids(units[0])

@@ -15,9 +15,11 @@ knows can hold them, and each can be read, and each block in it decoded, alone.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from paylens.llm import rans
 from paylens.llm.exchange import unpacked
@@ -36,10 +38,12 @@ END_ID = 1
 #: Bytes of text for each range of ids, at most so many ranges, and ids of a segment.
 BYTES_PER_RANGE, MOST_RANGES, SEGMENT_IDS = 8 << 20, 1 << 14, 4 << 20
 #: Words that a worker remembers, in two generations.
-MOST_WORDS = 500_000
+MOST_WORDS = 400_000
 MAGIC = b"PLR1"
 HEAD = struct.Struct("<4sIQII")
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Words that no normaliser changes and no pattern cuts: lower-case letters that are one code point each.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Words(dict):
@@ -52,6 +56,17 @@ class Words(dict):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.old: dict[bytes, bytes] = {}
+        # the library's model alone is enough for a plain word, if its letters are spelt as bytes
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self.model = self.tokenizer.model
+        self.direct = all(self.of_model(w) == self.of_text(w) for w in ("a", "word", "straße", "éàÿ", "unbelievably", "don"))
+
+    def of_model(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.translate(self.spelling))]
+
+    def of_text(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -59,7 +74,8 @@ class Words(dict):
             if len(word) > 1 and word[-1] in b".," and word[-2] in LETTERS:  # a mark after a letter is always a piece of its own
                 ids = self[word[:-1]] + self[word[-1:]]
             else:
-                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32).astype(self.kind).tobytes()
+                text = word.decode()
+                ids = array("H", self.of_model(text) if self.direct and PLAIN.fullmatch(text) else self.of_text(text)).tobytes()
         self[word] = ids
         return ids
 
@@ -67,7 +83,8 @@ class Words(dict):
 
     def text(self, text: bytes) -> bytes:
         if len(self) > MOST_WORDS:
-            self.old = dict(self)
+            self.old.clear()
+            self.old.update(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.lower().split()))
 
