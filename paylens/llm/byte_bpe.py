@@ -10,6 +10,7 @@ as all its open continuations agree on it, at the latest one longest token furth
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -59,21 +60,30 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
+        """A state is a table: by byte the next state and the tokens then certain, at -1 what is open in it."""
         self.fits.clear()
-        start = ((0, -1, ()),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        entries = ((0, -1, ()),)
+        self.start = {-1: entries}
+        self.state = {entries: self.start}
+        self.moves = 0
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges carried out one by one, lowest rank first; only for single tokens and pairs."""
+        ranks, none = self.ranks, 1 << 62
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 62:
+        cost = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while cost:
+            least = min(cost)
+            if least == none:
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [self.ranks[p] for p in parts]
+            i = cost.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del cost[i]
+            if i < len(cost):
+                cost[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                cost[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
 
     def follows(self, before: int, token: int) -> bool:
         key = (before, token)
@@ -83,46 +93,48 @@ class Transducer:
             ok = self.fits[key] = self.merged(left + self.token[token]) == ([before, token] if before >= 0 else [token])
         return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """Determinises one step: the next state and the tokens that are now certain."""
-        open_, ended = [], None
-        for node, before, pending in self.states[state]:
-            step = self.next[node].get(byte)
+        open_, ended, following, ends = [], None, self.next, self.ends
+        for node, before, pending in state[-1]:
+            step = following[node].get(byte)
             if step is not None:
-                open_.append((step, before, pending))
-                token = self.ends[step]
+                token = ends[step]
                 if ended is None and token >= 0 and self.follows(before, token):
                     ended = (0, token, (*pending, token))
+                if following[step]:
+                    open_.append((step, before, pending))
         if ended is None:
             raise ValueError("the vocabulary lacks a byte")
-        open_ = [o for o in open_ if self.next[o[0]]]
         open_.append(ended)
-        certain = 0
-        first = open_[0][2]
-        while certain < min(len(o[2]) for o in open_) and all(o[2][certain] == first[certain] for o in open_):
-            certain += 1
-        after = tuple((n, b, p[certain:]) for n, b, p in open_)
-        target = self.number.get(after)
+        first, certain = open_[0][2], min([len(p) for _, _, p in open_])
+        for _, _, p in open_:
+            while p[:certain] != first[:certain]:
+                certain -= 1
+        after = tuple([(n, b, p[certain:]) for n, b, p in open_]) if certain else tuple(open_)
+        target = self.state.get(after)
         if target is None:
-            target = self.number[after] = len(self.states)
-            self.states.append(after)
-        out = self.moves[state << 8 | byte] = (target, first[:certain])
+            target = self.state[after] = {-1: after}
+        out = state[byte] = (target, first[:certain])
+        self.moves += 1
         return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) > MOST_TRANSITIONS or len(self.fits) > MOST_TRANSITIONS:
+        if self.moves > MOST_TRANSITIONS or len(self.fits) > MOST_TRANSITIONS:
             self.forget()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state = self.start
         for byte in piece:
-            step = moves.get(state << 8 | byte)
-            state, certain = step if step is not None else self.move(state, byte)
+            step = state.get(byte)
+            if step is None:
+                step = self.move(state, byte)
+            state, certain = step
             if certain:
                 out += certain
-        out += self.states[state][-1][2]  # the one that ended here
+        out += state[-1][-1][2]  # the one that ended here
         return out
 
 
@@ -227,6 +239,8 @@ _LOADED: dict[tuple[str, str], Units] = {}
 def units(path: str, pattern: str) -> Units:
     """One per worker and vocabulary, kept between tasks."""
     if (path, pattern) not in _LOADED:
+        # the tables are many small objects that live long: looking through them all the time is not worth it
+        gc.set_threshold(200_000, 50, 100)
         _LOADED[path, pattern] = Units(path, pattern)
     return _LOADED[path, pattern]
 
