@@ -4,7 +4,11 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["pay_summary_by_country", "resolve_set", "parse_pay", "median_ci", "composite", "ledger_merge", "findings_drift", "cube_flatten"]
+SAMPLE = [
+    "pay_summary_by_country", "resolve_set", "parse_pay", "median_ci", "composite", "ledger_merge", "findings_drift", "cube_flatten", "fx_refusals", "postings_usd", "postings_merge",
+    "keyed_upsert", "snapshot_append", "dataset_write", "near_dupe_pairs", "near_dupe_clusters", "indicator_pages", "sdmx_rows", "population_export", "outlook_projections", "wage_table_de",
+    "wage_table_uk", "wage_table_au", "wage_table_qa", "metro_quarters", "price_months", "daily_months", "vintage_edition", "board_lever", "board_government", "board_feed", "board_list_detail",
+]
 
 
 def test_registry_is_consistent():
