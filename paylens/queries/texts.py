@@ -205,7 +205,7 @@ def fix_period(spark, sf):
 PLACES = """Austin|Seattle, WA|Atlanta, Georgia|Milwaukee|Berlin, Germany|London|Remote - U.S.|King of Prussia, PA|Toronto, Canada|CA - Toronto|São Paulo|Kyiv, Ukraine|
 Dublin|gbr|UK|Singapore|New York City|Zürich|Türkiye|Unknown place|Oslo, Norway|Perth|Tel Aviv|Malmö|Bogotá"""
 PLACE_LIST = [p.strip() for p in PLACES.replace("\n", "").split("|")]
-PLACE_CODES = "US US US - DE GB US US CA US BR UA IE GB GB SG US CH TR - NO AU IL SE CO".split()
+PLACE_CODES = ["US", "US", "US", "-", "DE", "GB", "US", "US", "CA", "US", "BR", "UA", "IE", "GB", "GB", "SG", "US", "CH", "TR", "-", "NO", "AU", "IL", "SE", "CO"]
 
 
 @query(
