@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.scan import WRAP, mix
+from paylens.llm.worker import turn
 
 #: Bounds of a bitmap: 8 KB to 4 MB.
 LEAST_BITS, MOST_BITS = 16, 25
@@ -44,6 +45,7 @@ def id_positions(column: str) -> Positions:
 
 def _sightings(positions: Positions, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bitmap")
         seen = np.zeros(1 << bits, np.uint8)
         for b in batches:
             if b.num_rows:

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from paylens.llm.landing import texts
+from paylens.llm.worker import kept
 
 #: Entries of a worker's tables; a full table of transitions is dropped and grows again, the others keep two generations.
 MOST_TRANSITIONS, MOST_UNITS, MOST_PIECES = 500_000, 250_000, 150_000
@@ -233,16 +234,11 @@ class Utf8Stream:
         return data[:cut].decode("utf-8", "replace")
 
 
-_LOADED: dict[tuple[str, str], Units] = {}
-
-
 def units(path: str, pattern: str) -> Units:
     """One per worker and vocabulary, kept between tasks."""
-    if (path, pattern) not in _LOADED:
-        # the tables are many small objects that live long: looking through them all the time is not worth it
-        gc.set_threshold(200_000, 50, 100)
-        _LOADED[path, pattern] = Units(path, pattern)
-    return _LOADED[path, pattern]
+    # the tables are many small objects that live long: looking through them all the time is not worth it
+    gc.set_threshold(200_000, 50, 100)
+    return kept("byte_bpe", (path, pattern), lambda: Units(path, pattern))
 
 
 def decoded(known: Units, ids: np.ndarray) -> str:

@@ -25,6 +25,7 @@ from paylens.llm.bitmap import bitmap, bits_for, hits, id_positions
 from paylens.llm.exchange import packed
 from paylens.llm.landing import landed, texts
 from paylens.llm.scan import inside, mix, scan, windows
+from paylens.llm.worker import turn
 from paylens.operators.graph import connected_components
 
 SHINGLE, THRESHOLD = 5, 85
@@ -40,6 +41,7 @@ ENDS = "doc_id long, n_shingles long, set_hash binary, shingles binary"
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("minhash_dedup")
         for batch in batches:
             for i, j, w in scan(batch.column("text"), lower=True):
                 h, count = w.hashes(), w.count

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paylens.llm.landing import landed
 from paylens.llm.scan import mix
+from paylens.llm.worker import turn
 
 #: Share of all words that the mix holds, the sources' weights in turn, and the most copies of a document.
 SHARE, WEIGHTS, MOST_COPIES = 1.5, (3, 1, 2), 2
@@ -86,6 +87,7 @@ def pivot(size: np.ndarray, part: np.ndarray, chance: np.ndarray) -> int:
 
 
 def _settle(t: pa.Table) -> pa.Table:
+    turn("mixing")
     t = t.sort_by([("size", "descending"), ("row_hash", "ascending"), ("doc_id", "ascending")])
     size, part = (t.column(c).to_numpy().astype(float).copy() for c in ("size", "part"))
     seed = t.column("row_hash").to_numpy().astype(np.uint64)

@@ -32,6 +32,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from paylens.llm import rans
 from paylens.llm.exchange import unpacked
 from paylens.llm.landing import landed, texts, wide
+from paylens.llm.worker import kept
 from paylens.session import ensure_checkpoint_dir
 
 END_ID = 1
@@ -89,14 +90,9 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_LOADED: dict[str, Words] = {}
-
-
 def words(path: str) -> Words:
     """One per worker and vocabulary, kept between tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = Words(path)
-    return _LOADED[path]
+    return kept("token_files", (path,), lambda: Words(path))
 
 
 def _tokenised(path: str, bounds: np.ndarray, end_id: int):

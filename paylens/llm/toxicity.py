@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.landing import landed
+from paylens.llm.worker import turn
 
 #: Rows are held out where crc32(id) mod FOLDS is HELD.
 FOLDS, HELD = 3, 1
@@ -110,6 +111,7 @@ def features(found: list[list[int]], votes: list[int], entries: int) -> np.ndarr
 
 def _entry_counts(wanted: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         n: Counter = Counter()
         for b in batches:
             for x in b.column("text").to_pylist():
@@ -258,6 +260,7 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, rounds: int = 6
 
 def _vote_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for b in batches:
             found = [(model.found(x), x) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array([model.votes(f, x) for f, x in found], pa.int32()), pa.array([f for f, _ in found], pa.list_(pa.int32()))], ["h", "label", "votes", "found"])
@@ -293,6 +296,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
         raise ValueError(f"{score_col} is taken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for b in batches:
             yield b.append_column(score_col, pa.array([model.score(x or "") for x in b.column(text_col).to_pylist()], pa.float64()))
 
