@@ -102,7 +102,7 @@ def check_unit_disclosed(leaves: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def magnitude_bounds(long: DataFrame, min_n: int = 5, few_groups: bool = False) -> DataFrame:
+def magnitude_bounds(long: DataFrame, min_n: int = 5) -> DataFrame:
     """Plausible range per (currency, period): median +- 8 MAD, never below a quarter of the median.
 
     Built from the statistics that are not means wherever a family has any.
@@ -111,14 +111,14 @@ def magnitude_bounds(long: DataFrame, min_n: int = 5, few_groups: bool = False)
     others = long.groupBy(*family).agg(F.max((F.col("statistic") != "mean").cast("int")).alias("__has"))
     src = long.join(others, family).filter((F.col("__has") == 0) | (F.col("statistic") != "mean"))
     keys = ["currency", "period"]
-    med = group_median(src, keys, "value", "med", few_groups).filter(F.col("n") >= min_n)
+    med = group_median(src, keys, "value", "med").filter(F.col("n") >= min_n)
     dev = src.join(med, keys).withColumn("__d", F.abs(F.col("value") - F.col("med")))
-    mad = group_median(dev, keys, "__d", "mad", few_groups).drop("n")
+    mad = group_median(dev, keys, "__d", "mad").drop("n")
     out = med.join(mad, keys).withColumn("mad", F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("med") * 0.05))
     return out.select(*keys, "n", F.greatest(F.col("med") - 8 * F.col("mad"), F.col("med") / 4).alias("lo"), (F.col("med") + 8 * F.col("mad")).alias("hi"))
 
 
-def check_magnitude(long: DataFrame, few_groups: bool = False) -> DataFrame:
+def check_magnitude(long: DataFrame) -> DataFrame:
     """Figures outside the absolute band of their period, else outside their own bucket's range.
 
     Needs entity, field, prefix, statistic, suffix, value, currency, period.
@@ -126,7 +126,7 @@ def check_magnitude(long: DataFrame, few_groups: bool = False) -> DataFrame:
     known = long.filter("currency IS NOT NULL AND period IS NOT NULL")
     band = lambda i: F.coalesce(*[F.when(F.col("period") == p, F.lit(b[i])) for p, b in SANITY_BANDS.items()])
     v = F.col("value")
-    d = known.join(magnitude_bounds(known, few_groups=few_groups), ["currency", "period"], "left")
+    d = known.join(magnitude_bounds(known), ["currency", "period"], "left")
     absolute = (v < band(0)) | (v > band(1))
     relative = (v < F.col("lo")) | (v > F.col("hi"))
     which = F.when(absolute, "absolute").when(relative, "relative")

@@ -48,14 +48,12 @@ def _joined_on(by: Sequence[str]) -> Column:
     return F.expr(" AND ".join(["__c = __cell"] + [f"`{k}` <=> `__by_{k}`" for k in by]))
 
 
-def order_stats(
-    df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, str], few_groups: bool = False
-) -> DataFrame:
+def order_stats(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, str]) -> DataFrame:
     """Exact order statistics per group: columns ``by``, ``n`` and one value per name in ``ranks``.
 
-    A rank is SQL over ``__n`` (rows of the group with a value) and counts from 0. ``few_groups``
-    states that ``by`` comes from a dimension of fixed size, which makes the cell table safe to
-    broadcast; the global case (no ``by``) is always that small. Null values are left out.
+    A rank is SQL over ``__n`` (rows of the group with a value) and counts from 0. Without
+    ``by`` the table of wanted cells has one row per rank and is broadcast; with groups the
+    optimiser decides by its size. Null values are left out.
     """
     by = list(by)
     plain = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
@@ -72,7 +70,7 @@ def order_stats(
     ).selectExpr("*", "__hi - __k AS __lo")
     wanted = " OR ".join(f"({rank} >= __lo AND {rank} < __hi)" for rank in ranks.values())
     cells = hist.filter(wanted).drop("__k", "__hi")
-    if few_groups or not by:
+    if not by:  # one row per rank
         cells = F.broadcast(cells)
 
     near = plain.join(cells, _joined_on(by)).groupBy(*by, "__c", "__lo", "__n", "__v").agg(F.count(F.lit(1)).alias("__k"))
@@ -89,7 +87,6 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     method: str = "inclusive",
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group: columns ``by``, ``n`` and one per name in ``probs``.
 
@@ -97,7 +94,7 @@ def group_quantiles(
     """
     ranks = _wanted_ranks(probs.values(), method)
     named = {f"__{side}{i}": rank for i, (low, high, _) in enumerate(ranks) for side, rank in (("l", low), ("h", high))}
-    stats = order_stats(df, by, value, named, few_groups)
+    stats = order_stats(df, by, value, named)
     weights = [frac.replace("__n", "n") for _, _, frac in ranks]
     return stats.selectExpr(
         *[f"`{k}`" for k in by],
@@ -106,8 +103,8 @@ def group_quantiles(
     )
 
 
-def group_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median", few_groups: bool = False) -> DataFrame:
-    return group_quantiles(df, by, value, {name: 0.5}, few_groups=few_groups)
+def group_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    return group_quantiles(df, by, value, {name: 0.5})
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -35,7 +35,7 @@ def _with(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(right, cond).drop(*[f"__by_{k}" for k in by])
 
 
-def estimator_error(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR, few_groups: bool = False) -> DataFrame:
+def estimator_error(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR) -> DataFrame:
     """How far the mean is from the median and the geometric mean, with shape."""
     d = _present(df, by, value)
     agg = d.groupBy(*by).agg(
@@ -44,12 +44,12 @@ def estimator_error(df: DataFrame, by: Sequence[str], value: str, min_n: int = M
         F.skewness("v").alias("skew"),
         F.kurtosis("v").alias("excess_kurtosis"),
     )
-    out = _with(group_median(d, by, "v", few_groups=few_groups), agg, by).filter(F.col("n") >= min_n)
+    out = _with(group_median(d, by, "v"), agg, by).filter(F.col("n") >= min_n)
     gap = lambda base: 100 * F.try_divide(F.col("mean") - F.col(base), F.col(base))
     return out.withColumns({"mean_vs_median_pct": gap("median"), "mean_vs_geomean_pct": gap("geometric_mean")})
 
 
-def profile_numeric(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_PROFILE, few_groups: bool = False) -> DataFrame:
+def profile_numeric(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_PROFILE) -> DataFrame:
     """Counts, spread and shape of a numeric field."""
     d = _present(df, by, value)
     raw = df.groupBy(*by).agg(F.count(F.lit(1)).alias("raw_n"))
@@ -59,7 +59,7 @@ def profile_numeric(df: DataFrame, by: Sequence[str], value: str, min_n: int = M
         F.skewness("v").alias("skew"), F.kurtosis("v").alias("excess_kurtosis"),
         F.when(F.min("v") > 0, F.exp(F.avg(F.ln(F.when(F.col("v") > 0, F.col("v")))))).alias("geometric_mean"),
     )
-    q = group_quantiles(d, by, "v", {"median": 0.5, "q1": 0.25, "q3": 0.75}, few_groups=few_groups).filter(F.col("n") >= min_n)
+    q = group_quantiles(d, by, "v", {"median": 0.5, "q1": 0.25, "q3": 0.75}).filter(F.col("n") >= min_n)
     out = _with(_with(_with(q, agg, by), distinct, by), raw, by)
     return out.select(
         *by, "n", (F.col("raw_n") - F.col("n")).alias("n_missing"), "n_distinct",
@@ -146,23 +146,23 @@ def _boot_rank(z: str) -> str:
     return f"greatest(0, least(CAST(ceil(__n * (0.5D + 0.5D * ({z}) / sqrt(__n + ({z}) * ({z})))) AS BIGINT) - 1, __n - 1))"
 
 
-def median_ci(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR, alpha: float = 0.05, few_groups: bool = False) -> DataFrame:
+def median_ci(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR, alpha: float = 0.05) -> DataFrame:
     """Median with its percentile bootstrap interval in the limit of many replicates."""
     z = normal_quantile(1 - alpha / 2)
     mid = {"__m0": "floor((__n - 1) / 2)", "__m1": "ceil((__n - 1) / 2)"}
-    out = order_stats(df, by, value, {**mid, "lo": _boot_rank(f"-{z!r}D"), "hi": _boot_rank(f"{z!r}D")}, few_groups)
+    out = order_stats(df, by, value, {**mid, "lo": _boot_rank(f"-{z!r}D"), "hi": _boot_rank(f"{z!r}D")})
     out = out.withColumn("median", (F.col("__m0") + F.col("__m1")) / 2).filter(F.col("n") >= min_n)
     return out.select(*by, "n", "median", "lo", "hi", (100 * F.try_divide(F.col("hi") - F.col("lo"), 2 * F.col("median"))).alias("half_width_pct"))
 
 
-def median_bca(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR, alpha: float = 0.05, few_groups: bool = False) -> DataFrame:
+def median_bca(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR, alpha: float = 0.05) -> DataFrame:
     """Median with its bias-corrected and accelerated interval.
 
     Leaving one value out gives at most three different medians, so bias and acceleration follow
     from the values around the middle; the interval is read off at the corrected ranks.
     """
     around = {"a": "greatest(0, floor((__n - 1) / 2) - 1)", "b": "floor((__n - 1) / 2)", "c": "least(__n - 1, floor((__n - 1) / 2) + 1)"}
-    base = order_stats(df, by, value, around, few_groups).filter(F.col("n") >= min_n)
+    base = order_stats(df, by, value, around).filter(F.col("n") >= min_n)
     odd = F.col("n") % 2 == 1
     half = F.floor(F.col("n") / 2)
     a, b, c = F.col("a"), F.col("b"), F.col("c")
@@ -182,7 +182,7 @@ def median_bca(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ES
     base = base.withColumns({"__zl": score(F.lit(-z)), "__zu": score(F.lit(z))})
     keyed = _with(_present(df, by, value), base.select(*by, "__zl", "__zu"), by)
     groups = [*by, "__zl", "__zu"]  # the scores are a function of the group
-    ends = order_stats(keyed, groups, "v", {"lo": _boot_rank("__zl"), "hi": _boot_rank("__zu")}, few_groups)
+    ends = order_stats(keyed, groups, "v", {"lo": _boot_rank("__zl"), "hi": _boot_rank("__zu")})
     return _with(base.drop("__zl", "__zu"), ends.select(*by, "lo", "hi"), by)
 
 
@@ -222,7 +222,7 @@ def bootstrap(df: DataFrame, by: Sequence[str], value: str, id_: str, replicates
 # ------------------------------------------------------------------- outliers
 
 
-def outlier_flags(df: DataFrame, by: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:
+def outlier_flags(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Every row with three verdicts that are not reconciled: quartile fence, robust z, log fence.
 
     The log fence takes over where all values are positive and skewed, else it repeats the first.
@@ -232,7 +232,7 @@ def outlier_flags(df: DataFrame, by: Sequence[str], value: str, few_groups: bool
     for name, p in (("q1", 0.25), ("md", 0.5), ("q3", 0.75)):
         ranks[f"{name}l"] = f"floor({p}D * (__n - 1))"
         ranks[f"{name}h"] = f"ceil({p}D * (__n - 1))"
-    q = order_stats(d, by, value, ranks, few_groups)
+    q = order_stats(d, by, value, ranks)
     frac = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
     lin = lambda name, p: F.col(f"{name}l") + (F.col(f"{name}h") - F.col(f"{name}l")) * frac(p)
     log = lambda name, p: F.ln(f"{name}l") + (F.ln(f"{name}h") - F.ln(f"{name}l")) * frac(p)
@@ -242,11 +242,11 @@ def outlier_flags(df: DataFrame, by: Sequence[str], value: str, few_groups: bool
         *by, lin("q1", 0.25).alias("q1"), lin("md", 0.5).alias("med"), lin("q3", 0.75).alias("q3"), skewed.alias("__skewed"),
         F.when(skewed, log("q1", 0.25)).alias("lq1"), F.when(skewed, log("q3", 0.75)).alias("lq3"),
     )
-    if few_groups or not by:
+    if not by:  # one row
         stats = F.broadcast(stats)
     rows = _with(d, stats, by).withColumn("__dev", F.abs(F.col(value) - F.col("med")))
-    mad = group_median(rows, by, "__dev", "mad", few_groups).drop("n")
-    if few_groups or not by:
+    mad = group_median(rows, by, "__dev", "mad").drop("n")
+    if not by:  # one row
         mad = F.broadcast(mad)
     v, iqr, liqr = F.col(value), F.col("q3") - F.col("q1"), F.col("lq3") - F.col("lq1")
     fence = (v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)
@@ -256,8 +256,8 @@ def outlier_flags(df: DataFrame, by: Sequence[str], value: str, few_groups: bool
     return _with(rows, mad, by).select(*df.columns, fence.alias("iqr_fence"), robust.alias("robust_z"), logged.alias("log_fence"))
 
 
-def outlier_summary(df: DataFrame, by: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:
-    f = outlier_flags(df, by, value, few_groups)
+def outlier_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    f = outlier_flags(df, by, value)
     votes = sum((F.col(c).cast("int") for c in ("iqr_fence", "robust_z", "log_fence")), F.lit(0))
     return f.withColumn("votes", votes).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("iqr_fence").alias("iqr_fence_n"), F.count_if("robust_z").alias("robust_z_n"),
@@ -419,10 +419,10 @@ def lineage(df: DataFrame, derived_from: dict[str, Sequence[str]], cols: Sequenc
     return agg.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def implied_yield(df: DataFrame, by: Sequence[str], rent: str, price: str, m2: float = 60.0, few_groups: bool = False) -> DataFrame:
+def implied_yield(df: DataFrame, by: Sequence[str], rent: str, price: str, m2: float = 60.0) -> DataFrame:
     """Median of 12 x rent over (m2 x price per m2), rows without either left out."""
     d = df.filter((F.col(rent) != 0) & (F.col(price) != 0)).withColumn("__y", 12 * F.col(rent) / (m2 * F.col(price)))
-    return group_median(d, by, "__y", "median_yield", few_groups)
+    return group_median(d, by, "__y", "median_yield")
 
 
 def temporal_gap(df: DataFrame, entity: Sequence[str], year: str, value: str, min_n: int = 6) -> DataFrame:

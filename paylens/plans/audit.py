@@ -36,7 +36,7 @@ def statistical_audit(posts: DataFrame, series: DataFrame, words: Sequence[str]
         measure("keyword_census", n, None, ["n", *[f"word_{w.lower()}" for w in words]]),
         measure("exact_duplicates", dedupe.exact_census(posts, ["title", "company", "country"]), None, ["groups", "rows_in_groups", "removable"]),
         measure("heaping", stats.digit_heaping(posts.withColumn("whole", F.floor("pay")), ["provider"], "whole"), "provider", ["n", "ends_in_0_or_5_pct", "ends_in_000_pct"]),
-        measure("estimator_error", stats.estimator_error(posts, ["country"], "pay", few_groups=True), "country", ["n", "mean", "median", "mean_vs_median_pct", "skew"]),
+        measure("estimator_error", stats.estimator_error(posts, ["country"], "pay"), "country", ["n", "mean", "median", "mean_vs_median_pct", "skew"]),
         measure("benford", stats.benford(posts, ["provider"], "pay"), "provider", ["n", "mad", "orders"]),
         measure("hill", stats.hill(posts, ["country"], "pay"), "country", ["n", "alpha"]),
         measure("temporal_gap", stats.temporal_gap(posts, ["country"], "year", "pay"), "country", ["n", "gap_pct"]),

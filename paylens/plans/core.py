@@ -103,9 +103,9 @@ def rederive_pay(posts: DataFrame, classes: DataFrame, removable: DataFrame, key
     kept = lookups.drop_members(posts, removable, "id")
     tagged = lookups.classes_back(kept, classes, "title", "class")
     only = tagged.filter(F.col("class") == wanted)
-    published = group_median(posts, [key], "value", "published", few_groups=True).withColumnRenamed("n", "n_published")
+    published = group_median(posts, [key], "value", "published").withColumnRenamed("n", "n_published")
     deduped = kept.groupBy(key).agg(F.count("value").alias("n_after_dedupe"))
-    ci = median_ci(only, [key], "value", min_n=5, few_groups=True).withColumnRenamed("n", "n_class")
+    ci = median_ci(only, [key], "value", min_n=5).withColumnRenamed("n", "n_class")
     out = published.join(deduped, key, "left").join(ci, key, "left")
     return out.withColumns(
         {

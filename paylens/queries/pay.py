@@ -28,7 +28,7 @@ GROUP BY country HAVING count(*) >= 5 ORDER BY median DESC, country LIMIT 12""",
 def pay_summary_by_country(spark, sf):
     df = rated(spark, sf).filter((F.col("period") == "year") & F.col("rate").isNotNull())
     df = df.select("country", ((money.at_rate(F.col("min"), F.col("rate")) + money.at_rate(F.col("max"), F.col("rate"))) / 2).alias("mid"))
-    return plan.pay_summary(df, "country", "mid", few_groups=True)  # 25 nations
+    return plan.pay_summary(df, "country", "mid")
 
 
 @query(
@@ -242,7 +242,7 @@ def observations(spark, sf):
     p = postings(spark, sf)
     keys = ["country", "segment", "year"]
     probs = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
-    q = group_quantiles(p, keys, "pay", probs, few_groups=True)  # nations x segments x years
+    q = group_quantiles(p, keys, "pay", probs)  # nations x segments x years
     obs = q.join(p.groupBy(*keys).agg(F.avg("pay").alias("mean")), keys).withColumnRenamed("segment", "source_id")
     s = F.col("source_id")
     bonus = F.when(s == "AUTOMOBILE", "false").when(s == "BUILDING", "true").otherwise("unknown")
@@ -405,7 +405,7 @@ SELECT source_id, CASE WHEN NOT series THEN 'exempt' WHEN value IS NULL THEN 'no
 def benchmark_status(spark, sf):
     p = postings(spark, sf)
     keys = ["country", "segment", "year"]
-    f = group_quantiles(p, keys, "pay", {"regular": 0.5}, few_groups=True).join(p.groupBy(*keys).agg(F.avg("pay").alias("avg")), keys)
+    f = group_quantiles(p, keys, "pay", {"regular": 0.5}).join(p.groupBy(*keys).agg(F.avg("pay").alias("avg")), keys)
     seg = F.col("segment")
     f = f.select(
         "country", "year", seg.alias("source_id"), F.when(seg != "MACHINERY", F.col("regular")).alias("regular"),

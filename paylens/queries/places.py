@@ -67,7 +67,7 @@ d AS (SELECT {DERIVED} FROM money) SELECT * FROM d""",
 def pay_vs_cost(spark, sf):
     from paylens.operators.quantiles import group_median
 
-    e = group_median(postings(spark, sf).filter("country <> 'NATION_7'"), ["country"], "pay", "estimate", few_groups=True)
+    e = group_median(postings(spark, sf).filter("country <> 'NATION_7'"), ["country"], "pay", "estimate")
     return derived(core.pay_vs_cost(e, cities(spark, sf), "country"))
 
 
@@ -232,7 +232,7 @@ def order_comparable(spark, sf):
     from paylens.operators.quantiles import group_median
 
     p = postings(spark, sf)
-    d = group_median(p, ["country"], "pay", few_groups=True).join(p.groupBy("country").agg(F.avg("pay").alias("mean")), "country")
+    d = group_median(p, ["country"], "pay").join(p.groupBy("country").agg(F.avg("pay").alias("mean")), "country")
     return ranking.order_comparable(d, "median", "mean", "country", True).select("country", r("median").alias("median"), r("mean").alias("mean"))
 
 

@@ -136,7 +136,7 @@ def survey_pay(spark, sf):
     banded, _ = tables.survey_pay(d, ["CompTotal", "ConvertedCompYearly"], ["Country"], ["YearsCodePro"], ["DevType"], "wave")
     exact = group_median(
         d.withColumn("country", F.when(F.col("Country") == "Sweden", "SE").otherwise("DE")).select("country", "wave", F.col("ConvertedCompYearly").cast("double").alias("pay"), F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("YearsCodePro") == "4", "mid").when(F.col("YearsCodePro") == "12", "senior").when(F.col("YearsCodePro").startswith("Less"), "new_grad")))).alias("band")).filter("pay BETWEEN 5000 AND 1000000"),
-        ["country", "wave", "band"], "pay", few_groups=True,
+        ["country", "wave", "band"], "pay",
     )
     both = banded.drop("median").join(exact.drop("n"), ["country", "wave", "band"])
     return both.select("country", "wave", "band", "n", r("median", 5).alias("median"))

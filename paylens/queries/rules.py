@@ -22,7 +22,7 @@ WAGE = """wage AS (SELECT p_brand AS brand, k, count(*) AS n, round(avg(v), 4) A
 def wage(spark, sf):
     p = table(spark, sf, "part").withColumn("k", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int"))
     keys = ["p_brand", "k"]
-    q = group_quantiles(p, keys, "p_retailprice", {"a": 0.1, "p25": 0.25, "m": 0.5, "p75": 0.75, "z": 0.9}, few_groups=True)
+    q = group_quantiles(p, keys, "p_retailprice", {"a": 0.1, "p25": 0.25, "m": 0.5, "p75": 0.75, "z": 0.9})
     q = q.join(p.groupBy(*keys).agg(F.avg("p_retailprice").alias("avg")), keys)
     return q.select(
         F.col("p_brand").alias("brand"), "k", "n", r("avg").alias("mean"), r(F.when(F.col("k") % 7 == 0, F.col("z")).otherwise(F.col("a"))).alias("p10"),
@@ -144,7 +144,7 @@ def findings_magnitude(spark, sf):
         F.when(st == "F", "hour").when(st == "O", "month").otherwise("year").alias("period"), F.substring("o_orderpriority", 1, 1).alias("currency"),
         F.when(st == "F", v / 200).when(st == "O", v).otherwise(v * 10).alias("value"),
     )
-    return quality.check_magnitude(long, few_groups=True).select("entity", r("observed", 6).alias("observed"), "detail")
+    return quality.check_magnitude(long).select("entity", r("observed", 6).alias("observed"), "detail")
 
 
 @query(

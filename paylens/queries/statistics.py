@@ -30,7 +30,7 @@ def central(m: str, group: str, src: str, v: str, extra: str = "") -> str:
   round(100 * (mean - median) / median, 3) AS mean_vs_median_pct, round(100 * (mean - geo) / geo, 3) AS mean_vs_geomean_pct FROM s WHERE n >= 12""",
 )
 def estimator_error(spark, sf):
-    e = stats.estimator_error(postings(spark, sf), ["country"], "pay", few_groups=True)
+    e = stats.estimator_error(postings(spark, sf), ["country"], "pay")
     names = ["mean", "median", "geometric_mean"]
     return e.select(
         "country", "n", *[r(c).alias(c) for c in names],
@@ -45,7 +45,7 @@ def estimator_error(spark, sf):
   round(median, 5) AS median, round(sd, 4) AS sd, round(q3 - q1, 5) AS iqr, round(skew, 3) AS skew, round(kurt, 3) AS excess_kurtosis, round(geo, 4) AS geometric_mean FROM s""",
 )
 def profile_numeric(spark, sf):
-    p = stats.profile_numeric(table(spark, sf, "events"), ["event_type"], "value", few_groups=True)
+    p = stats.profile_numeric(table(spark, sf, "events"), ["event_type"], "value")
     rounded = {"duplicate_rate_pct": 3, "mean": 4, "median": 5, "sd": 4, "iqr": 5, "skew": 3, "excess_kurtosis": 3, "geometric_mean": 4}
     return p.select(
         "event_type", "n", F.col("n_missing").cast("int").alias("n_missing"), "n_distinct", "min", "max", *[r(c, d).alias(c) for c, d in rounded.items()]
@@ -61,7 +61,7 @@ def profile_numeric(spark, sf):
 def profile_numeric_lineitem(spark, sf):
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     long = table(spark, sf, "lineitem").select(*cols).unpivot([], cols, "field", "v")
-    p = stats.profile_numeric(long, ["field"], "v", few_groups=True)
+    p = stats.profile_numeric(long, ["field"], "v")
     return p.select("field", "n", "n_distinct", "min", "max", r("mean").alias("mean"), r("median", 5).alias("median"), r("sd").alias("sd"), r("skew", 3).alias("skew"))
 
 
@@ -90,7 +90,7 @@ SELECT p_type, n, round(max(v) FILTER (q = 0.25), 5) AS q1, round(max(v) FILTER
 def quartiles_exclusive(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     d = li.join(p, li.l_partkey == p.p_partkey).select("p_type", "l_extendedprice")
-    q = group_quantiles(d, ["p_type"], "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "exclusive", few_groups=True)
+    q = group_quantiles(d, ["p_type"], "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "exclusive")
     return q.select("p_type", "n", *[r(c, 5).alias(c) for c in ("q1", "median", "q3")])
 
 
@@ -102,7 +102,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type""",
 def quartiles_inclusive(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     d = li.join(p, li.l_partkey == p.p_partkey).select("p_type", "l_extendedprice")
-    q = group_quantiles(d, ["p_type"], "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_groups=True)
+    q = group_quantiles(d, ["p_type"], "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return q.select("p_type", "n", *[r(c, 5).alias(c) for c in ("q1", "median", "q3")])
 
 
@@ -166,7 +166,7 @@ SELECT country, n, round(median(pay), 4) AS median, max(pay) FILTER (rn = {RANK.
 FROM s GROUP BY country, n HAVING n >= 12""",
 )
 def median_ci(spark, sf):
-    m = stats.median_ci(postings(spark, sf), ["country"], "pay", few_groups=True)
+    m = stats.median_ci(postings(spark, sf), ["country"], "pay")
     return m.select("country", "n", r("median").alias("median"), "lo", "hi")
 
 
@@ -186,7 +186,7 @@ SELECT country, n, round(median, 4) AS median, round(z0, 6) AS z0, round(acc, 6)
   (SELECT max(pay) FROM s WHERE s.country = z.country AND rn = greatest(0, least(ceil(z.n * (0.5 + 0.5 * zu / sqrt(z.n + zu * zu)))::BIGINT - 1, z.n - 1))) AS hi FROM z""",
 )
 def median_bca(spark, sf):
-    m = stats.median_bca(postings(spark, sf), ["country"], "pay", few_groups=True)
+    m = stats.median_bca(postings(spark, sf), ["country"], "pay")
     return m.select("country", "n", r("median").alias("median"), r("z0", 6).alias("z0"), r("acceleration", 6).alias("acceleration"), "lo", "hi")
 
 
@@ -226,7 +226,7 @@ f AS (SELECT q.g, v, v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) AS a,
   count(*) FILTER (a AND b AND c) AS by_all_n, count(*) FILTER (a OR b OR c) AS by_any_n FROM f GROUP BY g""",
 )
 def outlier_rules(spark, sf):
-    return stats.outlier_summary(table(spark, sf, "events"), ["event_type"], "value", few_groups=True)
+    return stats.outlier_summary(table(spark, sf, "events"), ["event_type"], "value")
 
 
 ORDER_SUM = """j AS (SELECT o_orderkey, o_orderpriority AS g, o_totalprice AS x, round(sum(l_extendedprice * (1 - l_discount)), 4) AS y
@@ -407,7 +407,7 @@ def lineage(spark, sf):
     "SELECT p_brand, count(*) AS n, round(median(12 * p_size::DOUBLE / (60.0::DOUBLE * p_retailprice)), 8) AS median_yield FROM part WHERE p_size <> 0 AND p_retailprice <> 0 GROUP BY p_brand",
 )
 def implied_yield(spark, sf):
-    y = stats.implied_yield(table(spark, sf, "part"), ["p_brand"], "p_size", "p_retailprice", few_groups=True)
+    y = stats.implied_yield(table(spark, sf, "part"), ["p_brand"], "p_size", "p_retailprice")
     return y.select("p_brand", "n", r("median_yield", 8).alias("median_yield"))
 
 

@@ -254,7 +254,7 @@ def distribution(spark, sf):
     from paylens.operators.quantiles import group_quantiles
 
     p = postings(spark, sf).withColumnRenamed("country", "entity")
-    q = group_quantiles(p, ["entity"], "pay", {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}, few_groups=True)
+    q = group_quantiles(p, ["entity"], "pay", {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
     return q.drop("n").join(p.groupBy("entity").agg(F.avg("pay").alias("mean")), "entity")
 
 

@@ -196,21 +196,21 @@ def read_series_by_id(df: DataFrame, wanted: DataFrame, datatypes: dict[str, str
     return d.groupBy("city", "role", "year").pivot("field", list(datatypes.values())).agg(F.first("value"))
 
 
-def survey_pay(df: DataFrame, pay: Sequence[str], country: Sequence[str], experience: Sequence[str], role: Sequence[str], wave: str, floor: float = 5_000, ceiling: float = 1_000_000, few_groups: bool = True) -> tuple[DataFrame, DataFrame]:
+def survey_pay(df: DataFrame, pay: Sequence[str], country: Sequence[str], experience: Sequence[str], role: Sequence[str], wave: str, floor: float = 5_000, ceiling: float = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Survey waves to (pay by band, pay by role). Column names differ by wave: the first present and
     filled wins. A row counts in its band and in ``all``, a row without a band in ``all`` once."""
     pick = lambda names: F.coalesce(*[text.blank_to_null(F.col(f"`{n}`")) for n in names if n in df.columns], F.lit(None).cast("string"))
     d = df.select(F.col(wave).alias("wave"), geo.to_iso2(pick(country)).alias("country"), pick(pay).try_cast("double").alias("pay"), text.experience_band(pick(experience)).alias("band"), pick(role).alias("role"))
     d = d.filter(F.col("country").isNotNull() & F.col("pay").between(floor, ceiling))
-    stats = lambda x, key, min_n: _survey_stats(x, ["country", "wave", key], min_n, few_groups)
+    stats = lambda x, key, min_n: _survey_stats(x, ["country", "wave", key], min_n)
     banded = d.withColumn("band", F.explode(F.array_compact(F.array(F.col("band"), F.lit("all")))))
     roles = d.withColumn("role", F.explode(F.filter(F.transform(F.split("role", ";"), lambda r: F.trim(r)), lambda r: r != "")))
     return stats(banded, "band", 1), stats(roles, "role", 3)
 
 
-def _survey_stats(d: DataFrame, keys: list[str], min_n: int, few_groups: bool) -> DataFrame:
-    med = group_quantiles(d, keys, "pay", {"median": 0.5}, few_groups=few_groups)
-    q = group_quantiles(d, keys, "pay", {"p25": 0.25, "p75": 0.75}, "exclusive", few_groups).drop("n")
+def _survey_stats(d: DataFrame, keys: list[str], min_n: int) -> DataFrame:
+    med = group_quantiles(d, keys, "pay", {"median": 0.5})
+    q = group_quantiles(d, keys, "pay", {"p25": 0.25, "p75": 0.75}, "exclusive").drop("n")
     enough = lambda c: F.when(F.col("n") >= 4, F.bround(c, 0))
     return med.join(q, keys).filter(F.col("n") >= min_n).select(*keys, "n", F.bround("median", 0).alias("median"), enough("p25").alias("p25"), enough("p75").alias("p75"), (F.col("n") < 5).alias("thin"))
 

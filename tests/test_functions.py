@@ -162,14 +162,13 @@ def test_distribution_functions(spark):
     assert one(spark, -2.5, lambda c: maths.round_up_half(c), "double") == -2.0
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_group_quantiles_match_numpy(spark, few):
+def test_group_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     rows = [("hot", float(x)) for x in np.round(rng.lognormal(11, 0.6, 4000), 2)]
     rows += [("same", 7.0)] * 50 + [("neg", float(x)) for x in rng.normal(0, 3, 301)] + [("one", 1.5), (None, 2.0), (None, 4.0), ("hot", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = {"q1": 0.25, "med": 0.5, "p90": 0.9}
-    got = {r["g"]: r for r in quantiles.group_quantiles(df, ["g"], "v", probs, few_groups=few).collect()}
+    got = {r["g"]: r for r in quantiles.group_quantiles(df, ["g"], "v", probs).collect()}
     for g in ("hot", "same", "neg", "one", None):
         v = [x for k, x in rows if k == g and x is not None]
         assert got[g]["n"] == len(v)
