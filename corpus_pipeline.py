@@ -21,6 +21,10 @@ from paylens.llm.toxicity import REJECT, fit, with_scores
 from paylens.session import table
 
 
+#: Documents are linked from a similarity of 0.80 on; a pair there meets in no band with a chance of (1 - 0.8 ** 5) ** 40, about 1.3e-7.
+NEAR = {"threshold": 80, "bands": 40, "rows": 5}
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores until no column has it; column names differ by more than case."""
     taken = {c.lower() for c in docs.columns}
@@ -49,7 +53,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, that of the smallest id."""
-    return _keep(docs, minhash_dedup(docs).filter("kept"))
+    return _keep(docs, minhash_dedup(docs, **NEAR).filter("kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,3 +246,11 @@ def test_pipeline_keeps_clean_documents_and_columns(spark, tmp_path):
         state = stage(spark, state, str(tmp_path))
         assert state.count() == 0
     assert empty.columns == names
+
+
+def test_pipeline_links_from_four_fifths_on(spark):
+    rnd, rows = random.Random(8), []
+    for i, n in enumerate((104, 94, 92)):  # two words changed: 90 of 110, 80 of 100 and 78 of 98 shingles are common
+        ws = [f"t{i}x{rnd.randrange(10**6)}" for _ in range(n)]
+        rows += [(10 * i, " ".join(ws), "s"), (10 * i + 1, " ".join(f"new{k}" if k in (30, 60) else w for k, w in enumerate(ws)), "s")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, frame(spark, rows), "").collect()) == [0, 10, 20, 21]
