@@ -13,8 +13,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Bounds: tokens of a span, characters of a zone, documents and zones that the field is fitted on.
+#: Bounds: tokens of a span; for fitting alone characters of a zone, documents and zones.
 MOST_TOKENS, MOST_ZONE, MOST_DOCS, MOST_ZONES, ROUNDS = 24, 240, 4_000, 4_000, 4
 HINT = re.compile(r"[0-9@]|[(\[{](?:at|AT)[)\]}]|\sdot\s")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
@@ -68,15 +68,18 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold spans: neighbouring parts, with a word more where an at sign stands at the edge."""
+def zones(text: str, most: float = math.inf) -> list[tuple[int, int]]:
+    """Stretches that can hold spans: neighbouring parts, with a word more where an at sign stands at the edge.
+
+    A stretch runs as long as its parts do; only fitting cuts it, after ``most`` characters.
+    """
     found = [m.span() for m in SPELT.finditer(text)] if " dot " in text else []
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)] if HINT.search(text) else []
     part = [i for i, (a, b) in enumerate(words) if PART.fullmatch(text[a:b])]
     i = 0
     while i < len(part):
         j = i
-        while j + 1 < len(part) and part[j + 1] <= part[j] + 2 and words[part[j + 1]][1] - words[part[i]][0] <= MOST_ZONE and (part[j + 1] == part[j] + 1 or "@" in text[slice(*words[part[j + 1]])] or text[words[part[j + 1]][0]] in "([{"):
+        while j + 1 < len(part) and part[j + 1] <= part[j] + 2 and words[part[j + 1]][1] - words[part[i]][0] <= most and (part[j + 1] == part[j] + 1 or "@" in text[slice(*words[part[j + 1]])] or text[words[part[j + 1]][0]] in "([{"):
             j += 1
         lo, hi = part[i], part[j]
         if lo and text[words[lo][0]] in "@([{":
@@ -129,44 +132,55 @@ class Field:
     def __init__(self):
         self.w: dict[tuple[str, str], float] = defaultdict(float)
 
-    def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
+    def endings(self, text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[int, list[str]]]]:
         """For each token the spans that end with it: (first token, features)."""
         head = [text[a].isalnum() or text[a] in "+(" for a, _ in tokens]
-        out: list[list[tuple[int, list[str]]]] = [[] for _ in tokens]
         hint = [text[a].isdigit() or text[a] in "@([{" or text[a:b] == "at" for a, b in tokens]
         for j, (_, end) in enumerate(tokens):
-            if not text[end - 1].isalnum():
-                continue
+            own: list[tuple[int, list[str]]] = []
             seen = False
-            for i in range(j, max(-1, j - MOST_TOKENS), -1):
+            for i in range(j, max(-1, j - MOST_TOKENS), -1) if text[end - 1].isalnum() else ():
                 seen = seen or hint[i]
                 if seen and head[i]:
-                    out[j].append((i, features(text, tokens[i][0], end)))
-        return out
+                    own.append((i, features(text, tokens[i][0], end)))
+            yield own
 
-    def decode(self, text: str, tokens: list[tuple[int, int]], spans: list[list[tuple[int, list[str]]]]) -> list[Span]:
-        """Best spans: over the last token's kind, none or one of ``KINDS``."""
+    def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
+        """All of ``endings`` at once."""
+        return list(self.endings(text, tokens))
+
+    def decode(self, text: str, tokens: list[tuple[int, int]], spans: Iterable[list[tuple[int, list[str]]]]) -> list[Span]:
+        """Best spans: over the last token's kind, none or one of ``KINDS``.
+
+        Scores are kept as far back as a span reaches, and of each token and kind one byte: how
+        many tokens the best way goes back, and the kind it comes from.
+        """
         w, kinds = self.w, ("", *KINDS)
-        best = [{"": (0.0, None)}]
-        for j in range(len(tokens)):
-            here = {}
-            stay = max(((best[j][k][0] + w.get((k, ">"), 0.0), k) for k in best[j]), default=None)
-            here[""] = (stay[0], (j, stay[1], None))
-            for i, f in spans[j]:
+        number = {k: n for n, k in enumerate(kinds)}
+        best: deque[dict[str, float]] = deque([{"": 0.0}], MOST_TOKENS)
+        back = bytearray(len(kinds) * (len(tokens) + 1))
+        for j, ending in enumerate(spans):
+            here: dict[str, float] = {}
+            way = len(kinds) * (j + 1)
+            here[""], before = max((score + w.get((k, ">"), 0.0), k) for k, score in best[-1].items())
+            back[way] = len(kinds) + number[before]
+            for i, f in ending:
+                first = best[i - j - 1]
                 for kind in KINDS:
                     own = sum(w.get((kind, x), 0.0) for x in f)
-                    for k in best[i]:
-                        score = best[i][k][0] + own + w.get((k, ">" + kind), 0.0)
-                        if kind not in here or score > here[kind][0]:
-                            here[kind] = (score, (i, k, kind))
+                    for k, score in first.items():
+                        score = score + own + w.get((k, ">" + kind), 0.0)
+                        if kind not in here or score > here[kind]:
+                            here[kind] = score
+                            back[way + number[kind]] = len(kinds) * (j + 1 - i) + number[k]
             best.append(here)
         out: list[Span] = []
-        j, k = len(tokens), max(kinds, key=lambda k: best[-1][k][0] if k in best[-1] else float("-inf"))
+        j, k = len(tokens), max(kinds, key=lambda k: best[-1].get(k, -math.inf))
         while j:
-            i, before, kind = best[j][k][1]
-            if kind:
-                out.append((kind, tokens[i][0], tokens[j - 1][1]))
-            j, k = i, before
+            length, before = divmod(back[len(kinds) * j + number[k]], len(kinds))
+            if k:
+                out.append((k, tokens[j - length][0], tokens[j - 1][1]))
+            j, k = j - length, kinds[before]
         return out[::-1]
 
     def gradient(self, tokens: list, spans: list[list[tuple[int, list[str]]]], gold: list[Span]) -> dict[tuple[str, str], float]:
@@ -244,7 +258,7 @@ class Field:
                 lo, hi = max(0, a - 1), min(len(text), b + 1)
                 piece = text[lo:hi]
                 tokens = [m.span() for m in TOKEN.finditer(piece)]
-                out += [(k, lo + x, lo + y) for k, x, y in self.decode(piece, tokens, self.candidates(piece, tokens))]
+                out += [(k, lo + x, lo + y) for k, x, y in self.decode(piece, tokens, self.endings(piece, tokens))]
         return out
 
 
@@ -282,7 +296,7 @@ def examples(docs: list[str]) -> list[tuple[str, list[Span]]]:
     for n, text in enumerate(docs):
         rnd = random.Random(n)
         base = base_spans(text)
-        for a, b in zones(text):
+        for a, b in zones(text, MOST_ZONE):
             lo, hi = max(0, a - 1), min(len(text), b + 1)
             gold, at = [], lo
             for k, x, y in sorted((s for s in base if lo <= s[1] and s[2] <= hi), key=lambda s: (s[1], -s[2])):
@@ -312,7 +326,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fiel
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # zones with a little of what stands around them, in place of whole texts
-            out = [" \n ".join(x[max(0, lo - 20) : hi + 20] for lo, hi in zones(x)[:8]) for x in b.column("text").to_pylist()]
+            out = [" \n ".join(x[max(0, lo - 20) : hi + 20] for lo, hi in zones(x, MOST_ZONE)[:8]) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(out, pa.string())], ["h", "text"])
 
     order = t.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(MOST_DOCS)

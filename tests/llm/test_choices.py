@@ -254,3 +254,14 @@ def test_pipeline_links_from_four_fifths_on(spark):
         ws = [f"t{i}x{rnd.randrange(10**6)}" for _ in range(n)]
         rows += [(10 * i, " ".join(ws), "s"), (10 * i + 1, " ".join(f"new{k}" if k in (30, 60) else w for k, w in enumerate(ws)), "s")]
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, frame(spark, rows), "").collect()) == [0, 10, 20, 21]
+
+
+def test_spans_are_found_at_every_place_of_a_long_list():
+    field = Field()
+    field.w |= {("phone", "call:10"): 9.0, ("phone", "num:10"): 5.0, **{(k, "bias"): -1.0 for k in ("email", "ip", "card", "phone")}}
+    for k in range(120):
+        for s in ("(212) 555-1212", "212 555 1212"):
+            text = " ".join(s if i == k else "a7" for i in range(120))
+            at = text.index(s)
+            assert found(text, field) == ([], [("phone", at, at + len(s))]), k
+    assert zones("a7 " * 5000) == [(0, 14_999)]
