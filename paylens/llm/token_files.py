@@ -53,7 +53,12 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or not t.special for t in added):
+            raise ValueError("added tokens are looked for in the text as it stands")
+        #: Texts that hold one go to the library whole; in a word they come from lower-casing and are ordinary text.
+        self.added = [t.content.encode() for t in added]
+        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.old: dict[bytes, bytes] = {}
@@ -82,7 +87,17 @@ class Words(dict):
 
     kind = np.uint16
 
+    def whole(self, text: str) -> bytes:
+        """The library's plain call, added tokens included."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return array("H", self.of_text(text)).tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def text(self, text: bytes) -> bytes:
+        if any(t in text for t in self.added):
+            return self.whole(text.decode())
         if len(self) > MOST_WORDS:
             self.old.clear()
             self.old.update(self)

@@ -235,3 +235,18 @@ def test_scores_of_unseen_texts_beat_single_tokens(spark):
 def test_long_single_word_and_sentence(spark):
     rows = [(1, "x" * 300_000, "s"), (2, sentence(random.Random(1), 10), "s")]
     assert {r["n_tokens"] for r in context_tree_scores(frame(spark, rows)).collect()} == {2, 11}
+
+
+def test_added_tokens_in_a_text_are_those_of_the_plain_library_call(spark, tmp_path):
+    from paylens.llm.token_files import words
+
+    known, library = words(WORDS), Tokenizer.from_file(WORDS)
+    rnd = random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "Aé's ", " don't", "\n", "x.", "İΣ ", "漢"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(8))) for _ in range(1000)]
+    for s in texts:
+        assert np.frombuffer(known.text(s.encode()), np.uint16).tolist() == library.encode(s, add_special_tokens=False).ids, repr(s)
+    rows = [(i, s, None) for i, s in enumerate(texts[:50])]
+    write_token_files(frame(spark, rows), WORDS, str(tmp_path / "a"))
+    got = read_token_files(spark, str(tmp_path / "a")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*library.encode(s, add_special_tokens=False).ids, 1] for i, s, _ in rows}
