@@ -336,9 +336,7 @@ def corr_pairs(spark, sf):
 
 @query("pca_dims")
 def pca_dims(spark, sf):
-    cols = [f"e{i}" for i in range(8)]
-    e = table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
-    p = multivariate.pca_dims(e, cols)
+    p = multivariate.pca_array(table(spark, sf, "embeddings"), "embedding")
     return p.select("component", r("variance", 6).alias("variance"), r("cumulative", 6).alias("cumulative"), "reaches_share")
 
 

@@ -142,3 +142,18 @@ def test_bootstrap_is_repeatable(planted):
     one = stats.bootstrap(d, ["g"], "v", "id", 5).orderBy("replicate").collect()
     two = stats.bootstrap(d, ["g"], "v", "id", 5).orderBy("replicate").collect()
     assert one == two and all(abs(r["mean"] - 100) < 4 for r in one)
+
+
+def test_pca_query_reads_every_dimension(spark, tmp_path):
+    from paylens.queries.statistics import pca_dims
+
+    x = np.random.default_rng(4).normal(size=(300, 13)) @ np.random.default_rng(5).normal(size=(13, 13))
+    rows = [(row,) for row in x.tolist()] + [(None,), ([1.0],), ([None] * 13,)]
+    d = spark.createDataFrame(rows, "embedding array<double>").repartition(5)
+    d.write.parquet(str(tmp_path / "a" / "embeddings.parquet"))
+    d.limit(0).write.parquet(str(tmp_path / "b" / "embeddings.parquet"))
+    ev = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1] / 13
+    got = pca_dims(spark, str(tmp_path / "a")).orderBy("component").collect()
+    assert np.allclose([r["variance"] for r in got], ev, atol=1e-6)
+    assert [r["reaches_share"] for r in got].index(True) == int(np.argmax(np.cumsum(ev) >= 0.9))
+    assert pca_dims(spark, str(tmp_path / "b")).count() == 0
