@@ -118,6 +118,19 @@ def section_scan(spark, sf):
     return tables.read_sections(d, "sheet", "n", "cells")
 
 
+def survey_waves(spark, sf):
+    """Survey rows: a wave per order year, bands by customer."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    k = F.col("c_custkey") % 4
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.year("o_orderdate").cast("string").alias("wave"), F.when(F.col("c_nationkey") % 2 == 0, "Sweden").otherwise("DEU").alias("Country"), F.col("o_totalprice").cast("string").alias("ConvertedCompYearly"),
+        F.when(k == 0, "Less than 1 year").when(k == 1, "4").when(k == 2, "12").otherwise("NA").alias("YearsCodePro"), F.lit("dev;").alias("DevType"),
+    )
+
+
+SURVEY = (["CompTotal", "ConvertedCompYearly"], ["Country"], ["YearsCodePro"], ["DevType"], "wave")
+
+
 @query(
     "survey_pay",
     """WITH s AS (SELECT year(o_orderdate)::VARCHAR AS wave, CASE c_nationkey % 2 WHEN 0 THEN 'SE' ELSE 'DE' END AS country, o_totalprice AS pay, CASE c_custkey % 4 WHEN 0 THEN 'new_grad' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' END AS band
@@ -127,13 +140,8 @@ SELECT country, wave, band, count(*) AS n, round(median(pay), 5) AS median FROM
 def survey_pay(spark, sf):
     from paylens.operators.quantiles import group_median
 
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    k = F.col("c_custkey") % 4
-    d = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.year("o_orderdate").cast("string").alias("wave"), F.when(F.col("c_nationkey") % 2 == 0, "Sweden").otherwise("DEU").alias("Country"), F.col("o_totalprice").cast("string").alias("ConvertedCompYearly"),
-        F.when(k == 0, "Less than 1 year").when(k == 1, "4").when(k == 2, "12").otherwise("NA").alias("YearsCodePro"), F.lit("dev;").alias("DevType"),
-    )
-    banded, _ = tables.survey_pay(d, ["CompTotal", "ConvertedCompYearly"], ["Country"], ["YearsCodePro"], ["DevType"], "wave")
+    d = survey_waves(spark, sf)
+    banded, _ = tables.survey_pay(d, *SURVEY)
     exact = group_median(
         d.withColumn("country", F.when(F.col("Country") == "Sweden", "SE").otherwise("DE")).select("country", "wave", F.col("ConvertedCompYearly").cast("double").alias("pay"), F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("YearsCodePro") == "4", "mid").when(F.col("YearsCodePro") == "12", "senior").when(F.col("YearsCodePro").startswith("Less"), "new_grad")))).alias("band")).filter("pay BETWEEN 5000 AND 1000000"),
         ["country", "wave", "band"], "pay",
@@ -142,10 +150,32 @@ def survey_pay(spark, sf):
     return both.select("country", "wave", "band", "n", r("median", 5).alias("median"))
 
 
+@query("survey_pay_bands")
+def survey_pay_bands(spark, sf):
+    """The reader's own medians, quartiles and thin flag, by band."""
+    return tables.survey_pay(survey_waves(spark, sf), *SURVEY)[0]
+
+
+@query("survey_pay_roles")
+def survey_pay_roles(spark, sf):
+    """The same, by role."""
+    return tables.survey_pay(survey_waves(spark, sf), *SURVEY)[1]
+
+
+def forum_rows(spark, sf):
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit(False).alias("deleted"), F.lit(None).cast("boolean").alias("dead"))
+    return postings.postings_forum(c)
+
+
 @query(
     "forum_postings",
     """SELECT 'hn:' || conv_id || '-' || turn AS id, trim(string_split(trim(text, chr(10) || ' '), chr(10))[1]) AS title FROM conversations WHERE trim(text, chr(10) || ' ') <> ''""",
 )
 def forum_postings(spark, sf):
-    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit(False).alias("deleted"), F.lit(None).cast("boolean").alias("dead"))
-    return postings.postings_forum(c).select("id", "title")
+    return forum_rows(spark, sf).select("id", "title")
+
+
+@query("forum_postings_fields")
+def forum_postings_fields(spark, sf):
+    """All fields of the reader's postings."""
+    return forum_rows(spark, sf)

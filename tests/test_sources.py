@@ -218,3 +218,34 @@ def test_lever_feed_gov_forum(spark):
     got = postings.postings_forum(forum).collect()
     assert len(got) == 1 and got[0]["title"] == "Acme | Berlin | Remote" and got[0]["country"] == "DE" and got[0]["remote"] is True
     assert (got[0]["compensation"]["min"], got[0]["compensation"]["currency"]) == (160000.0, "CAD")
+
+
+def test_survey_and_forum_queries_give_the_readers_own_columns(spark, tmp_path):
+    from statistics import median, quantiles
+
+    from paylens.queries import readers
+
+    orders = [(i, i % 7, f"199{i % 2}-05-05", 4000.0 + 517.5 * i) for i in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double").selectExpr("*", "date(o_orderdate) AS d").drop("o_orderdate").withColumnRenamed("d", "o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(c, c % 2) for c in range(7)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    groups: dict = {}
+    for _, c, day, pay in orders:
+        if 5000 <= pay <= 1_000_000:
+            place, band = "DE" if c % 2 else "SE", {0: "new_grad", 1: "mid", 2: "senior"}.get(c % 4)
+            for kind, key in (("band", "all"), ("role", "dev"), ("band", band)):
+                if key:
+                    groups.setdefault((kind, place, day[:4], key), []).append(pay)
+    for kind, query, least in (("band", readers.survey_pay_bands, 1), ("role", readers.survey_pay_roles, 3)):
+        want = {}
+        for (k, *key), v in groups.items():
+            if k == kind and len(v) >= least:
+                q = quantiles(v, n=4) if len(v) >= 4 else [None] * 3
+                want[tuple(key)] = (len(v), round(median(v)), *(x if x is None else round(x) for x in (q[0], q[2])), len(v) < 5)
+        got = {(r["country"], r["wave"], r[kind]): (r["n"], r["median"], r["p25"], r["p75"], r["thin"]) for r in query(spark, str(tmp_path)).collect()}
+        assert got == want
+    talk = [(1, 0, "Acme | Berlin, Germany | REMOTE\n$120,000 - $150,000 per year"), (1, 1, "Plain"), (2, 0, " ")]
+    spark.createDataFrame(talk, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {r["id"]: r for r in readers.forum_postings_fields(spark, str(tmp_path)).collect()}
+    assert set(out) == {"hn:1-0", "hn:1-1"}
+    assert out["hn:1-0"]["location_raw"] == talk[0][2].split("\n")[0] and out["hn:1-0"]["remote"] is True and out["hn:1-1"]["remote"] is None
+    assert out["hn:1-0"]["compensation"] is not None and out["hn:1-1"]["compensation"] is None
