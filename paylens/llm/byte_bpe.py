@@ -14,7 +14,6 @@ import gc
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +24,11 @@ from paylens.llm.landing import texts
 from paylens.llm.worker import kept
 
 #: Entries of a worker's tables; a full table of transitions is dropped and grows again, the others keep two generations.
-MOST_TRANSITIONS, MOST_UNITS, MOST_PIECES = 500_000, 250_000, 150_000
+MOST_TRANSITIONS, MOST_UNITS, MOST_PIECES = 300_000, 250_000, 50_000
 #: Tokens that are decoded at a time.
 STREAM = 1 << 16
 #: White space of Unicode, as the pattern's ``\\s`` means it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts without this have units that begin at every single space or line end.
 ODD_SPACE = re.compile(r"[^\S \n]|\s\s")
 
@@ -58,11 +57,14 @@ class Transducer:
                 node = step
             self.ends[node] = r
         self.fits: dict[tuple[int, int], bool] = {}
+        self.state: dict[tuple, dict] = {}
         self.forget()
 
     def forget(self) -> None:
         """A state is a table: by byte the next state and the tokens then certain, at -1 what is open in it."""
         self.fits.clear()
+        for table in self.state.values():  # states point at each other: empty ones go at once, without a look through all objects
+            table.clear()
         entries = ((0, -1, ()),)
         self.start = {-1: entries}
         self.state = {entries: self.start}
@@ -140,20 +142,20 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Ids of pieces, kept for two generations."""
+    """Ids, as packed bytes, of pieces, kept for two generations."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.encode, self.old = machine.encode, {}
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
             if len(self) >= MOST_PIECES:
                 self.old.clear()
                 self.old.update(self)
                 self.clear()
-            found = self.encode(piece.encode())
+            found = array("i", self.encode(piece.encode())).tobytes()
         self[piece] = found
         return found
 
@@ -175,13 +177,13 @@ class Units(dict):
         self.known, self.old = Pieces(self.machine), {}
 
     def ids(self, text: str) -> bytes:
-        return array("i", chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(text)))).tobytes()
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
     def __missing__(self, unit: str) -> bytes:
         found = self.old.get(unit)
         if found is None:
             if unit.isalpha():  # one piece
-                found = array("i", self.known[" " + unit]).tobytes()
+                found = array("i", self.machine.encode((" " + unit).encode())).tobytes()
             else:
                 found = self.ids(unit if unit[:1] == "\n" else " " + unit)
         self[unit] = found
