@@ -1,17 +1,20 @@
 """Toxicity by weak supervision.
 
-Lexicons of words and word beginnings are mined from a bounded sample of labelled rows. Each
+Words and word beginnings are mined from a bounded sample of labelled rows and put into lexicons
+by kind (a word, a beginning, several words of one beginning) and strength of evidence. Each
 lexicon is a voter; patterns of the text are voters too. A generative label model over all
 training rows (labels unseen) estimates how often each voter fires for either class and which
 voters depend on each other: given the class, votes form a tree, fitted by expectation
-maximisation. Its posteriors are the labels of a linear classifier over the lexicon entries and
-votes, and that classifier scores every whole text.
+maximisation. Its posteriors are the labels of a linear classifier over entries and votes. Rows
+mostly hold several entries, so the classifier is also shown each entry alone, with its share of
+posterior toxicity; it scores every whole text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,10 +29,15 @@ from paylens.llm.worker import turn
 
 #: Rows are held out where crc32(id) mod FOLDS is HELD.
 FOLDS, HELD = 3, 1
-#: Bounds of the samples: labelled rows that lexicons are mined from, and rows that the classifier is fitted on.
+#: Bounds of the samples, as far as the caller names no others: labelled rows that lexicons are mined from, and rows that the classifier is fitted on.
 MOST_LABELLED, MOST_FITTED = 20_000, 20_000
-#: Least share of toxic rows, and least number, that hold an entry; entries kept; lexicons they are dealt to.
-LEAST_SHARE, LEAST_ROWS, MOST_ENTRIES, LEXICONS = 0.01, 3, 256, 12
+#: Least share of toxic rows, and least number, that hold an entry; entries kept, the strongest ones, as far as the caller names no other number.
+LEAST_SHARE, LEAST_ROWS, MOST_ENTRIES = 0.01, 3, 256
+#: Lexicons: three kinds of entries, each in so many ranks of strength.
+KINDS, RANKS = 3, 4
+LEXICONS = KINDS * RANKS
+#: Rows by which an entry's share of toxic rows is drawn to the share of all rows.
+DOUBT = 2.0
 #: A document is rejected from this score on.
 REJECT = 0.7
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -57,9 +65,19 @@ def entries_of(text: str) -> set[str]:
     return {f"{e}#{k}" for e, many in n.items() for k in range(1, min(many, MOST_DIFFERENT) + 1)}
 
 
+def lexicons(entries: list[str]) -> list[int]:
+    """Lexicon of each entry, by kind and, as entries come in order of evidence, by rank within the kind."""
+    kinds = [0 if e.endswith(".#1") else 1 if e.endswith("#1") else 2 for e in entries]
+    size, seen, out = Counter(kinds), Counter(), []
+    for k in kinds:
+        out.append(k * RANKS + seen[k] * RANKS // size[k])
+        seen[k] += 1
+    return out
+
+
 @dataclass
 class Model:
-    """Everything that scoring needs; entries are at most ``MOST_ENTRIES``."""
+    """Everything that scoring needs; entries are bounded, and in order of evidence."""
 
     entries: dict[str, int]
     weights: np.ndarray
@@ -67,6 +85,7 @@ class Model:
 
     def __post_init__(self):
         self.heads = {e[:3] for e in self.entries}
+        self.lexicon = lexicons(list(self.entries))
         self.asked: dict[str, list[tuple[int, int]]] = {}
         for e, i in self.entries.items():
             beginning, k = e.split("#")
@@ -87,7 +106,7 @@ class Model:
         """One bit per voter that fires."""
         bits = 0
         for i in found:
-            bits |= 1 << (i % LEXICONS)
+            bits |= 1 << self.lexicon[i]
         for k, p in enumerate(PATTERNS):
             if p.search(text):
                 bits |= 1 << (LEXICONS + k)
@@ -100,12 +119,11 @@ class Model:
 
 
 def features(found: list[list[int]], votes: list[int], entries: int) -> np.ndarray:
-    x = np.zeros((len(found), entries + VOTERS + 1))
+    x = np.zeros((len(found), entries + VOTERS))
     for r, (f, v) in enumerate(zip(found, votes, strict=True)):
         x[r, f] = 1
         for k in range(VOTERS):
             x[r, entries + k] = v >> k & 1
-        x[r, -1] = math.log1p(len(f))
     return x
 
 
@@ -122,6 +140,18 @@ def _entry_counts(wanted: frozenset[str] | None):
     return run
 
 
+def _family(text: str) -> int:
+    """Smallest hash of three words in a row: mostly the same in copies and near copies, hardly ever elsewhere."""
+    ws = text.split()
+    return min((zlib.crc32(" ".join(ws[i : i + 3]).encode()) for i in range(max(1, len(ws) - 2))))
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn("toxicity")
+    for b in batches:
+        yield b.append_column("family", pa.array([_family(x) for x in b.column("text").to_pylist()], pa.int64()))
+
+
 def _g2(a: int, pos: int, b: int, neg: int) -> float:
     """Log likelihood ratio of an entry in ``a`` of ``pos`` and ``b`` of ``neg`` rows."""
     total = pos + neg
@@ -140,16 +170,18 @@ def _covers(kept: str, entry: str) -> bool:
     return b.startswith(a) and j <= k or a.startswith(b) and k <= j
 
 
-def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """``(id, label)`` of a fixed sample of at most ``MOST_LABELLED`` training rows."""
+def labelled(labels: DataFrame, id_col: str, label_col: str, most: int = MOST_LABELLED) -> DataFrame:
+    """``(id, label)`` of a fixed sample of at most ``most`` training rows."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
-    return landed(known.filter(training("id")).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED), "labelled")
+    return landed(known.filter(training("id")).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most), "labelled")
 
 
-def mine(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[dict[str, int], float]:
+def mine(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, most: int = MOST_ENTRIES) -> tuple[dict[str, int], float]:
     """Lexicon entries in order of weight of evidence, and the share of toxic rows in the sample."""
     t = docs.filter(training(id_col)).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = t.join(F.broadcast(known), "id")  # at most MOST_LABELLED short rows
+    rows = t.join(F.broadcast(known), "id")  # a bounded number of short rows
+    # copies are one witness: words that only they share would look like evidence
+    rows = landed(rows.select("label", "text").mapInArrow(_families, "label int, text string, family long").groupBy("label", "family").agg(F.min("text").alias("text")), "witnesses")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     share = (pos + 0.5) / (pos + neg + 1)
@@ -165,7 +197,7 @@ def mine(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple
     scored = [(_g2(a, pos, clean.get(e, 0), neg), e) for e, a in often.items() if (a + 0.5) / (pos + 1) > 8 * (clean.get(e, 0) + 0.5) / (neg + 1)]
     kept: list[str] = []
     for g, e in sorted(scored, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
-        if g <= bar or len(kept) == MOST_ENTRIES:
+        if g <= bar or len(kept) == most:
             break
         if not any(_covers(k, e) for k in kept):
             kept.append(e)
@@ -232,22 +264,23 @@ def dependencies(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
     return parent
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, rounds: int = 60, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton's steps, halved until they help; the bias is shrunk towards the base rate."""
     x = np.c_[x, np.ones(len(x))]
+    many = np.ones(len(x)) if weight is None else weight
     w = np.zeros(x.shape[1])
-    w[-1] = base = math.log((p.sum() + 0.5) / (len(p) - p.sum() + 0.5))
+    w[-1] = base = math.log((many @ p + 0.5) / (many @ (1 - p) + 0.5))
     centre = np.zeros(len(w))
     centre[-1] = base
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
-        return float((np.logaddexp(0, z) - p * z).sum() + ridge / 2 * ((v - centre) ** 2).sum())
+        return float(many @ (np.logaddexp(0, z) - p * z) + ridge / 2 * ((v - centre) ** 2).sum())
 
     now = loss(w)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - q) - ridge * (w - centre))
+        step = np.linalg.solve((x * (many * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (many * (p - q)) - ridge * (w - centre))
         size = 1.0
         while size > 1e-6 and loss(w + size * step) > now:
             size /= 2
@@ -268,11 +301,24 @@ def _vote_rows(model: Model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def alone(x: np.ndarray, p: np.ndarray, entries: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Toxicity of a text that holds one entry and no other, and how many rows it is worth.
+
+    It is that of the rows which hold just this entry, drawn towards that of all which hold it, and
+    this towards ``share``, in each case as by ``DOUBT`` further rows.
+    """
+    held = x[:, :entries]
+    single = held * (held.sum(axis=1) == 1)[:, None]
+    n, n_single = held.sum(axis=0), single.sum(axis=0)
+    any_ = (held.T @ p + DOUBT * share) / (n + DOUBT)
+    return (single.T @ p + DOUBT * any_) / (n_single + DOUBT), np.minimum(n, n_single + DOUBT)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED, most_fitted: int = MOST_FITTED, most_entries: int = MOST_ENTRIES) -> Model:
     """Learns from training rows alone."""
-    known = labelled(labels, id_col, label_col)
-    entries, share = mine(docs, known, id_col, text_col)
-    model = Model(entries, np.zeros(len(entries) + VOTERS + 1), math.log(share / (1 - share)))
+    known = labelled(labels, id_col, label_col, most_labelled)
+    entries, share = mine(docs, known, id_col, text_col, most_entries)
+    model = Model(entries, np.zeros(len(entries) + VOTERS), math.log(share / (1 - share)))
     if not entries:
         return model
     train = docs.filter(training(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("id"))
@@ -284,9 +330,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bits = np.array([[r["votes"] >> k & 1 for k in range(VOTERS)] for r in patterns])
     counts = np.array([r[1:] for r in patterns], float).T
     posterior = dict(zip((r["votes"] for r in patterns), fit_label_model(bits, counts[0], counts[1:]), strict=True))
-    sample = rows.orderBy("h", "votes", "found").limit(MOST_FITTED).collect()
+    sample = rows.orderBy("h", "votes", "found").limit(most_fitted).collect()
     x = features([list(r["found"]) for r in sample], [r["votes"] for r in sample], len(entries))
-    model.weights, model.bias = fit_linear(x, np.array([posterior[r["votes"]] for r in sample]))
+    p = np.array([posterior[r["votes"]] if r["label"] is None else r["label"] for r in sample], float)  # a known label is its row's posterior
+    single, many = alone(x, p, len(entries), share)
+    ones = features([[i] for i in range(len(entries))], [model.votes([i], "") for i in range(len(entries))], len(entries))
+    model.weights, model.bias = fit_linear(np.r_[x, ones], np.r_[p, single], weight=np.r_[np.ones(len(x)), many])
     return model
 
 
@@ -304,15 +353,18 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     return docs.mapInArrow(run, fields)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED, most_fitted: int = MOST_FITTED, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row of ``docs``.
 
+    ``most_labelled`` and ``most_fitted`` bound the samples that lexicons and classifier are fitted
+    on, ``most_entries`` the lexicons together; every row is scored by its whole text, however long.
+
     A null or empty text fires no voter and scores as the classifier's bias. Labels other than 0
     and 1 are left out; of an id with several labels the larger counts. Without toxic and clean
     training labels every score is the share of toxic ones, one half without any. Repeated rows
-    score alike. An empty table gives no rows. Only the two named columns of ``docs`` are read.
+    score alike. An empty table gives no rows. Only the two named columns of ``docs`` are read, whatever names others have.
     """
-    model = fit(docs, labels, id_col, text_col, label_col)
+    model = fit(docs, labels, id_col, text_col, label_col, most_labelled, most_fitted, most_entries)
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = with_scores(t, model)
     return out.select("doc_id", (~training("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
