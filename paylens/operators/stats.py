@@ -186,39 +186,11 @@ def median_bca(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ES
     return _with(base.drop("__zl", "__zu"), ends.select(*by, "lo", "hi"), by)
 
 
-def poisson_one(uniform: Column) -> Column:
-    """Poisson(1) draw from a uniform number, by its distribution function (exact to 1e-9)."""
-    import math
-
-    cdf, total = [], 0.0
-    for k in range(13):
-        total += math.exp(-1) / math.factorial(k)
-        cdf.append(total)
-    out = F.lit(13)
-    for k in reversed(range(13)):
-        out = F.when(uniform < cdf[k], k).otherwise(out)
-    return out
-
-
 def uniform_of(*parts: Column) -> Column:
     """Repeatable uniform number in [0, 1) from the text of its parts."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def bootstrap(df: DataFrame, by: Sequence[str], value: str, id_: str, replicates: int, seed: int = 15) -> DataFrame:
-    """Poisson bootstrap: resampled size and mean per replicate, repeatable from the row id.
-
-    Replicates are laid out as columns of one aggregation, so the rows are read once and never multiplied.
-    """
-    draw = lambda i: poisson_one(uniform_of(F.lit(str(seed)), F.col(id_).cast("string"), F.lit(str(i))))
-    d = df.select(*by, F.col(value).cast("double").alias("v"), *[draw(i).alias(f"w{i}") for i in range(replicates)])
-    agg = d.groupBy(*by).agg(
-        *[F.sum(f"w{i}").alias(f"n{i}") for i in range(replicates)], *[F.sum(F.col("v") * F.col(f"w{i}")).alias(f"s{i}") for i in range(replicates)]
-    )
-    rows = [F.struct(F.lit(i).alias("replicate"), F.col(f"n{i}").alias("n"), F.try_divide(f"s{i}", f"n{i}").alias("mean")) for i in range(replicates)]
-    return agg.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
-
-
 # ------------------------------------------------------------------- outliers
 
 

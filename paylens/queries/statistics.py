@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from paylens.functions.draws import counter_sql, mixed_sql, poisson_sql, stream_sql
 from paylens.operators import multivariate, stats
+from paylens.operators.bootstrap import bootstrap, bootstrap_interval
 from paylens.operators.quantiles import group_quantiles
 from paylens.queries.common import POSTING, WITH, postings, r, table
 from paylens.queries.registry import query
@@ -190,24 +192,27 @@ def median_bca(spark, sf):
     return m.select("country", "n", r("median").alias("median"), r("z0", 6).alias("z0"), r("acceleration", 6).alias("acceleration"), "lo", "hi")
 
 
-def poisson_sql(u: str) -> str:
-    total, parts = 0.0, []
-    for k in range(13):
-        total += math.exp(-1) / math.factorial(k)
-        parts.append(f"WHEN {u} < {total!r}::DOUBLE THEN {k}")
-    return "CASE " + " ".join(parts) + " ELSE 13 END"
+#: Weighted draws of every posting in every replicate, summed by country: the draws that the operator makes.
+BOOT = f"""rows_ AS (SELECT country, pay, {counter_sql("id::VARCHAR")} AS row_ FROM posting),
+streams AS (SELECT replicate, stream_ FROM {mixed_sql("(SELECT i::INTEGER AS replicate FROM range(0, {many}) t(i))", stream_sql("replicate", 15), "stream_")}),
+w AS (SELECT country, replicate, pay, {poisson_sql("draw")} AS w FROM {mixed_sql("(SELECT country, replicate, pay, row_, stream_ FROM rows_, streams)", "xor(row_, stream_)", "draw")}),
+boot AS (SELECT country, replicate, sum(w)::BIGINT AS n, sum(pay * w) / nullif(sum(w), 0) AS mean FROM w GROUP BY ALL)"""
+
+
+@query("bootstrap_means", WITH(POSTING, BOOT.replace("{many}", "200")) + "SELECT country, replicate, n, round(mean, 2) AS mean FROM boot")
+def bootstrap_means(spark, sf):
+    b = bootstrap(postings(spark, sf), ["country"], "pay", "id", 200)
+    return b.select("country", "replicate", "n", r("mean", 2).alias("mean"))
 
 
 @query(
-    "bootstrap_means",
-    WITH(POSTING)
-    + f""", w AS (SELECT country, i AS replicate, pay, {poisson_sql("u")} AS w FROM (
-  SELECT country, pay, i, ('0x' || substr(md5('15|' || id || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM posting, range(0, 8) t(i)))
-SELECT country, replicate::INTEGER AS replicate, sum(w)::BIGINT AS n, round(sum(pay * w) / sum(w), 2) AS mean FROM w GROUP BY ALL""",
+    "bootstrap_interval",
+    WITH(POSTING, BOOT.replace("{many}", "10000"))
+    + """SELECT country, count(*) AS replicates, round(quantile_cont(mean, 0.025), 2) AS lo, round(quantile_cont(mean, 0.975), 2) AS hi FROM boot GROUP BY country""",
 )
-def bootstrap_means(spark, sf):
-    b = stats.bootstrap(postings(spark, sf), ["country"], "pay", "id", 8)
-    return b.select("country", "replicate", F.col("n").cast("long").alias("n"), r("mean", 2).alias("mean"))
+def interval(spark, sf):
+    b = bootstrap_interval(postings(spark, sf), ["country"], "pay", "id")
+    return b.select("country", "replicates", r("lo", 2).alias("lo"), r("hi", 2).alias("hi"))
 
 
 OUT = """q AS (SELECT {g} AS g, v, n, quantile_cont(v, 0.25) OVER w AS q1, median(v) OVER w AS md, quantile_cont(v, 0.75) OVER w AS q3, min(v) OVER w AS lo,

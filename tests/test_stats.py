@@ -1,9 +1,14 @@
 """Planted distributions: each statistic fires on its own and stays quiet on the normal one."""
 
+import hashlib
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paylens.functions.draws import mixed, mixed_column, mixed_sql, poisson, poisson_bars, stream
+from paylens.operators import bootstrap as resample
 from paylens.operators import multivariate, stats
 
 
@@ -136,12 +141,56 @@ def test_multivariate(spark):
     assert 0 in flagged and len(flagged) < 80
 
 
-def test_bootstrap_is_repeatable(planted):
+def plain_bootstrap(rows, replicates, seed=15):
+    """Row by row, draw by draw."""
+    out = {}
+    bars = poisson_bars()
+    for g, v, id_ in rows:
+        if v is None:
+            continue
+        row = int(hashlib.md5(str(id_).encode()).hexdigest()[:8], 16)
+        for r in range(replicates):
+            key = int(mixed(np.uint32((r * 0x61C88647 + seed * 0x3C6EF35F) % 2**32))[0])
+            w = sum(int(mixed(np.uint32(row ^ key))[0]) >= bar for bar in bars)
+            n, s = out.get((g, r), (0, 0.0))
+            out[g, r] = (n + w, s + w * v)
+    return out
+
+
+def test_bootstrap_against_plain_draws(spark, monkeypatch):
+    monkeypatch.setattr(resample, "ROWS", 7)
+    monkeypatch.setattr(resample, "REPLICATES", 4)
+    monkeypatch.setattr(resample, "GROUPS", 2)
+    rows = [(g, None if i % 11 == 0 else float(i), i) for i in range(90) for g in [("a", None, "b", "c|", "d")[i % 5]]] + [("once", 5.0, 3), ("once", 5.0, 3)]
+    d = spark.createDataFrame(rows, "g string, v double, id long").repartition(5)
+    want = plain_bootstrap(rows, 10)
+    for _ in range(2):
+        got = {(r["g"], r["replicate"]): (r["n"], r["mean"]) for r in resample.bootstrap(d, ["g"], "v", "id", 10).collect()}
+        assert got.keys() == want.keys()
+        for k, (n, s) in want.items():
+            assert got[k][0] == n and (got[k][1] is None if n == 0 else got[k][1] == pytest.approx(s / n))
+    assert any(n == 0 for n, _ in want.values())
+    assert resample.bootstrap(d, [], "v", "id", 3).count() == 3 and resample.bootstrap(d.limit(0), ["g"], "v", "id", 3).count() == 0
+
+
+def test_bootstrap_interval_covers_the_mean(planted):
     _, df = planted
     d = df.filter("g = 'normal'").withColumn("id", F.xxhash64("v"))
-    one = stats.bootstrap(d, ["g"], "v", "id", 5).orderBy("replicate").collect()
-    two = stats.bootstrap(d, ["g"], "v", "id", 5).orderBy("replicate").collect()
-    assert one == two and all(abs(r["mean"] - 100) < 4 for r in one)
+    n, mean, sd = (float(x) for x in d.agg(F.count("v"), F.avg("v"), F.stddev("v")).first())
+    got = resample.bootstrap_interval(d, ["g"], "v", "id", 3000).first()
+    assert got["replicates"] == 3000 and got["lo"] < mean < got["hi"]
+    assert got["hi"] - got["lo"] == pytest.approx(2 * 1.96 * sd / n**0.5, rel=0.08)
+
+
+def test_draws_are_even_and_agree_between_engines(spark):
+    x = np.arange(200_000, dtype=np.uint32)
+    u = mixed(x ^ stream(7, 1))
+    assert abs(u.mean() / 2**32 - 0.5) < 0.004 and abs(np.corrcoef(u, mixed(x ^ stream(8, 1)))[0, 1]) < 0.01
+    assert abs(poisson(u).mean() - 1) < 0.01 and abs(poisson(u).var() - 1) < 0.02
+    got = [r[0] for r in spark.range(300).select(mixed_column(F.col("id") * 14_316_557)).collect()]
+    assert sorted(got) == sorted(mixed((np.arange(300, dtype=np.uint64) * np.uint64(14_316_557)).astype(np.uint32)).tolist())
+    sql = f"select h from {mixed_sql('(select i * 14316557 as x from range(0, 300) t(i))', 'x', 'h')}"
+    assert sorted(r[0] for r in duckdb.connect().execute(sql).fetchall()) == sorted(got)
 
 
 def test_pca_query_reads_every_dimension(spark, tmp_path):
