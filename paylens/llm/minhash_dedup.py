@@ -103,10 +103,11 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 def _confirm(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("minhash_dedup")
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):  # one pair at a time: sets can be long
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate((a, b))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())

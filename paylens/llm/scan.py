@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are scanned at a time; a longer text is scanned alone, whole.
-STEP = 2 << 20
+STEP = 1 << 19
 BYTE_BASE = 0x9E3779B97F4A7C15 | 5
 WORD_BASE = 0xD1342543DE82EF95
 WRAP = 1 << 64
