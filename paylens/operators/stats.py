@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions.maths import chi2_tail, normal_cdf, normal_quantile
 from paylens.operators.quantiles import group_median, group_quantiles, order_stats, rank_table, value_cell
+from paylens.operators.shapiro import shapiro_wilk
 
 # Least numbers of values the statistics are given for.
 MIN_PROFILE, MIN_ESTIMATOR, MIN_AGREEMENT, MIN_TAIL, MIN_BENFORD, MIN_SERIES = 12, 12, 8, 20, 50, 36
@@ -35,6 +36,14 @@ def _with(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(right, cond).drop(*[f"__by_{k}" for k in by])
 
 
+def _with_left(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """As ``_with``; groups that ``b`` lacks stay."""
+    if not by:
+        return a.join(F.broadcast(b), how="left")
+    right = b.select(*[F.col(k).alias(f"__by_{k}") for k in by], *[c for c in b.columns if c not in by])
+    return a.join(right, F.expr(" AND ".join(f"`{k}` <=> `__by_{k}`" for k in by)), "left").drop(*[f"__by_{k}" for k in by])
+
+
 def estimator_error(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_ESTIMATOR) -> DataFrame:
     """How far the mean is from the median and the geometric mean, with shape."""
     d = _present(df, by, value)
@@ -334,7 +343,9 @@ def mann_whitney(df: DataFrame, group: Column, value: str) -> DataFrame:
 def normality(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_PROFILE) -> DataFrame:
     """Distance from a fitted normal on the raw and on the log scale, and which fits better.
 
-    Kolmogorov's D and the Anderson-Darling statistic, from the exact ranks of distinct values.
+    Kolmogorov's D, the Anderson-Darling statistic and Shapiro-Wilk's W with its p, from the exact ranks
+    of distinct values. The log scale fits better where its p is larger; groups beyond the sizes of
+    that test, and those where both p are nil, are told by D.
     """
     pos = _present(df, by, value).filter("v > 0").withColumn("lv", F.ln("v"))
     m = pos.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.avg("lv").alias("lm"), F.stddev_samp("lv").alias("ls"))
@@ -357,10 +368,13 @@ def normality(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_PRO
     ad = lambda t: -F.col("n") - F.col(f"__a_{t}") / F.col("n")
     # fixed values: the 5 % point of the statistic with fitted mean and deviation, and its correction for n rows
     bar = F.round(F.lit(0.787) / (1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n"))), 3)
-    return out.filter(F.col("n") >= min_n).select(
-        *by, "n", "ks_raw", "ks_log", ad("raw").alias("ad_raw"), ad("log").alias("ad_log"),
-        (ad("raw") > bar).alias("rejects_normal"), F.when(F.col("ks_log") < F.col("ks_raw"), "log-normal").otherwise("normal-ish").alias("better_fit"),
-    )
+    sw = [shapiro_wilk(pos, by, c).drop("n").withColumnsRenamed({"w": f"w_{tag}", "p": f"p_{tag}"}) for c, tag in (("v", "raw"), ("lv", "log"))]
+    told = out.filter(F.col("n") >= min_n).select(*by, "n", "ks_raw", "ks_log", ad("raw").alias("ad_raw"), ad("log").alias("ad_log"), (ad("raw") > bar).alias("rejects_normal"))
+    for s in sw:
+        told = _with_left(told, s, by)
+    by_p = F.when(F.greatest("p_raw", "p_log") > 0, F.col("p_log") > F.col("p_raw"))
+    log_fits = F.coalesce(by_p, F.col("ks_log") < F.col("ks_raw"))
+    return told.withColumn("better_fit", F.when(log_fits, "log-normal").otherwise("normal-ish"))
 
 
 # ------------------------------------------------------------------- by field

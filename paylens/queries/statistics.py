@@ -7,8 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from paylens.functions.draws import counter_sql, mixed_sql, poisson_sql, stream_sql
-from paylens.operators import multivariate, stats
+from paylens.functions.maths import polynomial_sql
+from paylens.operators import multivariate, shapiro, stats
 from paylens.operators.bootstrap import bootstrap, bootstrap_interval
+from paylens.operators.isolation import isolation_forest, isolation_paths
+from paylens.operators.neighbours import local_outlier_factor
 from paylens.operators.quantiles import group_quantiles
 from paylens.queries.common import POSTING, WITH, postings, r, table
 from paylens.queries.registry import query
@@ -373,11 +376,85 @@ def mahalanobis(spark, sf):
     return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg("d2")).alias("mean_d2"), F.count_if(F.col("d2") > 7.377759).alias("far"))
 
 
+def outlier_columns(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (F.col("l_tax") + 1).alias("taxed"))
+
+
+OUTLIER_COLUMNS, LINE = ["l_quantity", "l_extendedprice", "taxed"], ["l_orderkey", "l_linenumber"]
+
+
 @query("mv_outliers")
 def mv_outliers(spark, sf):
-    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (F.col("l_tax") + 1).alias("taxed"))
-    out = multivariate.mv_outliers(d, ["l_quantity", "l_extendedprice", "taxed"])
-    return out.filter("flagged").select("l_orderkey", "l_linenumber", "far", "sparse", "alone", "votes")
+    out = multivariate.mv_outliers(outlier_columns(spark, sf), OUTLIER_COLUMNS, LINE)
+    return out.filter("flagged").select("l_orderkey", "l_linenumber", "far", "isolated", "alone", "votes")
+
+
+@query("mv_census")
+def mv_census(spark, sf):
+    d = outlier_columns(spark, sf).withColumn("taxed", F.col("taxed") - 1)  # rows without tax have no logarithm
+    return multivariate.mv_census(multivariate.mv_verdicts(d, OUTLIER_COLUMNS, LINE))
+
+
+def forest_sql(rows: str, k: int, trees: int = 100, sample: int = 256, depth: int = 8, seed: int = 15) -> str:
+    """SQL of the forest that the operator grows, and of the path of every row of ``rows`` (row_, x0, x1, ..)."""
+    xs = ", ".join(f"x{i}" for i in range(k))
+    wide = "[" + ", ".join(f"lo{i} < hi{i}" for i in range(k)) + "]"
+    pick = "CASE " + " ".join(f"WHEN {wide}[(pick + {j}) % {k} + 1] THEN (pick + {j}) % {k}" for j in range(k)) + " END"
+    at = lambda side: "[" + ", ".join(f"{side}{i}" for i in range(k)) + "][f + 1]"
+    value = "CASE f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(k)) + " END"
+    ends = ", ".join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(k))
+    parts = [
+        f"rows_ AS MATERIALIZED ({rows})",
+        f"bar AS (SELECT CASE WHEN count(*) > {sample} THEN floor({sample}::DOUBLE / count(*) * 4294967296.0::DOUBLE)::BIGINT ELSE 4294967296 END AS bar FROM rows_)",
+        f"streams AS MATERIALIZED (SELECT tree, stream_ FROM {mixed_sql(f'(SELECT i AS tree FROM range(0, {trees}) t(i))', stream_sql('tree', seed), 'stream_')})",
+        f"t0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, {xs} FROM {mixed_sql('(SELECT * FROM rows_, streams)', 'xor(row_, stream_)', 'draw')}, bar WHERE draw < bar)",
+    ]
+    for d in range(depth + 1):
+        parts.append(f"s{d} AS MATERIALIZED (SELECT tree, node, count(*) AS n, {ends} FROM t{d} GROUP BY tree, node)")
+        if d < depth:
+            drawn = mixed_sql(f"(SELECT *, tree * {2 << depth} + node AS number FROM s{d} WHERE n > 1 AND list_contains({wide}, true))", stream_sql("number", seed + 1), "pick")
+            drawn = mixed_sql(drawn, stream_sql("number", seed + 2), "place")
+            parts.append(f"c{d} AS MATERIALIZED (SELECT tree, node, f, {at('lo')} + (place + 0.5::DOUBLE) / 4294967296.0::DOUBLE * ({at('hi')} - {at('lo')}) AS cut FROM (SELECT *, {pick} AS f FROM {drawn}))")
+            parts.append(f"t{d + 1} AS MATERIALIZED (SELECT tree, 2 * node + ({value} >= cut)::BIGINT AS node, {xs} FROM t{d} JOIN c{d} USING (tree, node))")
+    cuts = " UNION ALL ".join(f"SELECT * FROM c{d}" for d in range(depth))
+    nodes = " UNION ALL ".join(f"SELECT tree, node, n FROM s{d}" for d in range(depth + 1))
+    parts += [f"cuts AS MATERIALIZED ({cuts})", f"nodes AS MATERIALIZED ({nodes})", "w0 AS (SELECT rows_.*, tree, 1::BIGINT AS node FROM rows_, (SELECT tree FROM s0))"]
+    for d in range(depth):
+        parts.append(f"w{d + 1} AS (SELECT w{d}.* REPLACE (CASE WHEN cut IS NULL THEN w{d}.node ELSE 2 * w{d}.node + ({value} >= cut)::BIGINT END AS node) FROM w{d} LEFT JOIN cuts USING (tree, node))")
+    extra = "CASE WHEN n IS NULL OR n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + 0.5772156649015329::DOUBLE) - 2 * (n - 1) / n::DOUBLE END"
+    parts.append(f"paths AS (SELECT w{depth}.*, floor(log2(w{depth}.node)) + {extra} AS path FROM w{depth} LEFT JOIN nodes USING (tree, node))")
+    return "WITH " + ",\n".join(parts)
+
+
+@query(
+    "isolation_paths",
+    forest_sql(
+        f"SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, {counter_sql("l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR")} AS row_, l_quantity::DOUBLE AS x0, l_extendedprice::DOUBLE AS x1, l_tax::DOUBLE AS x2 FROM lineitem", 3
+    )
+    + " SELECT l_orderkey, l_linenumber, round(avg(path), 6) AS path FROM paths GROUP BY rid, l_orderkey, l_linenumber",
+)
+def forest_paths(spark, sf):
+    cols = ["l_quantity", "l_extendedprice", "l_tax"]
+    d = table(spark, sf, "lineitem").select(*LINE, *cols)
+    return isolation_paths(d, cols, isolation_forest(d, cols, LINE)).select(*LINE, r("path", 6).alias("path"))
+
+
+@query(
+    "lof_parts",
+    """WITH s AS (SELECT avg(p_retailprice) AS mp, stddev_samp(p_retailprice) AS sp, avg(p_size) AS ms, stddev_samp(p_size) AS ss FROM part),
+p AS (SELECT p_partkey, (p_retailprice - mp) / sp AS x, (p_size - ms) / ss AS y FROM part, s),
+d AS (SELECT a.p_partkey AS a, b.p_partkey AS b, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS d FROM p a, p b WHERE a.p_partkey <> b.p_partkey),
+k AS (SELECT a, b, d, max(d) FILTER (r <= 15) OVER (PARTITION BY a) AS reach FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM d)),
+n AS MATERIALIZED (SELECT a, b, d FROM k WHERE d <= reach), t AS (SELECT a, max(d) AS reach FROM n GROUP BY a),
+l AS MATERIALIZED (SELECT n.a, 1 / (avg(greatest(d, t.reach)) + 1e-10::DOUBLE) AS density FROM n JOIN t ON t.a = n.b GROUP BY n.a)
+SELECT n.a AS p_partkey, round(avg(o.density) / any_value(m.density), 6) AS lof FROM n JOIN l o ON o.a = n.b JOIN l m ON m.a = n.a GROUP BY n.a""",
+)
+def lof_parts(spark, sf):
+    p = table(spark, sf, "part")
+    m = p.agg(F.avg("p_retailprice"), F.stddev_samp("p_retailprice"), F.avg("p_size"), F.stddev_samp("p_size")).first()
+    d = p.select("p_partkey", ((F.col("p_retailprice") - m[0]) / m[1]).alias("x"), ((F.col("p_size") - m[2]) / m[3]).alias("y"))
+    f = local_outlier_factor(d, ["x", "y"]).withColumnsRenamed({"z0": "x", "z1": "y"})
+    return d.join(f, ["x", "y"]).select("p_partkey", r("lof", 6).alias("lof"))
 
 
 @query(
@@ -450,7 +527,24 @@ def noise_test(spark, sf):
     return t.select("entity", "n", *[r(c, 6).alias(c) for c in ("residual_acf1", "residual_acf2", "change_acf1")], r("change_sd_pct").alias("change_sd_pct"), "noisy")
 
 
+#: SQL of Shapiro-Wilk's W and p of ``v`` by ``g`` in ``src`` (g, v), every row ranked.
+SHAPIRO = f"""x AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS i, count(*) OVER (PARTITION BY g) AS n FROM src WHERE v IS NOT NULL),
+m AS (SELECT n, i, {shapiro.SCORE} AS m FROM (SELECT DISTINCT n, i FROM x WHERE n BETWEEN 3 AND 5000)),
+t AS (SELECT *, {shapiro.DIVISOR} AS divisor FROM (SELECT *, {shapiro.FIRST_WEIGHT} AS a1, {shapiro.SECOND_WEIGHT} AS a2 FROM (SELECT n, mm, {shapiro.FIRST_SCORE} AS m1, {shapiro.SECOND_SCORE} AS m2 FROM (SELECT n, sum(m * m) AS mm FROM m GROUP BY n)))),
+a AS (SELECT n, i, {shapiro.WEIGHT} AS a FROM m JOIN t USING (n)),
+w AS (SELECT g, n, least(1.0::DOUBLE, sum(a * v) ^ 2 / (var_pop(v) * count(*))) AS w FROM x JOIN a USING (n, i) GROUP BY g, n HAVING min(v) < max(v)),
+z AS (SELECT *, {shapiro.Z} AS z FROM w),
+sw AS (SELECT g, n, w, CASE WHEN n = 3 THEN greatest(0, {6 / math.pi!r}::DOUBLE * (asin(sqrt(w)) - {math.asin(math.sqrt(0.75))!r}::DOUBLE)) WHEN w >= 1 THEN 1 WHEN z >= 0 THEN tail ELSE 1 - tail END AS p FROM (
+  SELECT *, exp(-z * z / 2) / {math.sqrt(2 * math.pi)!r}::DOUBLE * {polynomial_sql((0.0, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), "(1 / (1 + 0.2316419::DOUBLE * abs(z)))")} AS tail FROM z))"""
+
+
+@query("shapiro_wilk", "WITH src AS (SELECT p_brand AS g, p_retailprice AS v FROM part),\n" + SHAPIRO + " SELECT g AS p_brand, n, round(w, 6) AS w, round(p, 5) AS p FROM sw")
+def shapiro_parts(spark, sf):
+    s = shapiro.shapiro_wilk(table(spark, sf, "part"), ["p_brand"], "p_retailprice")
+    return s.select("p_brand", F.col("n").cast("long").alias("n"), r("w", 6).alias("w"), r("p", 5).alias("p"))
+
+
 @query("normality")
 def normality(spark, sf):
     nm = stats.normality(table(spark, sf, "events"), ["event_type"], "value")
-    return nm.select("event_type", "n", *[r(c, 4).alias(c) for c in ("ks_raw", "ks_log", "ad_raw", "ad_log")], "rejects_normal", "better_fit")
+    return nm.select("event_type", "n", *[r(c, 4).alias(c) for c in ("ks_raw", "ks_log", "ad_raw", "ad_log", "w_raw", "p_raw", "w_log", "p_log")], "rejects_normal", "better_fit")
