@@ -8,7 +8,9 @@ formula (no sampling, so a re-run task sees the same cells):
 * quantiles: a histogram per (group, cell) is partially aggregated map-side, prefix-summed,
   and only the few cells that contain a wanted rank are looked into;
 * ranks: offsets per cell plus a running count inside a cell, so the sort work of a group
-  is spread over its cells.
+  is spread over its cells;
+* a cell is cut again into parts of equal width, as many as its rows call for, so that values of a
+  narrow range are spread as well.
 
 The number of cells of a group is bounded by the range of DOUBLE, not by its rows.
 """
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS_PER_OCTAVE = 512
+#: Rows for which a crowded cell gets one more part of equal width.
+PART_ROWS = 4096
 
 
 def value_cell(value: Column, per_octave: int = CELLS_PER_OCTAVE) -> Column:
@@ -48,34 +52,49 @@ def _joined_on(by: Sequence[str]) -> Column:
     return F.expr(" AND ".join(["__c = __cell"] + [f"`{k}` <=> `__by_{k}`" for k in by]))
 
 
+def _sub_cell(rows: str) -> str:
+    """SQL of the place of ``__v`` among the equal parts of its cell, about one for each ``PART_ROWS`` of its ``rows``."""
+    parts = f"ceil({rows} / {PART_ROWS}D)"
+    return f"CAST(CASE WHEN __max > __min THEN least({parts} - 1, floor((__v - __min) / (__max - __min) * {parts})) ELSE 0 END AS BIGINT)"
+
+
 def order_stats(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, str]) -> DataFrame:
     """Exact order statistics per group: columns ``by``, ``n`` and one value per name in ``ranks``.
 
     A rank is SQL over ``__n`` (rows of the group with a value) and counts from 0. Without
     ``by`` the table of wanted cells has one row per rank and is broadcast; with groups the
-    optimiser decides by its size. Null values are left out.
+    optimiser decides by its size. Null values are left out. A crowded cell, as values of a narrow
+    range make, is cut again into parts of equal width, and only the parts with a wanted rank are sorted.
     """
     by = list(by)
     plain = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
     plain = plain.withColumn("__c", value_cell(F.col("__v")))
 
     over = "PARTITION BY " + (", ".join(f"`{k}`" for k in by) if by else "0")
-    hist = plain.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__k"))
+    hist = plain.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__k"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     hist = hist.selectExpr(
         *[f"`{k}` AS `__by_{k}`" for k in by],
         "__c AS __cell",
-        "__k",
+        "__k AS __rows",
+        "__min",
+        "__max",
         f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) AS __hi",
         f"sum(__k) OVER ({over}) AS __n",
-    ).selectExpr("*", "__hi - __k AS __lo")
-    wanted = " OR ".join(f"({rank} >= __lo AND {rank} < __hi)" for rank in ranks.values())
-    cells = hist.filter(wanted).drop("__k", "__hi")
+    ).selectExpr("*", "__hi - __rows AS __lo")
+    wanted = lambda lo, hi: " OR ".join(f"({rank} >= {lo} AND {rank} < {hi})" for rank in ranks.values())
+    cells = hist.filter(wanted("__lo", "__hi")).drop("__hi")
     if not by:  # one row per rank
         cells = F.broadcast(cells)
 
-    near = plain.join(cells, _joined_on(by)).groupBy(*by, "__c", "__lo", "__n", "__v").agg(F.count(F.lit(1)).alias("__k"))
-    in_cell = "PARTITION BY " + ", ".join([f"`{k}`" for k in by] + ["__c"])
-    near = near.selectExpr("*", f"__lo + sum(__k) OVER ({in_cell} ORDER BY __v ROWS UNBOUNDED PRECEDING) AS __to")
+    near = plain.join(cells, _joined_on(by)).selectExpr(*[f"`{k}`" for k in by], "__c", "__lo", "__n", "__v", f"{_sub_cell('__rows')} AS __s")
+    keys = [*by, "__c", "__s"]
+    near = near.groupBy(*keys, "__lo", "__n", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    in_cell, in_part = ("PARTITION BY " + ", ".join(f"`{k}`" for k in ks) for ks in ([*by, "__c"], keys))
+    parts = near.groupBy(*keys, "__lo", "__n").agg(F.sum("__k").alias("__k"))
+    parts = parts.selectExpr("*", f"__lo + sum(__k) OVER ({in_cell} ORDER BY __s ROWS UNBOUNDED PRECEDING) AS __end").selectExpr("*", "__end - __k AS __begin")
+    parts = parts.filter(wanted("__begin", "__end")).select(*[F.col(k).alias(f"__of_{k}") for k in keys], "__begin")
+    near = near.join(parts, F.expr(" AND ".join(f"`{k}` <=> `__of_{k}`" for k in keys)))
+    near = near.selectExpr("*", f"__begin + sum(__k) OVER ({in_part} ORDER BY __v ROWS UNBOUNDED PRECEDING) AS __to")
     near = near.selectExpr("*", "__to - __k AS __from")
     at = [F.expr(f"max(CASE WHEN {rank} >= __from AND {rank} < __to THEN __v END)").alias(name) for name, rank in ranks.items()]
     return near.groupBy(*by).agg(F.expr("CAST(max(__n) AS BIGINT)").alias("n"), *at)
@@ -128,17 +147,23 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
     keys = [f"`{k}`" for k in by]
     over = "PARTITION BY " + (", ".join(keys) if by else "0")
-    offs = counts.groupBy(*by, "__c").agg(F.sum("k").alias("__k"))
+    offs = counts.groupBy(*by, "__c").agg(F.sum("k").alias("__k"), F.count(F.lit(1)).alias("__values"), F.min("v").alias("__min"), F.max("v").alias("__max"))
     offs = offs.selectExpr(
         *[f"`{k}` AS `__by_{k}`" for k in by],
         "__c AS __cell",
+        "__values",
+        "__min",
+        "__max",
         f"sum(__k) OVER ({over} ORDER BY __c ROWS UNBOUNDED PRECEDING) - __k AS __off",
         f"sum(__k) OVER ({over}) AS __total",
     )
-    in_cell = "PARTITION BY " + ", ".join(keys + ["__c"])
-    out = counts.join(offs, _joined_on(by)).selectExpr(
-        "*", f"__off - k + sum(k) OVER ({in_cell} ORDER BY v ROWS UNBOUNDED PRECEDING) AS __below"
-    )
+    placed = counts.withColumn("__v", F.col("v")).join(offs, _joined_on(by)).selectExpr(*keys, "__c", "v", "k", "__off", "__total", f"{_sub_cell('__values')} AS __s")
+    part = [*by, "__c", "__s"]
+    in_cell, in_part = ("PARTITION BY " + ", ".join(f"`{k}`" for k in ks) for ks in ([*by, "__c"], part))
+    before = placed.groupBy(*part).agg(F.sum("k").alias("__k"))
+    before = before.selectExpr(*[f"`{k}` AS `__of_{k}`" for k in part], f"sum(__k) OVER ({in_cell} ORDER BY __s ROWS UNBOUNDED PRECEDING) - __k AS __before")
+    out = placed.join(before, F.expr(" AND ".join(f"`{k}` <=> `__of_{k}`" for k in part)))
+    out = out.selectExpr("*", f"__off + __before - k + sum(k) OVER ({in_part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS __below")
     return out.selectExpr(
         *keys,
         "v",
