@@ -81,8 +81,8 @@ def stream_ledger(spark, sf):
     folder = work_folder(spark, "ledger")
     runs(spark, sf).write.mode("overwrite").parquet(f"{folder}/runs")
     stream = spark.readStream.schema("key string, run string, seen boolean").parquet(f"{folder}/runs")
-    drift.run_merging(ledger.ledger_stream(stream), f"{folder}/out", f"{folder}/state", ["key"], "upto")
-    return drift.read_merged(spark, f"{folder}/out", ["key"], "upto").drop("upto")
+    ledger.run_ledger(stream, f"{folder}/ledger", f"{folder}/state")
+    return ledger.read_ledger(spark, f"{folder}/ledger")
 
 
 @query(

@@ -30,22 +30,3 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     """Work off everything that is there now into Parquet (append streams)."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-def run_merging(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Work off an update stream into a keyed table: one folder per micro-batch, newest row of a key on read.
-
-    A repeated micro-batch overwrites its own folder, so a restart does not double anything.
-    """
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def read_merged(spark, path: str, keys: list[str], order: str) -> DataFrame:
-    d = spark.read.parquet(path).drop("batch")
-    cols = [c for c in d.columns if c not in keys]
-    return d.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols])

@@ -6,6 +6,7 @@ from paylens.operators import lookups, ranking, series
 from paylens.plans import postings as plan
 from paylens.sources import sinks
 from paylens.streaming import drift, ledger
+from paylens.streaming.generations import Generations
 
 STATE = "token string, company string, provider string, job_count long, last_seen_ok string, consecutive_failures int, first_verified_at string"
 
@@ -51,14 +52,26 @@ def test_replay_equals_walking_and_the_stream(spark, tmp_path):
     want = {k: walk(v) for k, v in data.items() if any(s for _, s in v)}
     shape = lambda r: (r["consecutive_failures"], r["last_seen_ok"], r["first_verified_at"], r["times_removed"], r["removed"])
     assert {r["key"]: shape(r) for r in ledger.ledger_replay(df, "key", "run", "seen").collect()} == want
-    # the same runs arriving in two batches, the first one again in the second
+    # folding a part of the history and then the rest comes to the same
+    half = ledger.ledger_replay(df.filter("run < 'r06'"), "key", "run", "seen")
+    assert {r["key"]: shape(r) for r in ledger.ledger_fold(half, df.filter("run >= 'r06'"), "key", "run", "seen").collect()} == want
+    # the same runs arriving in batches, some rows again and neighbouring runs out of order
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    for part in (df.filter("run < 'r06'"), df.filter("run >= 'r04'")):
-        part.write.mode("append").parquet(src)
-        stream = spark.readStream.schema(df.schema).parquet(src)
-        drift.run_merging(ledger.ledger_stream(stream), out, state, ["key"], "upto")
-    got = {r["key"]: shape(r) for r in drift.read_merged(spark, out, ["key"], "upto").collect()}
-    assert got == want
+    parts = ["run <= 'r03' AND run <> 'r02'", "run IN ('r02', 'r05')", "run >= 'r04' AND run <= 'r07'", "run IN ('r09', 'r08')", "run = 'r11' AND key < 'k2'", "run >= 'r10'"]
+    for part in parts:
+        df.filter(part).write.mode("append").parquet(src)
+        ledger.run_ledger(spark.readStream.schema(df.schema).parquet(src), out, state)
+    assert {r["key"]: shape(r) for r in ledger.read_ledger(spark, out).collect()} == want
+    assert ledger.read_late(spark, out).count() == 0
+    tables = Generations(spark, out)
+    last = tables.newest("state")
+    assert last == len(parts) - 1 and len(list((tmp_path / "out" / "state").glob("epoch=*"))) <= 2  # older generations go
+    assert tables.read("open", last, ledger.OPEN).select("run").distinct().count() <= 3 and tables.read("state", last, ledger.STANDING).count() <= len(data)
+    # what comes after its run was folded is set aside and counts for nothing
+    spark.createDataFrame([("k1", "r00", True), ("new", "r01", True)], df.schema).write.mode("append").parquet(src)
+    ledger.run_ledger(spark.readStream.schema(df.schema).parquet(src), out, state)
+    assert {r["key"]: shape(r) for r in ledger.read_ledger(spark, out).collect()} == want
+    assert sorted((r["key"], r["run"]) for r in ledger.read_late(spark, out).collect()) == [("k1", "r00"), ("new", "r01")]
 
 
 def test_upsert_keeps_newest(spark):
