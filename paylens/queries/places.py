@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paylens.operators import ranking
-from paylens.plans import core
+from paylens.plans import core, metrics
 from paylens.queries.common import POSTING, RATES, WITH, YEARLY, nation_years, postings, r, rates, table
 from paylens.queries.registry import query
 
@@ -130,15 +130,46 @@ def metric_registry():
     }
 
 
+#: Columns of a place that the registry reads besides those of ``city``: SQL that both engines read.
+PLACE_COLUMNS = {
+    "employer_pay": "CASE WHEN id % 5 = 0 THEN gross * 1.5 END", "rent_centre": "rent * 1.3", "pr_years": "CASE WHEN id % 7 <> 0 THEN 2.0 + id % 9 END", "citizenship_years": "CASE WHEN id % 6 <> 0 THEN 4.0 + id % 8 END",
+    "tuition": "CASE WHEN id % 3 <> 0 THEN 1000.0 + id % 40000 END", "post_study_months": "CASE WHEN id % 4 <> 0 THEN 6.0 + id % 30 END", "ict_thousands": "CASE WHEN id % 8 <> 0 THEN (id % 2000) / 2.0 END",
+    "ict_share": "(id % 100) / 10.0", "foreign_born_share": "CASE WHEN id % 9 <> 0 THEN (id % 450) / 10.0 END", "diaspora": "CASE WHEN id % 10 <> 0 THEN id % 90000 END",
+    "happiness_rank": "CASE WHEN id % 3 = 0 THEN 1 + id % 147 END", "happiness_rank_old": "CASE WHEN id % 2 = 0 THEN 1 + id % 143 END", "peace_rank": "1 + id % 163", "healthcare": "40.0 + id % 50", "hdi": "0.5 + (id % 480) / 1000.0",
+    "sunshine": "CASE WHEN id % 4 <> 0 THEN 1200.0 + id % 2000 END", "summer_high": "15.0 + id % 25", "winter_low": "-15.0 + id % 30", "rainy_days": "20.0 + id % 180", "travel_hours": "CASE WHEN id % 12 <> 0 THEN 2.0 + (id % 200) / 10.0 END",
+}
+ENGLISH = "CASE id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN 'unknown' END"
+PLACE = f"place AS (SELECT *, {ENGLISH} AS english_work, " + ", ".join(f"({e.replace('.0', '.0::DOUBLE').replace('1.5', '1.5::DOUBLE').replace('1.3', '1.3::DOUBLE').replace('0.5 ', '0.5::DOUBLE ')})::DOUBLE AS {n}" for n, e in PLACE_COLUMNS.items()) + " FROM city)"
+REGISTRY_SQL = f"""registry AS (SELECT * FROM (VALUES {", ".join(f"('{m.key}', '{m.direction}', '{m.theme}', '{m.confidence}', '{m.unit}')" for m in metrics.METRICS)}) t(metric, direction, theme, confidence, unit)),
+money AS (SELECT *, CASE WHEN savings > 0 THEN 90 * price_m2 / savings END AS years_to_home, CASE WHEN savings IS NOT NULL AND price_m2 > 0 THEN greatest(savings, 0) / price_m2 END AS m2_per_year
+  FROM (SELECT *, gross * net_pct / 100 AS salary_net, gross * net_pct / 100 - 12 * (rent + living) AS savings FROM place)),
+m AS (SELECT country, unnest(['salary_gross', 'salary_top_employers', 'salary_net', 'savings', 'net_pct', 'pr_years', 'citizenship_years', 'tuition', 'post_study_months', 'ict_specialists', 'ict_share', 'rent_outside', 'rent_centre', 'living_costs', 'total_monthly', 'apt_m2', 'years_to_home',
+    'm2_per_year', 'foreign_born', 'own_diaspora', 'english_work', 'happiness_rank', 'peace_rank', 'healthcare', 'hdi', 'sunshine', 'summer_high', 'winter_low', 'rainy_days', 'travel_hours']) AS metric,
+  unnest([gross, employer_pay, salary_net, savings, net_pct, pr_years, citizenship_years, tuition, post_study_months, ict_thousands, ict_share, rent, rent_centre, living, rent + living, price_m2, years_to_home,
+    m2_per_year, foreign_born_share, diaspora, CASE english_work WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END, coalesce(happiness_rank, happiness_rank_old), peace_rank, healthcare, hdi, sunshine, summer_high, winter_low, rainy_days, travel_hours]) AS value FROM money)"""
+
+
+def places(spark, sf):
+    return cities(spark, sf).selectExpr("*", f"{ENGLISH} AS english_work", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in PLACE_COLUMNS.items()])
+
+
 @query(
     "metric_long",
-    WITH(CITY, MONEY, METRICS_SQL)
-    + """SELECT country, metric, direction, CASE metric WHEN 'rent' THEN 'housing' WHEN 'living' THEN 'life' ELSE 'money' END AS theme, CASE metric WHEN 'savings' THEN 'official' ELSE 'crowd' END AS confidence,
-  count(value) AS n, round(sum(value), 2) AS total FROM long GROUP BY ALL""",
+    WITH(CITY, PLACE, REGISTRY_SQL)
+    + """SELECT country, metric, direction, theme, confidence, unit, count(value) AS n, round(sum(value), 4) AS total FROM m JOIN registry USING (metric) GROUP BY ALL""",
 )
 def metric_long(spark, sf):
-    d = ranking.metric_long(ranking.derive_money(cities(spark, sf)), ["id", "country"], metric_registry())
-    return d.groupBy("country", "metric", "direction", "theme", "confidence").agg(F.count("value").alias("n"), r(F.sum("value"), 2).alias("total"))
+    d = metrics.metric_rows(places(spark, sf), ["id", "country"])
+    return d.groupBy("country", "metric", "direction", "theme", "confidence", "unit").agg(F.count("value").alias("n"), r(F.sum("value")).alias("total"))
+
+
+@query(
+    "metric_census",
+    WITH(CITY, PLACE, REGISTRY_SQL) + "SELECT theme, count(DISTINCT metric) AS metrics, count(value) AS present, count(*) - count(value) AS missing FROM m JOIN registry USING (metric) GROUP BY theme",
+)
+def metric_census(spark, sf):
+    d = metrics.metric_rows(places(spark, sf), ["id"])
+    return d.groupBy("theme").agg(F.countDistinct("metric").alias("metrics"), F.count("value").alias("present"), F.count_if(F.col("value").isNull()).alias("missing"))
 
 
 @query(
