@@ -6,6 +6,7 @@ size. Codes are resolved by a join on a code table or by column expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -256,14 +257,44 @@ def table_numbers(df: DataFrame, row_no: str, cells: str) -> DataFrame:
     return d.groupBy("entity").agg(F.min_by(F.struct("pct", "count"), row_no).alias("r")).select("entity", "r.pct", "r.count")
 
 
-def scrape_lines(df: DataFrame, line_no: str, line: str, lo: float, hi: float) -> DataFrame:
+#: Spellings of rankings besides the covered names.
+OTHER_SPELLINGS = {"United Kingdom": "GB", "United States": "US", "United Arab Emirates": "AE"}
+
+
+def trie_pattern(words: Sequence[str]) -> str:
+    """A pattern for any of the words, longest first, that shares their beginnings: a text is walked once, however many there are."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [re.escape(ch) + written(below) for ch, below in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return body + ("?" if "" in node else "")
+
+    return written(tree)
+
+
+def scrape_lines(df: DataFrame, line_no: str, line: str, lo: float, hi: float, spellings: dict[str, str] | None = None) -> DataFrame:
     """Ranking lines ``rank Country score``, several to a line: the number after the name, in range;
-    lines with a rank first, then decimal scores, then the earliest."""
-    names = F.array(*[F.struct(F.lit(code).alias("entity"), F.lit(name).alias("name")) for code, (_, name) in geo.COVERED.items()])
-    d = df.filter(~F.contains(line, F.lit("(cid:"))).select(line_no, line, F.explode(names).alias("c")).filter(F.contains(line, F.col("c.name")))
-    pattern = F.concat(F.lit(r"(?:(\d{1,3})\s+)?"), F.col("c.name"), F.lit(r"\s+(\d+(?:\.\d+)?)"))
-    hits = F.arrays_zip(F.regexp_extract_all(line, pattern, F.lit(1)).alias("rank"), F.regexp_extract_all(line, pattern, F.lit(2)).alias("score"))
-    d = d.select(line_no, line, "c.entity", F.posexplode(hits).alias("pos", "h")).withColumns({"score": F.col("h.score").try_cast("double"), "rank": F.nullif("h.rank", F.lit("")).try_cast("int")})
+    lines with a rank first, then decimal scores, then the earliest.
+
+    ``spellings`` maps every way a name is written to its code; each line is matched once against all.
+    A name inside a longer one that is written there too does not count.
+    """
+    codes = spellings if spellings is not None else {name: code for code, (_, name) in geo.COVERED.items()} | OTHER_SPELLINGS
+    # the score is only looked at, because it can be the rank of the next name
+    pattern = rf"(?:(\d{{1,3}})\s+)?({trie_pattern(list(codes))})(?=\s+(\d+(?:\.\d+)?))"
+    group = lambda k: F.regexp_extract_all(line, F.lit(pattern), F.lit(k))
+    hits = F.arrays_zip(group(1).alias("rank"), group(2).alias("name"), group(3).alias("score"))
+    d = df.filter(~F.contains(line, F.lit("(cid:"))).select(line_no, line, F.posexplode(hits).alias("pos", "h"))
+    entity = F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.col("h.name"))
+    d = d.select(line_no, line, "pos", entity.alias("entity"), F.col("h.score").try_cast("double").alias("score"), F.nullif("h.rank", F.lit("")).try_cast("int").alias("rank"))
     d = d.filter(F.col("score").between(lo, hi))
     order = F.struct(F.col("rank").isNull().alias("a"), (F.col("score") == F.floor("score")).alias("b"), line_no, "pos")
     return d.groupBy("entity").agg(F.min_by(F.struct("score", "rank", line), order).alias("r")).select("entity", "r.score", "r.rank", F.col(f"r.{line}").alias("source_line"))

@@ -1,3 +1,4 @@
+import re
 import json
 
 from pyspark.sql import functions as F
@@ -152,6 +153,11 @@ def test_places_tables_pages_lines(spark):
     lines = spark.createDataFrame([(1, "Germany 60 chart"), (2, "9 Germany 58.1 10 Sweden 57"), (3, "(cid:3) 1 Sweden 99.9"), (4, "Norway 12")], "n int, line string")
     got = {r["entity"]: (r["score"], r["rank"]) for r in tables.scrape_lines(lines, "n", "line", 20, 100).collect()}
     assert got == {"DE": (58.1, 9), "SE": (57.0, 10)}
+    both = spark.createDataFrame([(1, "Germany 60 Sweden 57.5"), (2, "United States 33.3 United Kingdom"), (3, "Sweden 61")], "n int, line string")
+    got = {r["entity"]: (r["score"], r["rank"]) for r in tables.scrape_lines(both, "n", "line", 20, 100).collect()}
+    assert got == {"DE": (60.0, None), "SE": (57.5, 60), "US": (33.3, None)}
+    odd = {"Ab": "1", "Abc": "2", "A.c": "3", "b": "4"}
+    assert [re.findall(tables.trie_pattern(list(odd)), t) for t in ("Abc Ab", "A.c Axc", "xb")] == [["Abc", "Ab"], ["A.c"], ["b"]]
 
 
 def test_capture_and_wage_tables(spark):
