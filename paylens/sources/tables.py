@@ -36,6 +36,20 @@ def read_indicator(df: DataFrame, page: str, codes: DataFrame | None = None) ->
     return d.filter("entity IS NOT NULL AND value IS NOT NULL AND year IS NOT NULL").select("entity", "metric", "year", "value")
 
 
+def read_rates(df: DataFrame, page: str, groups: dict[str, str]) -> DataFrame:
+    """Indicator pages of exchange rates: as ``read_indicator``, with groups of countries, given by code, as further entities."""
+    known = {three: code for code, (three, _) in geo.COVERED.items()} | groups
+    codes = df.sparkSession.createDataFrame(sorted(known.items()), "code string, entity string")
+    return read_indicator(df, page, F.broadcast(codes))  # covered countries and groups
+
+
+def read_property(df: DataFrame, area: str, kind: str, unit: str, metrics: dict[tuple[str, str], str], time: str, value: str) -> DataFrame:
+    """Quarterly property rows: kind and unit codes together name the series; pairs not listed go."""
+    both = F.concat_ws("|", F.trim(F.col(kind)), F.trim(F.col(unit)))
+    named = {f"{k}|{u}": name for (k, u), name in metrics.items()}
+    return read_sdmx(df.withColumn("__metric", both), area, ["__metric"], time, value, labels={"__metric": named})
+
+
 def read_sdmx(df: DataFrame, area: str, dims: Sequence[str], time: str, value: str, keep: Column | None = None, labels: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """SDMX rows to (entity, series, period, value). The series key joins the dimension codes that
     are not blank (``value`` when all are); ``labels`` renames codes and drops those it does not list."""
@@ -356,9 +370,14 @@ def wages_qa(df: DataFrame, year: str, sex: str, sexes: Sequence[str], wage: str
     return d.withColumn("weighted_mean_qar_month", F.try_divide(F.col("wa") * F.col("na") + F.col("wb") * F.col("nb"), F.col("na") + F.col("nb")))
 
 
+def without_series(df: DataFrame) -> DataFrame:
+    """Countries without a series (country, source_id, evidence_date, explanation) with their status."""
+    return df.withColumn("status", F.lit("no_series"))
+
+
 def no_series_rows(spark: SparkSession, rows: Sequence[tuple[str, str, str | None, str | None]]) -> DataFrame:
-    """Countries without a series: (country, source_id, dated evidence, explanation) with their status."""
-    return spark.createDataFrame(list(rows), "country string, source_id string, evidence_date string, explanation string").withColumn("status", F.lit("no_series"))
+    """As ``without_series``, of literal rows."""
+    return without_series(spark.createDataFrame(list(rows), "country string, source_id string, evidence_date string, explanation string"))
 
 
 def read_items(cells: DataFrame, dim: str, items: dict[str, str], entity: str, year: str) -> DataFrame:
