@@ -133,6 +133,11 @@ def subtract_component(value: Column, published: Column, component: Column, part
     ).otherwise(refusal(F.concat(F.lit("source does not publish "), component)))
 
 
+def shared_bases(left: Column, right: Column) -> Column:
+    """Bases that both sides can be expressed in, in order; empty when the two are not comparable."""
+    return F.array_sort(F.array_intersect(left, right))
+
+
 def bases(source_id: Column, bonus: Column, contributions: Column) -> Column:
     """Bases a source can express. ``unknown`` and prose satisfy neither true nor false."""
     clean = contributions == "false"

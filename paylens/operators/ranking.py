@@ -115,6 +115,15 @@ def composite(long: DataFrame, key: Sequence[str], weights: dict[str, float], un
     )
 
 
+#: Rows that each view shows.
+SHOWN = {"list": 500, "compare": 15, "summary": 12}
+
+
+def shown(df: DataFrame, view: str, *order: Column | str) -> DataFrame:
+    """The first rows that a view shows, in a whole order."""
+    return df.orderBy(*order).limit(SHOWN[view])
+
+
 def climate_match(df: DataFrame, winter: float | None, summer: float | None, sun: bool) -> DataFrame:
     """Match of a climate with what is asked for: one minus the mean penalty of the usable wishes.
 

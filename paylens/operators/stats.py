@@ -307,6 +307,18 @@ def deming(df: DataFrame, by: Sequence[str], x: str, y: str, lam: float = 1.0, m
     return out.select(*by, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), F.try_divide("sxy", "sxx").alias("ols_slope"))
 
 
+def heaping_shares(df: DataFrame, by: Sequence[str], value: str, steps: Sequence[int] = (5, 1000)) -> DataFrame:
+    """Per group the number of whole values and the percentage that is a multiple of each step."""
+    d = df.filter(F.col(value).isNotNull())
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[(100 * F.count_if(F.col(value) % s == 0) / F.count(F.lit(1))).alias(f"multiples_of_{s}_pct") for s in steps])
+
+
+def keyword_census(df: DataFrame, by: Sequence[str], text: str, words: Sequence[str]) -> DataFrame:
+    """Per group how many texts hold each word, case aside, in one pass; a null text holds none."""
+    low = F.lower(text)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.contains(low, F.lit(w.lower()))).alias(f"has_{w.lower()}") for w in words])
+
+
 def benford(df: DataFrame, by: Sequence[str], value: str, min_n: int = MIN_BENFORD) -> DataFrame:
     """Mean absolute deviation of first digits from Benford's law and whether it may be read at all."""
     import math

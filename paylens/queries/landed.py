@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paylens.queries.boards import ISO2, ISO3, PLACE, PLACE_CODE, YEARLY, yearly
 from paylens.queries.common import WITH, r, table
 from paylens.queries.registry import query
-from paylens.sources import cubes, tables
+from paylens.sources import cubes, sinks, tables
 from paylens.sources import postings as boards
 
 OWNED = "owned AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey)"
@@ -285,3 +285,12 @@ def no_series(spark, sf):
     k = F.col("s_suppkey")
     d = table(spark, sf, "supplier").select(F.col("s_name").alias("country"), F.concat(F.lit("salary_"), k).alias("source_id"), F.when(k % 2 == 0, "2024-01").alias("evidence_date"), F.lit("not published").alias("explanation"))
     return tables.without_series(d)
+
+
+@query(
+    "payload_digests",
+    """SELECT c_custkey, sha256('c_name=' || coalesce('''' || c_name || '''', 'null') || chr(10) || 'c_mktsegment=' || coalesce('''' || CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END || '''', 'null')) AS digest FROM customer""",
+)
+def payload_digests(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return d.select("c_custkey", sinks.payload_digest(["c_name", "c_mktsegment"]).alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paylens.functions import money
-from paylens.operators import crosswalk, lookups
+from paylens.operators import crosswalk, lookups, quality
 from paylens.operators.quantiles import group_quantiles
 from paylens.plans import postings as plan
 from paylens.plans import wages
@@ -140,7 +140,7 @@ def basis_matrix(spark, sf):
     comp = composition(spark, sf)
     x = comp.select(F.col("key").alias("a"), F.col("bases").alias("xb"))
     y = comp.select(F.col("key").alias("b"), F.col("bases").alias("yb"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("shared", F.array_sort(F.array_intersect("xb", "yb")))
+    both = pairs.join(x, "a").join(y, "b").withColumn("shared", money.shared_bases(F.col("xb"), F.col("yb")))
     return both.groupBy(F.array_join("shared", ",").alias("common"), (F.size("shared") > 0).alias("comparable")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -403,6 +403,11 @@ SELECT source_id, CASE WHEN NOT series THEN 'exempt' WHEN value IS NULL THEN 'no
   count(*) AS n, round(avg(ratio), 4) AS mean_ratio FROM j GROUP BY ALL""",
 )
 def benchmark_status(spark, sf):
+    out = benchmark_rows(spark, sf)
+    return out.groupBy("source_id", "status").agg(F.count(F.lit(1)).alias("n"), r(F.avg("ratio")).alias("mean_ratio"))
+
+
+def benchmark_rows(spark, sf):
     p = postings(spark, sf)
     keys = ["country", "segment", "year"]
     f = group_quantiles(p, keys, "pay", {"regular": 0.5}).join(p.groupBy(*keys).agg(F.avg("pay").alias("avg")), keys)
@@ -412,5 +417,21 @@ def benchmark_status(spark, sf):
         F.when(seg == "FURNITURE", F.col("avg")).alias("total"), (seg != "MACHINERY").alias("verified"),
     )
     ref = rates(spark, sf).filter("country <> 'NATION_24'").select("country", "year", (F.col("rate") * 60000).alias("value"))
-    out = lookups.benchmark_ratio(f, ref, "country", "year", 1.0, 2.5, "verified")
-    return out.groupBy("source_id", "status").agg(F.count(F.lit(1)).alias("n"), r(F.avg("ratio")).alias("mean_ratio"))
+    return lookups.benchmark_ratio(f, ref, "country", "year", 1.0, 2.5, "verified")
+
+
+@query(
+    "findings_benchmark",
+    WITH(POSTING, RATES)
+    + """, f AS (SELECT country, segment AS source_id, year, CASE WHEN segment <> 'MACHINERY' THEN median(pay) END AS regular,
+    CASE WHEN segment = 'FURNITURE' THEN avg(pay) END AS total, segment <> 'MACHINERY' AS verified FROM posting GROUP BY country, segment, year),
+ref AS (SELECT country, year, rate * 60000 AS value FROM rates WHERE country <> 'NATION_24'),
+j AS (SELECT f.*, value, coalesce(regular, total) / value AS ratio, f.country IN (SELECT country FROM ref) AS series FROM f LEFT JOIN ref USING (country, year)),
+s AS (SELECT source_id, ratio, CASE WHEN NOT series THEN 'exempt' WHEN value IS NULL THEN 'no_year' WHEN coalesce(regular, total) IS NULL AND NOT verified THEN 'uncheckable'
+  WHEN coalesce(regular, total) IS NULL THEN 'no_figure' WHEN ratio < 1.0 OR ratio > 2.5 THEN 'flagged' ELSE 'ok' END AS status FROM j)
+SELECT 'benchmark' AS rule, 'flag' AS severity, source_id AS entity, status AS detail, count(*) AS n, round(sum(ratio), 4) AS ratios, round(sum(CASE WHEN ratio < 1.0 THEN 1.0 WHEN ratio > 2.5 THEN 2.5 END)::DOUBLE, 1) AS bounds
+FROM s WHERE status IN ('flagged', 'no_year', 'no_figure') GROUP BY ALL""",
+)
+def findings_benchmark(spark, sf):
+    f = quality.check_benchmark(benchmark_rows(spark, sf), "source_id")
+    return f.groupBy("rule", "severity", "entity", "detail").agg(F.count(F.lit(1)).alias("n"), r(F.sum("observed")).alias("ratios"), r(F.sum("bound"), 1).alias("bounds"))

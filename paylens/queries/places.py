@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paylens.operators import ranking
 from paylens.plans import core, metrics
+from paylens.plans import postings as plans_postings
 from paylens.queries.common import POSTING, RATES, WITH, YEARLY, nation_years, postings, r, rates, table
 from paylens.queries.registry import query
 
@@ -290,7 +291,7 @@ def probe_order(spark, sf):
 @query("result_cap", WITH(POSTING) + "SELECT id, country, pay FROM posting WHERE pay IS NOT NULL ORDER BY pay DESC, id LIMIT 500")
 def result_cap(spark, sf):
     """The list view shows its first 500 rows."""
-    return postings(spark, sf).select("id", "country", "pay").orderBy(F.desc("pay"), "id").limit(500)
+    return ranking.shown(postings(spark, sf).select("id", "country", "pay"), "list", F.desc("pay"), "id")
 
 
 @query("name_search", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#00000001') ORDER BY c_name LIMIT 6")
@@ -418,13 +419,12 @@ def fan_out(spark, sf):
 )
 def map_dots(spark, sf):
     n = table(spark, sf, "nation").filter("n_nationkey % 4 <> 0").select(F.col("n_name").alias("country"), (F.col("n_nationkey") * 3.0 - 30).alias("lat"))
-    counts = postings(spark, sf).filter("status = 'F'").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(n, "country").select("country", "n", "lat")
+    return plans_postings.map_dots(postings(spark, sf).filter("status = 'F'"), n).select("country", "n", "lat")
 
 
 @query("seed_companies", WITH(POSTING) + "SELECT provider, company_slug, count(*) AS jobs FROM posting GROUP BY ALL ORDER BY jobs DESC, provider, company_slug")
 def seed_companies(spark, sf):
-    return postings(spark, sf).groupBy("provider", "company_slug").agg(F.count(F.lit(1)).alias("jobs")).orderBy(F.desc("jobs"), "provider", "company_slug")
+    return plans_postings.companies(postings(spark, sf))
 
 
 @query(

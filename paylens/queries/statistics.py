@@ -155,8 +155,8 @@ FROM (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN floor(o_totalpr
 def heaping_by_provider(spark, sf):
     v = F.when(F.col("o_orderstatus") == "F", F.floor(F.col("o_totalprice") / 1000) * 1000).otherwise(F.floor("o_totalprice"))
     d = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("provider"), v.alias("v"))
-    pct = lambda m: r(100 * F.count_if(F.col("v") % m == 0) / F.count(F.lit(1)), 3)
-    return d.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), pct(5).alias("ends_0_or_5_pct"), pct(1000).alias("ends_000_pct"))
+    h = stats.heaping_shares(d, ["provider"], "v")
+    return h.select("provider", "n", r("multiples_of_5_pct", 3).alias("ends_0_or_5_pct"), r("multiples_of_1000_pct", 3).alias("ends_000_pct"))
 
 
 Z = repr(stats.normal_quantile(0.975))

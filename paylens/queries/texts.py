@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paylens.functions import geo, text
-from paylens.operators import dedupe
+from paylens.operators import dedupe, stats
 from paylens.plans import postings as plan
 from paylens.queries.common import POSTING, WITH, postings, r, table
 from paylens.queries.registry import query
@@ -283,8 +283,7 @@ WORDS = ("the", "and", "der", "que", "email", "license")
     "SELECT lang, " + ", ".join(f"count(*) FILTER (contains(lower(text), '{w}')) AS has_{w}" for w in WORDS) + " FROM documents GROUP BY lang",
 )
 def keyword_census(spark, sf):
-    t = F.lower("text")
-    return table(spark, sf, "documents").groupBy("lang").agg(*[F.count_if(F.contains(t, F.lit(w))).alias(f"has_{w}") for w in WORDS])
+    return stats.keyword_census(table(spark, sf, "documents"), ["lang"], "text", WORDS).drop("n")
 
 
 @query(

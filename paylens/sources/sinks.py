@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_dataset(df: DataFrame, path: str, source_id: str, generated_at: str) -> None:
-    """One dataset under its own partition; writing it again replaces only that partition."""
-    out = df.withColumns({"source_id": F.lit(source_id), "generated_at": F.lit(generated_at)})
+def payload_digest(cols: list[str]) -> Column:
+    """SHA-256 of a row's payload: names and values in the given order, a null told apart from an empty text."""
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit("'"), F.col(c).cast("string"), F.lit("'")), F.lit("null"))) for c in cols]
+    return F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256)
+
+
+def write_dataset(df: DataFrame, path: str, source_id: str, generated_at: str, digest: str | None = None) -> None:
+    """One dataset under its own partition; writing it again replaces only that partition. ``digest``
+    names a column for the SHA-256 of each row's payload."""
+    out = df.withColumn(digest, payload_digest(df.columns)) if digest else df
+    out = out.withColumns({"source_id": F.lit(source_id), "generated_at": F.lit(generated_at)})
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
 
 
