@@ -8,7 +8,7 @@ from paylens.functions import money, text
 from paylens.operators import crosswalk, lookups, quality, sets
 from paylens.operators.quantiles import group_quantiles
 from paylens.plans import core
-from paylens.queries.common import HOURS, POSTING, RATES, WITH, hours, nation_years, postings, r, rates, table
+from paylens.queries.common import HOURS, POSTING, RATES, WITH, YEARLY, hours, nation_years, postings, r, rates, table
 from paylens.queries.pay import ANNUAL, MAPPINGS, annual, mappings
 from paylens.queries.registry import query
 
@@ -569,12 +569,62 @@ def profile_all(spark, sf):
     return p.select("path", "n", "min", "max", r("mean").alias("mean"), r("median").alias("median"))
 
 
+@query(
+    "profile_categories",
+    """WITH l AS (SELECT unnest(['role', 'size']) AS path, unnest([role, CASE WHEN length(text) > 60 THEN 'long' ELSE 'short' END]) AS value FROM conversations), c AS (SELECT path, value, count(*) AS k FROM l GROUP BY ALL),
+n AS (SELECT path, sum(k) AS n FROM c GROUP BY path)
+SELECT path, any_value(n)::BIGINT AS n, 0::BIGINT AS missing, count(*) AS cardinality, (max({'k': k, 'v': value})).v AS mode, round(100 * max(k) / any_value(n), 4) AS mode_share_pct, count(*) FILTER (k = 1) AS singletons, count(*) FILTER (k < 0.01 * n) AS rare
+FROM c JOIN n USING (path) GROUP BY path""",
+)
+def profile_categories(spark, sf):
+    from paylens.plans.audit import profile_categories as profile
+
+    size = F.when(F.length("text") > 60, "long").otherwise("short")
+    d = table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", size.alias("size"))).alias("doc"))
+    return profile(d, ["conv_id", "turn"], "doc").withColumn("mode_share_pct", r("mode_share_pct"))
+
+
+def audit_evidence(spark, sf):
+    """Two prices of a line from order and customer, monthly sums, homes from parts, measures of lines and what they are made of."""
+    from paylens.plans.audit import Evidence
+
+    p, li = postings(spark, sf), table(spark, sf, "lineitem")
+    per_order = li.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("y"))
+    pairs = p.join(per_order, p["id"] == per_order["l_orderkey"]).select(F.col("provider").alias("group"), F.col("pay").alias("x"), "y")
+    monthly = p.groupBy(F.col("segment").alias("entity"), F.substring("posted_at", 1, 7).alias("t")).agg(F.round(F.sum("pay"), 2).alias("value"))
+    homes = table(spark, sf, "part").select(F.col("p_brand").alias("group"), F.col("p_size").alias("rent"), F.col("p_retailprice").alias("price"))
+    price, net = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    derived = li.select(price.alias("price"), F.col("l_quantity").alias("quantity"), net.alias("net"))
+    expected = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey")).groupBy(F.col("n_name").alias("country")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return Evidence(
+        pairs=pairs, monthly=monthly, homes=homes, features=li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (F.col("l_tax") + 1).alias("taxed")),
+        columns=["l_quantity", "l_extendedprice", "taxed"], ids=["l_orderkey", "l_linenumber"], derived=derived, graph={"net": ["price", "quantity"]}, expected=expected,
+    )
+
+
 @query("statistical_audit")
 def statistical_audit(spark, sf):
     from paylens.plans.audit import statistical_audit as audit
 
     p = postings(spark, sf).withColumn("title", F.concat_ws(" ", "segment", "status"))
-    return audit(p, series=nation_years(spark, sf))
+    return audit(p, series=nation_years(spark, sf), more=audit_evidence(spark, sf))
+
+
+@query(
+    "audit_counts",
+    WITH(POSTING, YEARLY)
+    + """SELECT 'keyword_census' AS finding, 'all' AS key, 'has_building' AS measure, count(*) FILTER (segment = 'BUILDING')::DOUBLE AS value FROM posting UNION ALL SELECT 'keyword_census', 'all', 'n', count(*) FROM posting
+UNION ALL SELECT 'growth', entity, 'growth_pct', round(100 * (pow(max_by(value, year) / min_by(value, year), 1.0::DOUBLE / (max(year) - min(year))) - 1), 4) FROM yearly GROUP BY entity HAVING max(year) > min(year)
+UNION ALL SELECT 'missingness', provider || '.pay', 'missing', count(*) FILTER (pay IS NULL) FROM posting GROUP BY provider""",
+)
+def audit_counts(spark, sf):
+    """The audit's own rows for the findings that are plain counts and growth."""
+    from paylens.plans.audit import statistical_audit as audit
+
+    p = postings(spark, sf).withColumn("title", F.concat_ws(" ", "segment", "status"))
+    out = audit(p, series=nation_years(spark, sf))
+    picked = "(finding = 'keyword_census' AND measure IN ('n', 'has_building')) OR (finding = 'growth' AND measure = 'growth_pct' AND value IS NOT NULL) OR (finding = 'missingness' AND key LIKE '%.pay' AND measure = 'missing')"
+    return out.filter(picked).select("finding", "key", "measure", r("value").alias("value"))
 
 
 @query(
