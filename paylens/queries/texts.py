@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paylens.functions import geo, text
@@ -141,6 +142,34 @@ def threshold_table(spark, sf):
     return out.select("threshold", "tp", "fp", "fn", r("precision").alias("precision"), r("recall").alias("recall"), r("f1").alias("f1"), "chosen")
 
 
+LABELLED = f"""r AS (SELECT doc_id, d.lang, d.source, d.key, rep FROM (SELECT doc_id, lang, source, {norm_sql('text')} AS key FROM documents) d JOIN k USING (lang, source, key)),
+lab AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS b FROM r UNION SELECT doc_id, doc_id + 1 FROM r),
+both_ AS (SELECT x.rep AS xr, y.rep AS yr, x.lang = y.lang AND x.source = y.source AS together, left(x.key, 40) = left(y.key, 40) AS same FROM lab JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b),
+dots AS (SELECT p.lo, p.hi, sum(x.u * y.u) AS dot FROM (SELECT DISTINCT least(xr, yr) AS lo, greatest(xr, yr) AS hi FROM both_ WHERE together AND xr <> yr) p JOIN v x ON x.rep = p.lo JOIN v y ON y.rep = p.hi AND y.gram = x.gram GROUP BY ALL),
+scored AS (SELECT same, CASE WHEN NOT together THEN 0 WHEN xr = yr THEN 1 ELSE coalesce(dot, 0) END::DOUBLE AS score FROM both_ LEFT JOIN dots ON lo = least(xr, yr) AND hi = greatest(xr, yr))"""
+
+
+@query(
+    "threshold_table_pairs",
+    WITH(KEYS, VEC, LABELLED)
+    + """, c AS (SELECT t::DOUBLE AS threshold, count(*) FILTER (same AND score >= t) AS tp, count(*) FILTER (NOT same AND score >= t) AS fp,
+    count(*) FILTER (same AND score < t) AS fn FROM scored, (VALUES (0.70), (0.75), (0.80), (0.85), (0.90), (0.95), (0.98)) q(t) GROUP BY t),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END::DOUBLE AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END::DOUBLE AS r FROM c),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END::DOUBLE AS f1 FROM m)
+SELECT threshold, tp, fp, fn, round(p, 4) AS "precision", round(r, 4) AS recall, round(f1, 4) AS f1,
+  row_number() OVER (ORDER BY p >= 0.95 DESC, f1 DESC, threshold) = 1 AS chosen FROM f""",
+)
+def threshold_table_pairs(spark, sf):
+    """Neighbouring documents of a block, and neighbours by number of any block, told the same by how they begin."""
+    d = keyed(spark, sf)
+    after = F.lead("doc_id").over(Window.partitionBy("lang", "source").orderBy("doc_id"))  # documents of one block
+    pairs = d.select(F.col("doc_id").alias("a"), after.alias("b")).unionByName(d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))).distinct()
+    head = lambda x: d.select(F.col("doc_id").alias(x), F.left(F.col("key"), F.lit(40)).alias(f"{x}_head"))
+    labelled = pairs.join(head("a"), "a").join(head("b"), "b").select("a", "b", (F.col("a_head") == F.col("b_head")).alias("same"))
+    out = dedupe.tune(dedupe.score_labelled(d, ["lang", "source"], "key", "doc_id", labelled))
+    return out.select("threshold", "tp", "fp", "fn", r("precision").alias("precision"), r("recall").alias("recall"), r("f1").alias("f1"), "chosen")
+
+
 @query(
     "strip_html",
     r"""SELECT page_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT page_id,
