@@ -131,32 +131,31 @@ def survey_waves(spark, sf):
 SURVEY = (["CompTotal", "ConvertedCompYearly"], ["Country"], ["YearsCodePro"], ["DevType"], "wave")
 
 
-@query(
-    "survey_pay",
-    """WITH s AS (SELECT year(o_orderdate)::VARCHAR AS wave, CASE c_nationkey % 2 WHEN 0 THEN 'SE' ELSE 'DE' END AS country, o_totalprice AS pay, CASE c_custkey % 4 WHEN 0 THEN 'new_grad' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' END AS band
-  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice BETWEEN 5000 AND 1000000), b AS (SELECT wave, country, pay, unnest(['all', band]) AS band FROM s)
-SELECT country, wave, band, count(*) AS n, round(median(pay), 5) AS median FROM (SELECT * FROM b WHERE band IS NOT NULL) GROUP BY ALL""",
-)
-def survey_pay(spark, sf):
-    from paylens.operators.quantiles import group_median
+SURVEY_SQL = """s AS (SELECT year(o_orderdate)::VARCHAR AS wave, CASE c_nationkey % 2 WHEN 0 THEN 'SE' ELSE 'DE' END AS country, o_totalprice AS pay, CASE c_custkey % 4 WHEN 0 THEN 'new_grad' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' END AS band, 'dev' AS role
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice BETWEEN 5000 AND 1000000), b AS (SELECT wave, country, pay, unnest(['all', band]) AS band FROM s)"""
 
-    d = survey_waves(spark, sf)
-    banded, _ = tables.survey_pay(d, *SURVEY)
-    exact = group_median(
-        d.withColumn("country", F.when(F.col("Country") == "Sweden", "SE").otherwise("DE")).select("country", "wave", F.col("ConvertedCompYearly").cast("double").alias("pay"), F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("YearsCodePro") == "4", "mid").when(F.col("YearsCodePro") == "12", "senior").when(F.col("YearsCodePro").startswith("Less"), "new_grad")))).alias("band")).filter("pay BETWEEN 5000 AND 1000000"),
-        ["country", "wave", "band"], "pay",
-    )
-    both = banded.drop("median").join(exact.drop("n"), ["country", "wave", "band"])
-    return both.select("country", "wave", "band", "n", r("median", 5).alias("median"))
+
+def survey_sql(rows: str, key: str, least: int) -> str:
+    """Median half to even, quartiles at p(n + 1) from four rows on, thin below five."""
+    at = lambda p: f"greatest(1, least(floor({p}::DOUBLE * (n + 1)), n - 1))::BIGINT"
+    quartile = lambda p: f"CASE WHEN n >= 4 THEN round_even(v[{at(p)}] + (v[{at(p)} + 1] - v[{at(p)}]) * ({p}::DOUBLE * (n + 1) - {at(p)}), 0) END"
+    mid = "v[floor(0.5::DOUBLE * (n - 1))::BIGINT + 1] + (v[least(floor(0.5::DOUBLE * (n - 1)) + 1, n - 1)::BIGINT + 1] - v[floor(0.5::DOUBLE * (n - 1))::BIGINT + 1]) * (0.5::DOUBLE * (n - 1) - floor(0.5::DOUBLE * (n - 1)))"
+    return f"""SELECT country, wave, {key}, n, round_even({mid}, 0) AS median, {quartile(0.25)} AS p25, {quartile(0.75)} AS p75, n < 5 AS thin
+FROM (SELECT country, wave, {key}, count(*) AS n, list(pay ORDER BY pay) AS v FROM {rows} WHERE {key} IS NOT NULL GROUP BY ALL) WHERE n >= {least}"""
+
+
+@query("survey_pay", WITH(SURVEY_SQL) + f"SELECT country, wave, band, n, median FROM ({survey_sql('b', 'band', 1)})")
+def survey_pay(spark, sf):
+    return survey_pay_bands(spark, sf).select("country", "wave", "band", "n", "median")
 
 
-@query("survey_pay_bands")
+@query("survey_pay_bands", WITH(SURVEY_SQL) + survey_sql("b", "band", 1))
 def survey_pay_bands(spark, sf):
     """The reader's own medians, quartiles and thin flag, by band."""
     return tables.survey_pay(survey_waves(spark, sf), *SURVEY)[0]
 
 
-@query("survey_pay_roles")
+@query("survey_pay_roles", WITH(SURVEY_SQL) + survey_sql("s", "role", 3))
 def survey_pay_roles(spark, sf):
     """The same, by role."""
     return tables.survey_pay(survey_waves(spark, sf), *SURVEY)[1]
