@@ -238,6 +238,13 @@ def absent_rows(spark, reasons: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(reasons.items()), "country string, reason string")
 
 
+def with_absent(table: DataFrame, absent: DataFrame) -> DataFrame:
+    """``country, reason, published``: the countries of a wage table, and the absent ones (country, reason) that it does not have."""
+    there = table.select("country").distinct()
+    listed = there.select("country", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("published"))
+    return listed.unionByName(absent.join(there, "country", "left_anti").select("country", "reason", F.lit(False).alias("published")))
+
+
 # ---------------------------------------------------------------- experience
 
 CAREER_START_AGE = 22

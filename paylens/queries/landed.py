@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paylens.plans import wages
 from paylens.queries.boards import ISO2, ISO3, PLACE, PLACE_CODE, YEARLY, yearly
 from paylens.queries.common import WITH, r, table
 from paylens.queries.registry import query
@@ -294,3 +295,53 @@ def no_series(spark, sf):
 def payload_digests(spark, sf):
     d = table(spark, sf, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
     return d.select("c_custkey", sinks.payload_digest(["c_name", "c_mktsegment"]).alias("digest"))
+
+
+YEARS_OF_SOURCE = (2020, 2021)
+
+
+def published(k: int) -> dict[str, str]:
+    """Value of each field of the ``k``-th source, as SQL of both engines: some are not published by every supplier."""
+    return {
+        "mean": f"s_acctbal + y + {k}", "median": f"CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + {k} END", "p10": "CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal - 500 END",
+        "p25": "CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal - 100 END", "p75": "CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal + 100 END", "p90": "CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 500 END",
+    }
+
+
+def extractor_sql() -> str:
+    """Every source's newest year, its fields under common names, and the spread that they make."""
+    parts = []
+    for k, (source, (country, period, currency, _)) in enumerate(wages.SOURCES.items()):
+        fields = ", ".join(f"round(({v})::DOUBLE, 4) AS {f}" for f, v in published(k).items())
+        parts.append(f"SELECT '{country}' AS country, '{source}' AS source_id, s_suppkey::VARCHAR AS national_code, y AS year, '{period}' AS period, '{currency}' AS currency, {fields}, s_suppkey::DOUBLE AS n_employees FROM supplier, (SELECT {YEARS_OF_SOURCE[1]} AS y)")
+    spread = "CASE WHEN p10 IS NOT NULL AND p90 IS NOT NULL THEN 'full' WHEN p25 IS NOT NULL AND p75 IS NOT NULL THEN 'quartile-only' WHEN median IS NOT NULL THEN 'central-tendency-only' ELSE 'mean-only' END"
+    return f"SELECT *, {spread} AS distribution FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("wage_extractors", extractor_sql())
+def wage_extractors(spark, sf):
+    """Fourteen sources with their own field names, two years each, and fields of like names that are not theirs."""
+    s = table(spark, sf, "supplier").withColumn("y", F.explode(F.array(*map(F.lit, YEARS_OF_SOURCE))))
+    out = []
+    for k, (source, (_, _, _, unit)) in enumerate(wages.SOURCES.items()):
+        names = wages.FIELD_NAMES.get(source, {})
+        columns = [f"{v} AS {names.get(f, f'{f}_{unit}')}" for f, v in published(k).items()]
+        rows = s.selectExpr("CAST(s_suppkey AS STRING) AS national_code", "y AS year", "CAST(s_suppkey AS DOUBLE) AS n_employees", f"1.0D AS agreed_mean_{unit}", *columns)
+        out.append(wages.extract_source(rows, source))
+    all_ = out[0]
+    for d in out[1:]:
+        all_ = all_.unionByName(d)
+    return all_.select("country", "source_id", "national_code", "year", "period", "currency", *[r(f).alias(f) for f in wages.FIELDS], "n_employees", "distribution")
+
+
+@query(
+    "absent_countries",
+    """WITH t AS (SELECT DISTINCT n_name AS country FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0), a AS (SELECT n_name AS country, 'no series since ' || (2000 + n_nationkey) AS reason FROM nation WHERE n_nationkey % 2 = 0)
+SELECT country, NULL::VARCHAR AS reason, true AS published FROM t UNION ALL SELECT country, reason, false FROM a WHERE country NOT IN (SELECT country FROM t)""",
+)
+def absent_countries(spark, sf):
+    """A country with figures is not absent, whatever the list says."""
+    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
+    there = n.join(c.filter("c_custkey % 50 = 0"), F.expr("c_nationkey = n_nationkey")).select(F.col("n_name").alias("country")).distinct()
+    absent = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("country"), F.concat(F.lit("no series since "), F.col("n_nationkey") + 2000).alias("reason"))
+    return wages.with_absent(there, absent)
