@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from paylens.queries.common import WITH, r, table
+from paylens.queries.common import WITH, table
 from paylens.queries.registry import query
 from paylens.session import cut_lineage
 from paylens.sources import cubes, postings, tables

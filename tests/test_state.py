@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paylens.operators import lookups, ranking, series
 from paylens.plans import postings as plan
 from paylens.sources import sinks
-from paylens.streaming import drift, ledger
+from paylens.streaming import ledger
 from paylens.streaming.generations import Generations
 
 STATE = "token string, company string, provider string, job_count long, last_seen_ok string, consecutive_failures int, first_verified_at string"
