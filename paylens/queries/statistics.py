@@ -202,10 +202,11 @@ w AS (SELECT country, replicate, pay, {poisson_sql("draw")} AS w FROM {mixed_sql
 boot AS (SELECT country, replicate, sum(w)::BIGINT AS n, sum(pay * w) / nullif(sum(w), 0) AS mean FROM w GROUP BY ALL)"""
 
 
-@query("bootstrap_means", WITH(POSTING, BOOT.replace("{many}", "200")) + "SELECT country, replicate, n, round(mean, 2) AS mean FROM boot")
+@query("bootstrap_means", WITH(POSTING, BOOT.replace("{many}", "200")) + "SELECT country, replicate, n, round(mean * n, 2) AS total FROM boot")
 def bootstrap_means(spark, sf):
+    """Size and total of each replicate: totals are whole cents, which means are not."""
     b = bootstrap(postings(spark, sf), ["country"], "pay", "id", 200)
-    return b.select("country", "replicate", "n", r("mean", 2).alias("mean"))
+    return b.select("country", "replicate", "n", r(F.col("mean") * F.col("n"), 2).alias("total"))
 
 
 @query(
