@@ -99,7 +99,7 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def number(kind: str):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(k) for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(line("base").cast("binary"), 256).alias("base_sha256"), line("spans").alias("spans"))

@@ -168,6 +168,18 @@ def test_personal_data_adds_other_spellings(spark):
     assert [s["kind"] for s in got[1006]["spans"]] == ["card"]
 
 
+def test_personal_data_query_counts_base_spans(spark, tmp_path):
+    from paylens.llm.queries import op10_personal_data
+
+    rows = personal_rows() + [(1000, "call (583) 555-8469 now", "s"), (1001, "mail bob.smith (at) mail.example (dot) com or ab@mail1.example.com please", "s"), (1002, None, "s")]
+    frame(spark, rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_personal_data(spark, str(tmp_path)).collect()}
+    for i, t, _ in rows:
+        kinds = [k for k, _, _ in base_spans(t or "")]
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+    assert got[1000]["spans"].startswith("phone:") and got[1001]["spans"].count("email:") == 2
+
+
 def test_personal_data_on_edge_rows(spark):
     rows = edge_rows()
     got = personal_data(frame(spark, rows)).collect()
