@@ -206,3 +206,21 @@ def test_pca_query_reads_every_dimension(spark, tmp_path):
     assert np.allclose([r["variance"] for r in got], ev, atol=1e-6)
     assert [r["reaches_share"] for r in got].index(True) == int(np.argmax(np.cumsum(ev) >= 0.9))
     assert pca_dims(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_terms_meet_their_weights_without_being_dealt_by_slot(spark):
+    """Weights and coefficients are bounded by the number of slots: rows of terms never move to them."""
+    from paylens.operators import classify
+
+    counts = spark.createDataFrame([(1, "w", 3, 2), (1, "c", 9, 1), (2, "w", 3, 1), (3, "w", 4, 1)], "id long, space string, slot int, tf long")
+    model = spark.createDataFrame([(-1, "x", 0.5), (-1, "y", 0.0), (3, "x", 2.0), (9, "y", -1.0)], "slot int, class string, coef double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = classify.weighted(counts, classify.idf_table(counts))
+        assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()
+        got = {(r["id"], r["class"]): (r["score"], r["proba"]) for r in classify.score(x, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = {(1, "x"): 2.5, (1, "y"): -1.0, (2, "x"): 2.5, (2, "y"): 0.0, (3, "x"): 0.5, (3, "y"): 0.0}
+    assert {k: round(s, 9) for k, (s, _) in got.items()} == want and abs(got[3, "x"][1] - 1 / (1 + 2.718281828459045**-0.5)) < 1e-9
