@@ -250,3 +250,52 @@ def test_added_tokens_in_a_text_are_those_of_the_plain_library_call(spark, tmp_p
     write_token_files(frame(spark, rows), WORDS, str(tmp_path / "a"))
     got = read_token_files(spark, str(tmp_path / "a")).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {i: [*library.encode(s, add_special_tokens=False).ids, 1] for i, s, _ in rows}
+
+
+def test_token_files_look_up_a_word_once_however_often_it_stands(monkeypatch):
+    """Time of op9: more words than are remembered, each in many rows and with marks behind it, must not be encoded over and over."""
+    import pyarrow as pa
+    import zstandard
+    from paylens.llm import token_files
+
+    monkeypatch.setattr(token_files, "MOST_WORDS", 40)
+    monkeypatch.setattr(token_files, "kept", lambda owner, key, make: known)
+    known, library, asked = token_files.Words(WORDS), Tokenizer.from_file(WORDS), []
+    for name in ("of_model", "of_text"):
+        monkeypatch.setattr(known, name, lambda w, f=getattr(known, name): asked.append(w) or f(w))
+    rnd = random.Random(5)
+    cores = ["".join(rnd.choice("aeinothrsé") for _ in range(9)) for _ in range(300)]
+    marks = ["", ".", ",", "...", "'.", "!?", '")', "***"]
+    rows = [" ".join(w + rnd.choice(marks) for w in rnd.sample(cores, 300)) for _ in range(40)]
+    rows[3:3] = ["", " \t", " a  b\n", "x <|endoftext|> y", "<|ENDOFTEXT|>", "don't's. '.' a'll.' 3. é. É, .a a.b a.,9 \x85 .", "İ. Σ.\x0b\x0cΣΑΣ ,,"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(i, i + len(p)), pa.int64()), "text": p, "tie": pa.array([0] * len(p), pa.int64())}) for i in range(0, len(rows), 9) if (p := rows[i : i + 9])]
+    got = {}
+    for b in token_files._tokenised(WORDS, np.zeros(0, np.int64), 1)(iter(batches)):
+        for docs, sizes, ids in zip(*(b.column(c).to_pylist() for c in ("docs", "sizes", "ids")), strict=True):
+            flat, ends = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint16), np.cumsum(np.frombuffer(sizes, np.int64))
+            got |= {int(d): x.tolist() for d, x in zip(np.frombuffer(docs, np.int64), np.split(flat, ends[:-1]), strict=True)}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(rows)}
+    assert max(Counter(asked).values()) == 1 and not any(w[:-1] in cores for w in asked), asked
+
+
+def test_portions_keep_rows_whatever_the_batches(monkeypatch):
+    import pyarrow as pa
+    from paylens.llm import token_files
+
+    monkeypatch.setattr(token_files, "PORTION_BYTES", 100)
+    monkeypatch.setattr(token_files, "PORTION_ROWS", 7)
+    monkeypatch.setattr(token_files, "MOST_WORDS", 5)
+    rnd, library = random.Random(7), Tokenizer.from_file(WORDS)
+    texts = [" ".join(rnd.choice(["one", "two.", "Three,", "é", "4"]) + rnd.choice("abcdefgh") for _ in range(rnd.choice([0, 0, 1, 5, 40]))) for _ in range(200)]
+    cuts = sorted({0, 200, *rnd.sample(range(200), 12)})
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i:j], pa.string())}) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    out = [b.column("text") for b in token_files.portions(iter([*batches, batches[0].slice(0, 0)]))]
+    assert [t for b in out for t in b.to_pylist()] == texts
+    assert max(map(len, out)) == 7 and all(sum(len(t.encode()) for t in b.to_pylist()[:-1]) < 100 for b in out) and all(len(b) == 7 or sum(len(t.encode()) for t in b.to_pylist()) >= 100 for b in out[:-1])
+    known = token_files.Words(WORDS)
+    for b in out:
+        assert [np.frombuffer(x, np.uint16).tolist() for x in known.texts(b)] == [library.encode(t, add_special_tokens=False).ids for t in b.to_pylist()]
+    assert list(token_files.portions(iter([]))) == []
+    for kind in (pa.string(), pa.large_string()):
+        assert known.texts(pa.array([], kind)) == [] and known.texts(pa.array(["", "", " "], kind), b"ee") == [b"ee"] * 3
+        assert [len(x) for x in known.texts(pa.array(["one", "", "<|endoftext|>"], kind))] == [2, 0, 2]
